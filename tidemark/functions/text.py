@@ -1,5 +1,9 @@
 """Text helpers: strip, number recognition, Unicode normal forms."""
 
+import unicodedata
+from functools import partial
+
+import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,14 +45,11 @@ def convertible_to_number(column, data_type):
 
 def _normal_form_udf(form):
     # Nested so that the function travels by value and workers need no package install.
-    def normalize(values):
-        import unicodedata
-
-        return values.map(
-            lambda text: unicodedata.normalize(form, text), na_action="ignore"
-        )
+    @F.pandas_udf(T.StringType())
+    def normalize(values: pd.Series) -> pd.Series:
+        return values.map(partial(unicodedata.normalize, form), na_action="ignore")
 
-    return F.pandas_udf(normalize, T.StringType(), F.PandasUDFType.SCALAR)
+    return normalize
 
 
 def normalized_text(columns, form="NFC"):

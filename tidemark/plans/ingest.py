@@ -13,7 +13,6 @@ from datetime import datetime, timezone
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from tidemark.names import ROW_HASH
 from tidemark.operators import dedup, validation
 from tidemark.operators.catalog import Catalog
 from tidemark.operators.cleaning import Cleaning
@@ -90,8 +89,9 @@ class Ingest:
         known = None
         if self.incremental and dataset.exists():
             known = dataset.known_hashes()
-        read = Observation()
-        rows = self.prepare(df.observe(read, F.count(F.lit(1)).alias("rows")), known)
+        # A count of its own: footers alone for Parquet, and exact when tasks are repeated.
+        rows_read = df.count()
+        rows = self.prepare(df, known)
         if not dataset.exists():
             dataset = VersionedDataset.create(
                 spark, self.root, self.dataset, rows.schema, self.partition_by, self.sort_by, self.at
@@ -147,7 +147,7 @@ class Ingest:
         return IngestResult(
             self.dataset,
             self.version_tag,
-            read.get["rows"],
+            rows_read,
             written.rows_written,
             written.snapshot_id,
             node_id,
@@ -184,11 +184,11 @@ class Ingest:
         return issues
 
 
-def step_audit(df, steps):
-    """Rows into and out of every step of a cleaning chain, counted in one job per step kind.
+def step_audit(df, cleaning):
+    """Rows into and out of every step of a chain: ``position, step, rows_in, rows_out``.
 
-    All counters ride on the same plan: each step is observed, and one count of the result
-    fills them all. Returns ``step, rows_in, rows_out`` in step order.
+    Every step is observed in one plan and one pass over the rows fills all counters. Steps
+    that decide by the data have decided before, on frames without counters.
     """
     counters = []
 
@@ -197,16 +197,13 @@ def step_audit(df, steps):
         counters.append(counter)
         return frame.observe(counter, F.count(F.lit(1)).alias("rows"))
 
+    settled = cleaning.settled(df)
     rows = counted(df)
-    for item in steps:
+    for item in settled.steps:
         rows = counted(rows.transform(item))
     rows.write.format("noop").mode("overwrite").save()
     counts = [counter.get["rows"] for counter in counters]
-    names = [getattr(item, "__name__", "step") for item in steps]
     return df.sparkSession.createDataFrame(
-        [(i, name, counts[i], counts[i + 1]) for i, name in enumerate(names)],
+        [(i, name, counts[i], counts[i + 1]) for i, name in enumerate(settled.names)],
         "position int, step string, rows_in bigint, rows_out bigint",
     )
-
-
-__all__ = ["CODEC", "Ingest", "IngestResult", "ROW_HASH", "step_audit"]
