@@ -295,6 +295,31 @@ class Catalog:
         )
         self._add(self.versions_path, VERSION_SCHEMA, row)
 
+    def add_versions(self, rows):
+        """Many versions at once, as a frame with the columns of the version table.
+
+        The same rules as for one: a tag in use, or named twice, is refused before anything
+        is written, and unknown datasets are registered.
+        """
+        keys = ["name", "version_tag"]
+        repeated = rows.groupBy(*keys).count().filter("count > 1").select(*keys)
+        used = rows.join(self.versions().select(*keys), keys, "left_semi").select(*keys)
+        refused = repeated.unionAll(used).first()
+        if refused is not None:
+            raise DuplicateVersion(f"{refused['name']} already has {refused['version_tag']}")
+        names = rows.groupBy("name").agg(F.min("created_at").alias("at"))
+        unknown = names.join(self.datasets(), "name", "left_anti").select(
+            F.lit("register").alias("event"), F.lit(time.time_ns()).alias("seq"), "at", "name"
+        )
+        empty = self.spark.createDataFrame([], EVENT_SCHEMA)
+        events = empty.unionByName(unknown, allowMissingColumns=True)
+        events.write.mode("append").parquet(self.events_path)
+        empty = self.spark.createDataFrame([], VERSION_SCHEMA)
+        rows = empty.unionByName(rows, allowMissingColumns=True)
+        rows.withColumn("seq", F.coalesce("seq", F.unix_micros("created_at") * 1000)).write.mode(
+            "append"
+        ).parquet(self.versions_path)
+
     def check_new_tag(self, name, version_tag):
         if self._versions_of(name).filter(F.col("version_tag") == version_tag).count():
             raise DuplicateVersion(f"{name} already has a version {version_tag}")
@@ -324,12 +349,9 @@ class Catalog:
         self._event("delete", name)
 
     def export(self, path):
-        """All datasets, each with its versions, as JSON lines."""
-        versions = self.versions().groupBy("name").agg(
-            F.sort_array(
-                F.collect_list(
-                    F.struct(*[c for c in VERSION_SCHEMA.fieldNames() if c != "name"])
-                )
-            ).alias("versions")
-        )
-        self.datasets().join(versions, "name", "left").write.mode("errorifexists").json(path)
+        """Datasets and versions as JSON lines, one folder each.
+
+        Versions stay rows: a dataset with very many of them is no single document.
+        """
+        self.datasets().write.mode("errorifexists").json(f"{path}/datasets")
+        self.versions().write.mode("errorifexists").json(f"{path}/versions")

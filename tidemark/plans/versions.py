@@ -701,7 +701,7 @@ class VersionedDataset:
         return read.select(hashed.alias("h")).agg(
             F.count(F.lit(1)).alias("rows_read"),
             content_checksum(F.col("h")).alias("checksum"),
-            F.lit(int(row["summary"]["total-records"])).alias("rows_logged"),
+            F.lit(int(row["summary"]["total-records"])).cast("bigint").alias("rows_logged"),
         )
 
 

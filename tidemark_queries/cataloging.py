@@ -111,27 +111,24 @@ def current_datasets(spark, sf_dir):
 
 @query(
     "m2_add_version",
-    """select source as name, 1 as versions, 'all' as latest_version, count(*) as latest_rows
+    """select source as name, 1::bigint as versions, 'all' as latest_version, count(*) as latest_rows
        from documents group by source""",
 )
 def add_version(spark, sf_dir):
-    """Versions added one by one to a stored catalog; unknown datasets are registered."""
+    """A version per source added to a stored catalog; unknown datasets are registered."""
     catalog = M.Catalog(spark, fresh_dir(spark, "catalog"))
-    counts = table(spark, sf_dir, "documents").groupBy("source").count()
-    # One row per dataset: a fixed number of sources, whatever the number of documents.
-    rows = counts.orderBy("source").collect()
-    for row in rows[:3]:
-        catalog.add_version(row["source"], "all", row["count"])
-    stored = M.version_counts(catalog.versions()).drop("last_version_at")
-    # The others as one append of many rows, the way a migration would add them.
-    rest = counts.join(stored.select(F.col("name").alias("source")), "source", "left_anti")
-    others = rest.select(
-        F.col("source").alias("name"),
-        F.lit(1).cast("bigint").alias("versions"),
-        F.lit("all").alias("latest_version"),
-        F.col("count").alias("latest_rows"),
+    counts = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("name")).count()
+    catalog.add_versions(
+        counts.select(
+            "name",
+            F.lit("all").alias("version_tag"),
+            F.col("count").alias("added_rows"),
+            F.col("count").alias("total_rows"),
+            F.lit("2024-01-01").cast("timestamp").alias("created_at"),
+        )
     )
-    return stored.unionByName(others)
+    known = M.version_counts(catalog.versions()).drop("last_version_at")
+    return known.join(catalog.datasets().select("name"), "name")
 
 
 @query(
@@ -219,13 +216,29 @@ def delete_dataset(spark, sf_dir):
 
 @query(
     "m11_export",
-    f"select name, description from {DATASETS_SQL}",
+    f"""select 'version' as kind, name, version_tag as detail, added_rows as rows
+        from {VERSIONS_SQL}
+        union all select 'dataset', name, '', 0 from {DATASETS_SQL}""",
 )
 def export(spark, sf_dir):
-    """Current datasets written as JSON lines and read back."""
+    """A stored catalog exported as JSON lines and read back."""
+    catalog = M.Catalog(spark, fresh_dir(spark, "exported"))
+    catalog.add_versions(versions(spark, sf_dir))
     path = fresh_dir(spark, "export")
-    datasets(spark, sf_dir).write.json(path)
-    return spark.read.json(path).select("name", "description")
+    catalog.export(path)
+    rows = spark.read.json(f"{path}/versions").select(
+        F.lit("version").alias("kind"),
+        "name",
+        F.col("version_tag").alias("detail"),
+        F.col("added_rows").alias("rows"),
+    )
+    names = spark.read.json(f"{path}/datasets").select(
+        F.lit("dataset").alias("kind"),
+        "name",
+        F.lit("").alias("detail"),
+        F.lit(0).cast("bigint").alias("rows"),
+    )
+    return rows.unionAll(names)
 
 
 @query(
@@ -260,7 +273,7 @@ def card_facts(spark, sf_dir):
         "doc_id",
         "lang",
         "source",
-        F.lit(row["row_count"]).alias("row_count"),
+        F.lit(row["row_count"]).cast("bigint").alias("row_count"),
         F.lit(row["column_count"]).alias("column_count"),
     )
 
@@ -337,8 +350,8 @@ def latest_node(spark, sf_dir):
                  union select up.start_id, p.node_id from up
                  join n on n.node_id = up.node_id join n p on p.node_id = n.parent_id)
         select start_id, node_id,
-               cast(split_part(start_id, '-', 2) as bigint)
-               - cast(split_part(node_id, '-', 2) as bigint) as distance from up""",
+               cast(split_part(start_id, '-', 2) as integer)
+               - cast(split_part(node_id, '-', 2) as integer) as distance from up""",
 )
 def ancestors(spark, sf_dir):
     known = nodes(spark, sf_dir)
@@ -384,7 +397,7 @@ def datasets_with_lineage(spark, sf_dir):
 
 @query(
     "l1_record_node",
-    """select 'documents' as dataset, 2 as nodes, count(*) as row_count, 'first' as parent
+    """select 'documents' as dataset, 2::bigint as nodes, count(*) as row_count, 'first' as parent
        from documents""",
 )
 def record_node(spark, sf_dir):

@@ -82,7 +82,7 @@ ROW_DIFF = f"""select (select count(*) from {NEW} n where h not in (select h fro
     f"""with a as (select distinct {sql_hash(LINEITEM)} as h from {DUPLICATED}),
              b as (select distinct {sql_hash(LINEITEM)} as h from lineitem
                    where l_linestatus = 'O')
-        select 0 as rows_added,
+        select 0::bigint as rows_added,
                (select count(*) from a where h not in (select h from b)) as rows_removed,
                (select count(*) from b) as rows_unchanged,
                (select count(*) from {DUPLICATED}) as rows_total_before,
@@ -260,7 +260,7 @@ def _top(names, source):
              from {source} where {n} is not null group by {n})"""
         for n in names
     )
-    return f"select * from ({parts}) where rank <= 5"
+    return f"select * replace (rank::integer as rank) from ({parts}) where rank <= 5"
 
 
 @query("d9_top_values", _top(["text", "lang", "source"], "documents"))
@@ -383,7 +383,7 @@ def preview_profile(spark, sf_dir):
 
 @query(
     "d16_type_distribution",
-    """select 'bigint' as base_type, 1 as columns, count(vec_id) as filled from embeddings
+    """select 'bigint' as base_type, 1::bigint as columns, count(vec_id) as filled from embeddings
        union all select 'array', 1, count(embedding) from embeddings
        union all select 'int', 1, count(label) from embeddings""",
 )

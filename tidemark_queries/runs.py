@@ -64,8 +64,8 @@ def run_result(spark, sf_dir):
     run = Ingest(root, "click stream", "v1", rules=RULES, at=AT, partition_by=("event_type",))
     done = run.run(spark, _written_twice(spark, sf_dir))
     return Catalog(spark, root).versions().select(
-        F.lit(done.rows_ingested).alias("rows_ingested"),
-        F.lit(done.rows_written).alias("rows_written"),
+        F.lit(done.rows_ingested).cast("bigint").alias("rows_ingested"),
+        F.lit(done.rows_written).cast("bigint").alias("rows_written"),
         F.lit(done.snapshot_id).alias("snapshot_id"),
         F.lit(len(done.warnings)).alias("warnings"),
         F.col("total_rows").alias("catalog_rows"),

@@ -89,7 +89,7 @@ def current_snapshot(spark, sf_dir):
 
 @query(
     "t8_snapshot_by_id",
-    f"""select 3 as snapshot_id, 2 as parent_id, count(*) as added_records
+    f"""select 3::bigint as snapshot_id, 2::bigint as parent_id, count(*) as added_records
         from orders where {YEAR} = 1997""",
 )
 def snapshot_by_id(spark, sf_dir):
@@ -102,7 +102,7 @@ def snapshot_by_id(spark, sf_dir):
     "t9_snapshot_counters",
     f"""select {YEAR} - 1994 as snapshot_id, count(*) as added_records,
                cast(sum(count(*)) over (order by {YEAR}) as bigint) as total_records,
-               0 as deleted_files
+               0::bigint as deleted_files
         from orders group by {YEAR}""",
 )
 def snapshot_counters(spark, sf_dir):
@@ -204,7 +204,7 @@ def verify(spark, sf_dir):
 @query(
     "d14_snapshot_diff",
     f"""select count(*) filter (where {YEAR} between 1998 and 1999) as rows_added,
-               0 as rows_removed, count(*) filter (where {YEAR} < 1998) as rows_unchanged,
+               0::bigint as rows_removed, count(*) filter (where {YEAR} < 1998) as rows_unchanged,
                count(*) filter (where {YEAR} < 1998) as rows_total_before,
                count(*) filter (where {YEAR} <= 1999) as rows_total_after
         from orders""",
@@ -293,7 +293,7 @@ def rollback_to_time(spark, sf_dir):
 @query(
     "t18_history",
     f"""select *, snapshot_id in (1, 2, 3, 8) as is_current_ancestor from (
-            select 1 as snapshot_id, 'append' as operation, count(*) as total_records from {FIRST}
+            select 1::bigint as snapshot_id, 'append' as operation, count(*) as total_records from {FIRST}
             union all select 2, 'append', count(*) from orders
             union all select 3, 'overwrite', count(*) from {OVERWRITTEN}
             union all select 4, 'append', (select count(*) from {OVERWRITTEN})
@@ -373,10 +373,10 @@ def compact(spark, sf_dir):
 @query(
     "t22_partition_transforms",
     """select l_orderkey, l_linenumber, l_partkey, l_returnflag as by_value,
-              year(l_shipdate) - 1970 as by_year,
-              (year(l_shipdate) - 1970) * 12 + month(l_shipdate) - 1 as by_month,
-              date_diff('day', date '1970-01-01', l_shipdate::date) as by_day,
-              cast(floor(epoch(l_shipdate) / 3600) as bigint) as by_hour,
+              (year(l_shipdate) - 1970)::integer as by_year,
+              ((year(l_shipdate) - 1970) * 12 + month(l_shipdate) - 1)::integer as by_month,
+              date_diff('day', date '1970-01-01', l_shipdate::date)::integer as by_day,
+              cast(floor(epoch(l_shipdate) / 3600) as integer) as by_hour,
               l_partkey - (l_partkey % 100) as by_hundred, l_linestatus as by_text,
               true as in_bucket
        from lineitem""",
@@ -405,7 +405,7 @@ def partition_transforms(spark, sf_dir):
 
 @query(
     "t23_sorted_write",
-    "select o_orderstatus, count(*) as records, 0 as out_of_order from orders group by 1",
+    "select o_orderstatus, count(*) as records, 0::bigint as out_of_order from orders group by 1",
 )
 def sorted_write(spark, sf_dir):
     """Rows whose predecessor in the same file has a larger sort column: none."""
