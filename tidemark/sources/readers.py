@@ -1,11 +1,13 @@
 """Reading files into DataFrames: format from the path, defaults, many sources, samples."""
 
 import os
+import re
 from urllib.parse import urlparse
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.text import INTEGRAL, to_number
 from tidemark.names import data_columns, quoted
 from tidemark.operators.cleaning import unique_names
 
@@ -56,72 +58,133 @@ def read_source(spark, path, source_format=None, schema=None, options=None):
 
 # --- delimited text -------------------------------------------------------------------
 
-_MISSING = "\x00missing\x00"
-_OVERFLOW = "_sys_overflow"
+# Texts that mean a missing value in delimited files, as pandas reads them.
+NULL_TEXTS = (
+    "",
+    "#N/A",
+    "#N/A N/A",
+    "#NA",
+    "-1.#IND",
+    "-1.#QNAN",
+    "-NaN",
+    "-nan",
+    "1.#IND",
+    "1.#QNAN",
+    "<NA>",
+    "N/A",
+    "NA",
+    "NULL",
+    "NaN",
+    "None",
+    "n/a",
+    "nan",
+    "null",
+)
+_BAD_LINE = "_sys_bad_line"
 
 
 def _csv_options(options):
-    return {"header": "true", **{k: str(v) for k, v in options.items()}}
+    return {"header": "true", **{key: str(value) for key, value in options.items()}}
 
 
 def csv_columns(spark, path, options):
     """Column names from the first line; names that repeat or are empty get a number."""
     options = _csv_options(options)
-    has_header = str(options["header"]).lower() == "true"
     first = spark.read.options(**{**options, "header": "false"}).csv(path).first()
     if first is None:
         return []
-    if not has_header:
+    if options["header"].lower() != "true":
         return [f"_c{i}" for i in range(len(first))]
     return unique_names([name or f"unnamed_{i}" for i, name in enumerate(first)])
 
 
-def read_csv(spark, path, schema=None, options=None, keep_bad=False):
-    """Delimited text. Lines with too many values are left out, short ones end in nulls.
+def _values_in_line(line, options):
+    """Number of values in a raw line: separators outside quotes, and one."""
+    quote, escape = re.escape(options.get("quote", '"')), re.escape(options.get("escape", "\\"))
+    quoted_value = f"{quote}(?:{escape}.|{quote}{quote}|[^{quote}{escape}])*{quote}"
+    bare = F.regexp_replace(line, F.lit(quoted_value), F.lit(""))
+    separator = options.get("sep", options.get("delimiter", ","))
+    without = F.replace(bare, F.lit(separator))
+    return (F.length(bare) - F.length(without)) / len(separator) + 1
+
 
-    Spark alone would cut long lines and keep them, or drop short ones too. Here every value
-    is read as text with one column more than the header has; a line that fills it is too
-    long. With ``keep_bad`` those lines stay, marked true in ``_sys_overflow``, e.g. to count
-    them. Without a schema one further pass finds the types, as always with inference.
+def _csv_texts(spark, path, names, options, keep_bad):
+    """All values as text, missing ones null, lines with too many values left out.
+
+    Only a line with another number of values than columns is kept whole by the reader; short
+    ones among them stay and end in nulls, as pandas has it, long ones go.
     """
-    options = dict(options or {})
-    if schema is None:
-        names = csv_columns(spark, path, options)
-        if not names:
-            return spark.createDataFrame([], T.StructType([]))
-        inferred = (
-            spark.read.options(**{**_csv_options(options), "inferSchema": "true"})
-            .csv(path)
-            .schema
-        )
-        schema = T.StructType(
-            [T.StructField(n, f.dataType, True) for n, f in zip(names, inferred.fields)]
-        )
-    texts = T.StructType(
-        [T.StructField(f.name, T.StringType()) for f in schema.fields]
-        + [T.StructField(_OVERFLOW, T.StringType())]
-    )
-    # An empty value must differ from a missing one, so empty text is not read as null yet.
-    read_options = {
-        **_csv_options(options),
-        "nullValue": _MISSING,
-        "emptyValue": "",
+    options = _csv_options(options)
+    fields = [T.StructField(name, T.StringType()) for name in [*names, _BAD_LINE]]
+    settings = {
+        **options,
         "mode": "PERMISSIVE",
+        "columnNameOfCorruptRecord": _BAD_LINE,
         "enforceSchema": "true",
     }
-    raw = spark.read.options(**read_options).schema(texts).csv(path)
-    null_text = str(options.get("nullValue", ""))
-    columns = []
-    for field in schema.fields:
-        value = F.col(quoted(field.name))
-        value = F.when((value != "") & (value != null_text), value)
-        if not isinstance(field.dataType, T.StringType):
-            value = F.trim(value).try_cast(field.dataType)
-        columns.append(value.alias(field.name))
-    overflow = F.col(_OVERFLOW).isNotNull()
+    raw = spark.read.options(**settings).schema(T.StructType(fields)).csv(path)
+    null_texts = ["", options["nullValue"]] if "nullValue" in options else list(NULL_TEXTS)
+    line = F.col(_BAD_LINE)
+    # Spark reads the raw line only together with a value, even where a count needs none.
+    has_values = F.length(F.coalesce(F.col(quoted(names[-1])), F.lit(""))) >= 0
+    too_long = has_values & F.coalesce(
+        _values_in_line(line, options) > len(names), F.lit(False)
+    )
+    values = [
+        F.when(~F.col(quoted(name)).isin(null_texts), F.col(quoted(name))).alias(name)
+        for name in names
+    ]
     if keep_bad:
-        return raw.select(*columns, overflow.alias(_OVERFLOW))
-    return raw.filter(~overflow).select(*columns)
+        return raw.select(*values, too_long.alias(_BAD_LINE))
+    return raw.filter(~too_long).select(*values)
+
+
+def _inferred_types(texts):
+    """Type of every text column, from one aggregate: bigint, double, boolean or string."""
+    measures = []
+    for i, name in enumerate(texts.columns):
+        column = F.col(quoted(name))
+        whole = F.when(column.rlike(INTEGRAL), F.trim(column).try_cast("bigint"))
+        measures += [
+            F.count(column).alias(f"present{i}"),
+            F.count(whole).alias(f"whole{i}"),
+            F.count(to_number(column, T.StringType())).alias(f"number{i}"),
+            F.count_if(F.lower(column).isin("true", "false")).alias(f"truth{i}"),
+        ]
+    row = texts.agg(*measures).first()
+    kinds = (("whole", T.LongType()), ("number", T.DoubleType()), ("truth", T.BooleanType()))
+    types = []
+    for i in range(len(texts.columns)):
+        present = row[f"present{i}"]
+        fitting = [kind for name, kind in kinds if present and row[f"{name}{i}"] == present]
+        types.append(fitting[0] if fitting else T.StringType())
+    return types
+
+
+def read_csv(spark, path, schema=None, options=None):
+    """Delimited text. Lines with too many values are left out, short ones end in nulls.
+
+    Without a schema one further pass finds the types; dates stay text, as in pandas. With one,
+    a value that does not fit its type is null.
+    """
+    options = dict(options or {})
+    names = schema.fieldNames() if schema is not None else csv_columns(spark, path, options)
+    if not names:
+        return spark.createDataFrame([], T.StructType([]))
+    texts = _csv_texts(spark, path, names, options, keep_bad=False)
+    types = (
+        [field.dataType for field in schema.fields]
+        if schema is not None
+        else _inferred_types(texts)
+    )
+    return texts.select(
+        *[
+            F.col(quoted(name))
+            if isinstance(kind, T.StringType)
+            else F.trim(F.col(quoted(name))).try_cast(kind).alias(name)
+            for name, kind in zip(names, types)
+        ]
+    )
 
 
 def count_bad_lines(spark, path, source_format="csv", options=None):
@@ -130,8 +193,7 @@ def count_bad_lines(spark, path, source_format="csv", options=None):
     if source_format == "tsv":
         options = {"sep": "\t", **options}
     names = csv_columns(spark, path, options)
-    schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
-    return read_csv(spark, path, schema, options, keep_bad=True).filter(_OVERFLOW).count()
+    return _csv_texts(spark, path, names, options, keep_bad=True).filter(_BAD_LINE).count()
 
 
 # --- several sources, samples ---------------------------------------------------------
