@@ -121,6 +121,8 @@ def _csv_texts(spark, path, names, options, keep_bad):
         "mode": "PERMISSIVE",
         "columnNameOfCorruptRecord": _BAD_LINE,
         "enforceSchema": "true",
+        # Lines are checked whole, also when few columns are selected.
+        "columnPruning": "false",
     }
     raw = spark.read.options(**settings).schema(T.StructType(fields)).csv(path)
     null_texts = ["", options["nullValue"]] if "nullValue" in options else list(NULL_TEXTS)
