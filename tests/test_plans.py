@@ -96,3 +96,32 @@ def test_known_rows_are_not_joined_by_a_forced_broadcast(spark, lines):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert "Broadcast" not in text
+
+
+def test_hot_rows_are_split_in_a_join_by_hash(spark):
+    """Half of the rows are copies of one row: its partition is read by several tasks."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.files.maxPartitionBytes": "20KB",
+    }
+    before = {name: spark.conf.get(name, None) for name in settings}
+    ids = F.when(F.col("id") % 2 == 0, F.lit(0)).otherwise(F.col("id"))
+    payload = F.sha2(F.col("id").cast("string"), 512).alias("payload")
+    rows = spark.range(0, 40_000, 1, 16).select(ids.alias("id"), payload)
+    other = spark.range(0, 20_000, 1, 4).select(F.col("id") * 2 + 1).toDF("id")
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        only = D.rows_only_in(rows, other, ["id"])
+        count = len(only.collect())
+        text = only._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+    assert "skew=true" in text
+    assert count == 20_000

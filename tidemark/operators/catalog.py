@@ -6,12 +6,12 @@ side; a dataset with most of the events is no bottleneck.
 """
 
 import time
-from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.files import path_exists
+from tidemark.functions.rows import one_row, utc
 
 EVENT_SCHEMA = T.StructType(
     [
@@ -226,8 +226,7 @@ class Catalog:
         return self.spark.read.schema(schema).parquet(path)
 
     def _add(self, path, schema, row):
-        frame = self.spark.createDataFrame([row], schema)
-        frame.coalesce(1).write.mode("append").parquet(path)
+        one_row(self.spark, row, schema).write.mode("append").parquet(path)
 
     def events(self):
         return self._table(self.events_path, EVENT_SCHEMA)
@@ -252,11 +251,10 @@ class Catalog:
 
     def _event(self, event, name, at=None, description="", tags=(), source_uri="",
                table_path="", schema=None, extra=None):
-        at = at or datetime.now(timezone.utc)
         row = (
             event,
             time.time_ns(),
-            at,
+            utc(at),
             name,
             description,
             list(tags),
@@ -271,15 +269,28 @@ class Catalog:
         """Register a dataset, or update it: empty values keep what was there."""
         self._event("register", name, **fields)
 
+    def _last_events(self, name):
+        """Numbers of the last register and the last delete of a dataset, 0 where none."""
+        number = F.when(F.col("event") == "register", F.col("seq"))
+        deleted = F.when(F.col("event") == "delete", F.col("seq"))
+        row = (
+            self.events()
+            .filter(F.col("name") == name)
+            .agg(F.max(number).alias("registered"), F.max(deleted).alias("deleted"))
+            .first()
+        )
+        return row["registered"] or 0, row["deleted"] or 0
+
     def exists(self, name):
-        found = live_events(self.events().filter(F.col("name") == name))
-        return bool(found.limit(1).count())
+        registered, deleted = self._last_events(name)
+        return registered > deleted
 
     def add_version(self, name, version_tag, added_rows, total_rows=None, snapshot_id=None,
                     checksum="", schema=None, lineage_node_id=None, extra=None, at=None):
         """Add a version; an unknown dataset is registered, a tag in use is refused."""
-        self.check_new_tag(name, version_tag)
-        if schema or not self.exists(name):
+        registered, deleted = self._last_events(name)
+        self._refuse_used_tag(name, version_tag, deleted)
+        if schema or registered <= deleted:
             self.register(name, schema=schema, at=at)
         row = (
             time.time_ns(),
@@ -288,7 +299,7 @@ class Catalog:
             snapshot_id,
             added_rows,
             added_rows if total_rows is None else total_rows,
-            at or datetime.now(timezone.utc),
+            utc(at),
             checksum,
             lineage_node_id,
             {key: str(value) for key, value in (extra or {}).items()},
@@ -321,7 +332,15 @@ class Catalog:
         ).parquet(self.versions_path)
 
     def check_new_tag(self, name, version_tag):
-        if self._versions_of(name).filter(F.col("version_tag") == version_tag).count():
+        self._refuse_used_tag(name, version_tag, self._last_events(name)[1])
+
+    def _refuse_used_tag(self, name, version_tag, deleted):
+        used = self._table(self.versions_path, VERSION_SCHEMA).filter(
+            (F.col("name") == name)
+            & (F.col("version_tag") == version_tag)
+            & (F.col("seq") > deleted)
+        )
+        if not used.isEmpty():
             raise DuplicateVersion(f"{name} already has a version {version_tag}")
 
     def _versions_of(self, name):

@@ -6,6 +6,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.files import path_exists
 from tidemark.functions.hashing import hash_columns, row_hash
+from tidemark.functions.skew import key_set
 from tidemark.names import ROW_HASH, quoted
 
 # Types whose minimum Spark keeps in a fixed-width buffer, which allows a hash aggregate.
@@ -119,14 +120,22 @@ def duplicates(df, columns=None, order_by=None, algorithm="sha256", framed=False
     return with_row_hash(rows, names, algorithm, framed)
 
 
-def drop_known(df, known):
+def drop_known(df, known, large_ledger=False):
     """Rows whose hash is not in ``known``.
 
     A plain anti-join: Spark broadcasts the ledger only when its size is below the
     broadcast threshold, and shuffles both sides by hash otherwise. After ``deduplicate``
-    every hash occurs once, so no key is hot.
+    every hash occurs once; without it, hot hashes are split by adaptive execution.
+
+    ``large_ledger=True`` suits a batch that is small against all that is known: first the
+    known hashes that occur in the batch are found. With a batch below the broadcast threshold
+    that is one scan of the ledger without a shuffle, and what goes on is no larger than the
+    batch. The batch is read twice for it, or once where it comes out of a shuffle that Spark
+    uses again.
     """
-    return df.join(known.select(ROW_HASH).distinct(), ROW_HASH, "left_anti")
+    if large_ledger:
+        known = known.select(ROW_HASH).join(key_set(df, ROW_HASH), ROW_HASH, "left_semi")
+    return df.join(key_set(known, ROW_HASH), ROW_HASH, "left_anti")
 
 
 def drop_duplicates_native(df, subset=None):

@@ -1,12 +1,13 @@
 """Where versions come from: a table of nodes with the ids of their parents."""
 
 import uuid
-from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.files import cut_lineage, path_exists
+from tidemark.functions.rows import one_row, utc
+from tidemark.functions.skew import key_set
 
 NODE_SCHEMA = T.StructType(
     [
@@ -47,7 +48,7 @@ def datasets_with_lineage(nodes):
 def edges(nodes):
     """``node_id, parent_id`` for parents that exist as nodes."""
     pairs = nodes.select("node_id", F.explode("parent_node_ids").alias("parent_id")).distinct()
-    known = nodes.select(F.col("node_id").alias("parent_id")).distinct()
+    known = key_set(nodes, "node_id", "parent_id")
     return pairs.join(known, "parent_id", "left_semi").select("node_id", "parent_id")
 
 
@@ -60,7 +61,7 @@ def ancestors(nodes, starts):
     is checkpointed to shared storage, which keeps the plan short and survives lost executors.
     """
     links = cut_lineage(edges(nodes))
-    present = nodes.select("node_id").distinct()
+    present = key_set(nodes, "node_id")
     seen = cut_lineage(
         starts.select("node_id")
         .distinct()
@@ -164,7 +165,7 @@ class LineageTable:
             dataset,
             version_tag,
             snapshot_id,
-            at or datetime.now(timezone.utc),
+            utc(at),
             list(source_uris),
             list(parent_node_ids),
             list(transforms),
@@ -172,6 +173,5 @@ class LineageTable:
             row_count,
             {key: str(value) for key, value in (extra or {}).items()},
         )
-        frame = self.spark.createDataFrame([row], NODE_SCHEMA)
-        frame.coalesce(1).write.mode("append").parquet(self.path)
+        one_row(self.spark, row, NODE_SCHEMA).write.mode("append").parquet(self.path)
         return node_id

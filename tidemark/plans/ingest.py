@@ -65,7 +65,7 @@ class Ingest:
     def prepare(self, df, known=None):
         """Cleaned rows without duplicates, and without known rows in an incremental run."""
         rows = dedup.deduplicate(self.cleaning.run(df))
-        return rows if known is None else dedup.drop_known(rows, known)
+        return rows if known is None else dedup.drop_known(rows, known, large_ledger=True)
 
     def dry_run(self, df):
         """``(rows, report)`` with nothing written."""

@@ -13,15 +13,14 @@ is one row in the log and touches no data.
 
 import json
 from dataclasses import dataclass, replace
-from datetime import datetime, timezone
-
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.files import delete_path, path_exists
+from tidemark.functions.files import delete_path, path_bytes, path_exists
 from tidemark.functions.hashing import content_checksum, row_hash
 from tidemark.functions.partitioning import PartitionBy, partition_type, partition_value
+from tidemark.functions.rows import one_row, utc
 from tidemark.functions.typenames import canonical_type
 from tidemark.names import ROW_HASH, data_columns, dataset_dir, quoted
 from tidemark.plans import commits
@@ -120,15 +119,6 @@ class WriteResult:
     measures: dict
 
 
-def _utc(at):
-    """Timestamps of the log are UTC without zone, whatever zone a caller uses."""
-    if at is None:
-        at = datetime.now(timezone.utc)
-    if at.tzinfo is not None:
-        at = at.astimezone(timezone.utc).replace(tzinfo=None)
-    return at
-
-
 class VersionedDataset:
     def __init__(self, spark, root, name):
         self.spark = spark
@@ -159,29 +149,15 @@ class VersionedDataset:
         return self.spark.read.schema(LOG_SCHEMA).parquet(f"{self.path}/log")
 
     def commit_log(self):
-        # Seconds since 1970 instead of timestamps: rows reach Python free of any zone.
-        rows = []
-        seconds = F.unix_micros("committed_at").alias("committed_at")
-        for row in self.log().withColumn("committed_at", seconds).collect():
-            row = row.asDict()
-            at = datetime.fromtimestamp(row["committed_at"] / 1_000_000, timezone.utc)
-            rows.append({**row, "committed_at": at.replace(tzinfo=None)})
-        return CommitLog(rows)
+        return CommitLog.from_frame(self.log())
 
     def definition(self, log=None):
         return TableDefinition.from_json((log or self.commit_log()).table_json())
 
     def _commit(self, log, operation, at=None, parent=None, batch=None, base=None, table=None,
                 summary=None):
-        at = _utc(at)
-        micros = int(at.replace(tzinfo=timezone.utc).timestamp()) * 1_000_000 + at.microsecond
-        row = (log.next_id, parent, micros, operation, batch, base, table, summary or {})
-        frame = self.spark.createDataFrame(
-            [row],
-            "snapshot_id bigint, parent_id bigint, committed_at bigint, operation string, "
-            "batch_id bigint, base_batch bigint, table string, summary map<string,string>",
-        ).withColumn("committed_at", F.timestamp_micros("committed_at"))
-        frame.coalesce(1).write.mode("append").parquet(f"{self.path}/log")
+        row = (log.next_id, parent, utc(at), operation, batch, base, table, summary or {})
+        one_row(self.spark, row, LOG_SCHEMA).write.mode("append").parquet(f"{self.path}/log")
         return log.next_id
 
     # --- writing ----------------------------------------------------------------------
@@ -244,15 +220,19 @@ class VersionedDataset:
             writer = writer.partitionBy(*[spec.directory for spec in definition.partition_by])
         writer.parquet(target)
         seen = observation.get
-        files = self._file_facts(self._scan(definition, (batch,)))
-        if seen.get("_rows") != files["rows"]:
-            stored = self._scan(definition, (batch,))
+        stored = self._scan(definition, (batch,))
+        facts = {
+            "files": len(stored.inputFiles()),
+            "rows": stored.count(),
+            "bytes": path_bytes(self.spark, target),
+        }
+        if seen.get("_rows") != facts["rows"]:
             seen = self._named(stored, definition).agg(*figures).first().asDict()
         if seen["_empty_partitions"]:
             delete_path(self.spark, target)
             raise SchemaMismatch("empty text cannot be a partition value: it would read as null")
         return {
-            **files,
+            **facts,
             "checksum": seen["_checksum"],
             "measures": {name: seen[name] for name in measures or {}},
         }
@@ -536,7 +516,7 @@ class VersionedDataset:
         """
         log = self.commit_log()
         if as_of is not None:
-            snapshot_id = log.as_of(_utc(as_of))["snapshot_id"]
+            snapshot_id = log.as_of(utc(as_of))["snapshot_id"]
         if snapshot_id is None:
             if log.current_id is None:
                 return self._read_batches(self.definition(log), (), ())
@@ -591,7 +571,7 @@ class VersionedDataset:
         )
 
     def rollback_to_time(self, as_of, at=None):
-        return self.rollback_to(self.commit_log().as_of(_utc(as_of))["snapshot_id"], at)
+        return self.rollback_to(self.commit_log().as_of(utc(as_of))["snapshot_id"], at)
 
     def expire(self, older_than, retain_last=5, at=None):
         """Make old snapshots unreadable and delete batches no other snapshot sees.
@@ -600,7 +580,7 @@ class VersionedDataset:
         them. The log is written first: a job that dies later leaves files, never gaps.
         """
         log = self.commit_log()
-        gone = log.to_expire(_utc(older_than), retain_last)
+        gone = log.to_expire(utc(older_than), retain_last)
         batches = [b for b in log.unneeded_batches(gone) if self._has_batch(b)]
         if gone:
             summary = {"expired": ",".join(str(number) for number in gone)}

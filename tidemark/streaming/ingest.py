@@ -32,7 +32,7 @@ def stream_into(
         rows = cleaning.run(batch) if cleaning is not None else batch
         rows = dedup.deduplicate(rows, hash_columns)
         if dataset.commit_log().current_id is not None:
-            rows = dedup.drop_known(rows, dataset.known_hashes())
+            rows = dedup.drop_known(rows, dataset.known_hashes(), large_ledger=True)
         dataset.append(rows, at=at(number) if at else None, token=token)
 
     writer = source.writeStream.foreachBatch(append).option(

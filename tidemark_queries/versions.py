@@ -120,6 +120,18 @@ def read_at_time(spark, sf_dir):
     return orders_by_year(spark, sf_dir)[1].read(as_of=datetime(1997, 6, 30))
 
 
+@query(
+    "t11_snapshot_as_of",
+    f"""select max({YEAR}) - 1994 as snapshot_id, count(*) as total_records
+        from orders where {YEAR} <= 1996""",
+)
+def snapshot_as_of(spark, sf_dir):
+    log = orders_by_year(spark, sf_dir)[1].log()
+    found = commits.snapshot_as_of(log, datetime(1997, 1, 1))
+    total = F.element_at("summary", "total-records").cast("bigint").alias("total_records")
+    return found.select("snapshot_id", total)
+
+
 @query("t12_read_between", f"select * from orders where {YEAR} between 1997 and 1999")
 def read_between(spark, sf_dir):
     return orders_by_year(spark, sf_dir)[1].read_between(2, 5)
@@ -347,7 +359,7 @@ def expire(spark, sf_dir):
 def expirable_snapshots(spark, sf_dir):
     log = orders_by_year(spark, sf_dir)[1].log()
     added = F.element_at("summary", "added-records").cast("bigint").alias("added_records")
-    return commits.expirable(log, "2001-06-01", retain_last=3).select("snapshot_id", added)
+    return commits.expirable(log, datetime(2001, 6, 1), retain_last=3).select("snapshot_id", added)
 
 
 @query(
