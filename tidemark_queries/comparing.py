@@ -350,11 +350,17 @@ def breaking_changes(spark, sf_dir):
     return found[0].unionAll(found[1])
 
 
+SIGNIFICANT = " union all ".join(
+    _delta(n, "abs(b.m - a.m) / greatest(abs(a.m), 1e-9) > 0.1 as moved") for n in NUMERIC
+)
+
+
 @query(
     "d13_diff_report",
     f"""select 'orders' as dataset, 'v1' as version_before, 'v2' as version_after,
                '' as added_columns, '' as removed_columns, '' as type_changed,
-               'o_totalprice' as significant_columns, *,
+               (select coalesce(string_agg("column", ',' order by "column"), '')
+                from ({SIGNIFICANT}) where moved) as significant_columns, *,
                round((rows_added + rows_removed) / rows_total_before, 4) as change_rate,
                false as has_breaking_changes
         from ({ROW_DIFF})""",

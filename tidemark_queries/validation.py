@@ -109,7 +109,16 @@ def not_nullable(spark, sf_dir):
     "v7_max_null_fraction",
     _sql(
         NULLED,
-        ("value", "max_null_fraction", "error", "count(*) filter (where value is null)"),
+        *[
+            (
+                name,
+                "max_null_fraction",
+                "error",
+                f"case when avg(({name} is null)::int) > {limit} "
+                f"then count(*) - count({name}) else 0 end",
+            )
+            for name, limit in (("value", 0.1), ("event_type", 0.3))
+        ],
     ),
 )
 def max_null_fraction(spark, sf_dir):
