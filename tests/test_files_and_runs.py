@@ -111,6 +111,16 @@ def test_sample_is_the_same_for_any_layout(spark):
     assert first != plain(readers.sample_rows(df, 20, seed=1))
 
 
+def test_large_sample_is_the_same_as_a_small_one(spark, monkeypatch):
+    df = spark.range(3000).unionAll(spark.range(500)).select((F.col("id") % 1000).alias("id"))
+    for n in (1, 37, 250, 2999, 3500, 9000):
+        monkeypatch.setattr(readers, "_TOP_ROWS", 100_000)
+        wanted = plain(readers.sample_rows(df, n))
+        monkeypatch.setattr(readers, "_TOP_ROWS", 2)
+        assert plain(readers.sample_rows(df, n)) == wanted
+        assert len(wanted) == min(n, 3500)
+
+
 def test_manifest(spark, folder):
     spark.range(10).write.parquet(f"{folder}/x.parquet")
     df = readers.read_source(spark, f"{folder}/x.parquet")

@@ -232,15 +232,44 @@ def read_many(spark, paths, source_format=None, options=None):
     return union_sources([read_source(spark, p, source_format, options=options) for p in paths])
 
 
+# Up to this many rows are sampled by one top-n.
+_TOP_ROWS = 100_000
+
+
 def sample_rows(df, n, key=None, seed=42):
     """``n`` rows chosen by hash order: the same rows on every run and any layout.
 
-    A top-n by hash: each task keeps n rows and only those are merged. All rows when the
-    frame has no more than ``n``.
+    A small sample is a top-n by hash: each task keeps n rows and only those are merged. A
+    large one is cut at the hash of its last row, found by counting rows per hash prefix, so
+    that no task sees more than the few rows around the cut. All rows when the frame has no
+    more than ``n``.
     """
     names = list(key) if key else data_columns(df)
     text = F.concat_ws("|", *[F.col(quoted(name)).cast("string") for name in names])
-    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}|"), text))).limit(n)
+    place = F.md5(F.concat(F.lit(f"{seed}|"), text))
+    if n <= _TOP_ROWS:
+        return df.orderBy(place).limit(n)
+    marked = df.withColumn("_sys_place", place)
+    return _lowest(marked, n).drop("_sys_place")
+
+
+def _lowest(marked, n):
+    """The ``n`` rows with the lowest ``_sys_place``, of any number of rows."""
+    place, cut, taken = F.col("_sys_place"), "", 0
+    while n - taken > _TOP_ROWS and len(cut) < 32:
+        digits = len(cut) + 4
+        rest = marked.filter(place.startswith(cut)) if cut else marked
+        # At most 65,536 groups a round, however many rows.
+        prefixes = rest.groupBy(F.substring(place, 1, digits).alias("p")).count()
+        for row in sorted(prefixes.collect(), key=lambda row: row["p"]):
+            if taken + row["count"] > n:
+                cut = row["p"]
+                break
+            taken += row["count"]
+        else:
+            return marked if not cut else marked.filter(F.substring(place, 1, len(cut)) <= cut)
+    below = marked.filter(F.substring(place, 1, len(cut)) < cut)
+    return below.unionAll(marked.filter(place.startswith(cut)).orderBy(place).limit(n - taken))
 
 
 def sample_fraction(df, fraction, seed=42):
