@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import unicodedata
 
 import pandas as pd
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.hashing import content_checksum, row_hash
-from tidemark.functions.text import normalized_text
+from tidemark.functions.text import NUMBER, normalized_text, to_number, to_whole_number
 from tidemark.operators import cleaning as C
 from tidemark.operators import dedup
 from tidemark.operators import diff as D
@@ -100,6 +101,23 @@ def test_cast_numeric_like_pandas(spark):
         C.cast_numeric_columns(df, ["absent"])
 
 
+def test_numbers_are_what_the_pattern_says(spark):
+    """Random texts: a number by pattern converts, whole ones exactly, others never."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("0123456789+-.eEdDfFx \tna", k=rng.randint(1, 6))) for _ in range(20_000)]
+    texts += ["inf", "Infinity", "nan", "1d", "2F", "0x1p3", "1_000", "9223372036854775807"]
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    number = to_number(F.col("s"), df.schema["s"].dataType)
+    found = df.select("s", number.alias("n"), to_whole_number(F.col("s")).alias("w")).collect()
+    pattern, whole = re.compile(NUMBER), re.compile(r"\s*[+-]?\d+\s*")
+    for text, value, integer in found:
+        if pattern.match(text):
+            assert value == float(text)
+        else:
+            assert value is None
+        assert integer == (int(text) if whole.fullmatch(text) else None)
+
+
 def test_coerce_is_all_or_nothing(spark):
     df = spark.createDataFrame([("1", "1"), ("2", "x"), (None, None)], "a string, b string")
     found = C.coerce_dtypes(df, {"a": "int64", "b": "int64", "absent": "int64"})

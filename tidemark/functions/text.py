@@ -20,10 +20,6 @@ def stripped(column):
     return F.nullif(bare, F.lit("nan"))
 
 
-def _is_plain_number(data_type):
-    return isinstance(data_type, (T.NumericType, T.BooleanType))
-
-
 def to_number(column, data_type):
     """Value as double, or null where it is no number. Dates and nested types never are."""
     if isinstance(data_type, T.BooleanType):
@@ -33,16 +29,26 @@ def to_number(column, data_type):
         return F.when(~F.isnan(value), value)
     if isinstance(data_type, T.StringType):
         # The pattern guards the cast: Spark alone would accept texts such as "1d".
-        return F.when(column.rlike(NUMBER), F.trim(column).try_cast("double"))
+        return F.when(column.rlike(NUMBER), column.try_cast("double"))
     return F.lit(None).cast("double")
 
 
 def convertible_to_number(column, data_type):
-    if _is_plain_number(data_type):
+    if isinstance(data_type, T.BooleanType):
         return column.isNotNull()
+    if isinstance(data_type, T.StringType):
+        return F.coalesce(column.rlike(NUMBER), F.lit(False))
     return to_number(column, data_type).isNotNull()
 
 
+def to_whole_number(column):
+    """Text as bigint, or null: no fraction, no exponent, nothing beyond 64 bits.
+
+    The pattern comes first because a cast that fails costs far more than a match that does.
+    """
+    return F.when(column.rlike(INTEGRAL), column.try_cast("bigint"))
+
+
 def _normal_form_udf(form):
     # Nested so that the function travels by value and workers need no package install.
     @F.pandas_udf(T.StringType())

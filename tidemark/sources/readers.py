@@ -7,7 +7,7 @@ from urllib.parse import urlparse
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.text import INTEGRAL, to_number
+from tidemark.functions.text import convertible_to_number, to_whole_number
 from tidemark.names import data_columns, quoted
 from tidemark.operators.cleaning import unique_names
 
@@ -146,11 +146,10 @@ def _inferred_types(texts):
     measures = []
     for i, name in enumerate(texts.columns):
         column = F.col(quoted(name))
-        whole = F.when(column.rlike(INTEGRAL), F.trim(column).try_cast("bigint"))
         measures += [
             F.count(column).alias(f"present{i}"),
-            F.count(whole).alias(f"whole{i}"),
-            F.count(to_number(column, T.StringType())).alias(f"number{i}"),
+            F.count(to_whole_number(column)).alias(f"whole{i}"),
+            F.count_if(convertible_to_number(column, T.StringType())).alias(f"number{i}"),
             F.count_if(F.lower(column).isin("true", "false")).alias(f"truth{i}"),
         ]
     row = texts.agg(*measures).first()
@@ -183,7 +182,7 @@ def read_csv(spark, path, schema=None, options=None):
         *[
             F.col(quoted(name))
             if isinstance(kind, T.StringType)
-            else F.trim(F.col(quoted(name))).try_cast(kind).alias(name)
+            else F.col(quoted(name)).try_cast(kind).alias(name)
             for name, kind in zip(names, types)
         ]
     )
