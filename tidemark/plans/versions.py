@@ -22,7 +22,7 @@ from tidemark.functions.hashing import content_checksum, row_hash
 from tidemark.functions.partitioning import PartitionBy, partition_type, partition_value
 from tidemark.functions.rows import one_row, utc
 from tidemark.functions.typenames import canonical_type
-from tidemark.names import ROW_HASH, data_columns, dataset_dir, quoted
+from tidemark.names import ROW_HASH, dataset_dir, quoted
 from tidemark.plans import commits
 from tidemark.plans.commits import LOG_SCHEMA, CommitLog, SnapshotNotFound
 
