@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import substrings
+from tidemark.llm import sharding, substrings, urls
 
 QUERIES, ORACLES = {}, {}
 
@@ -51,3 +51,33 @@ def op1_substring_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = substrings.remove_repeated(docs, with_text=False)
     return out.select("row.doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query("op4_sharding")
+def op4_sharding(spark, sf_dir):
+    out = sharding.shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(
+        "row.doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+RULES = (
+    urls.Rule("block", "net", "/"),
+    urls.Rule("allow", "example.net", "/en/"),
+    urls.Rule("block", "example.com", "/de/"),
+    urls.Rule("allow", "org", "/fr/"),
+)
+
+
+@query("op5_url_filter")
+def op5_url_filter(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.judge(pages, RULES).select(
+        "row.page_id", "host", "path", "rule", "verdict", "block_score"
+    )

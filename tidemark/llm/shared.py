@@ -4,6 +4,7 @@ import itertools
 import uuid
 
 import pyarrow as pa
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.files import shared_dir
@@ -50,13 +51,8 @@ def gapless(df, group, order, name):
     counts = dealt.groupBy(*group, "_part").agg(
         F.count("*").alias("_rows"), F.min("_id").alias("_least")
     )
-    from pyspark.sql import Window
-
-    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
-    same = [dealt[c].eqNullSafe(counts[c]) for c in (*group, "_part")]
-    joined = dealt.join(counts.drop("_rows"), [*group, "_part"]) if group else None
-    del same
-    return joined.withColumn(name, F.col("_id") - F.col("_least") + F.col("_before")).drop(
-        "_id", "_part", "_least", "_before"
-    )
+    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+    numbered = dealt.join(counts.drop("_rows"), [*group, "_part"])
+    number = F.col("_id") - F.col("_least") + F.col("_before")
+    return numbered.withColumn(name, number).drop("_id", "_part", "_least", "_before")
