@@ -1,8 +1,9 @@
 """The registered queries of the training-data operators and their SQL."""
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidemark.llm import sharding, substrings, urls
+from tidemark.llm import packing, sharding, substrings, tokens, urls
 
 QUERIES, ORACLES = {}, {}
 
@@ -81,3 +82,18 @@ def op5_url_filter(spark, sf_dir):
     return urls.judge(pages, RULES).select(
         "row.page_id", "host", "path", "rule", "verdict", "block_score"
     )
+
+
+@query("op3_token_output")
+def op3_token_output(spark, sf_dir):
+    uri = tokens.token_folder(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    files = tokens.write_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), uri)
+    return tokens.read_tokens(files, uri).withColumnRenamed("id", "doc_id")
+
+
+@query("op10_best_fit_packing")
+def op10_best_fit_packing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    packed = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packed.withColumnRenamed("id", "doc_id")

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 WORD = r"[^\x20\x09-\x0D]+"
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
