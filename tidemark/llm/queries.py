@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidemark.llm import packing, sharding, substrings, tokens, urls
+from tidemark.llm import language, packing, quality_crf, quality_rules, sharding, substrings, tokens, urls
 
 QUERIES, ORACLES = {}, {}
 
@@ -97,3 +97,44 @@ def op10_best_fit_packing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     packed = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
     return packed.withColumnRenamed("id", "doc_id")
+
+
+@query("op9_quality_rules")
+def op9_quality_rules(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    out = quality_rules.judge(docs)
+    return out.select(
+        "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept", "distance",
+    )
+
+
+def held_out():
+    """Documents that no model may learn from."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+
+
+@query("op2_quality_classifier")
+def op2_quality_classifier(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    learnt = docs.where(~held_out()).select(F.col("doc_id").alias("id"), "text")
+    labels = table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("id"), F.col("quality").alias("label")
+    )
+    out = quality_crf.score(docs, quality_crf.train(learnt, labels)).select("row.*", "score")
+    return out.select(
+        "doc_id",
+        held_out().alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
+    )
+
+
+@query("op8_language_id")
+def op8_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    learnt = docs.where(~held_out()).select(F.col("doc_id").alias("id"), "text", "lang")
+    out = language.predict(docs.select("doc_id", "text"), language.train(learnt))
+    return out.select("row.*", "lang_pred", "score").select(
+        "doc_id", held_out().alias("held_out"), "lang_pred", "score"
+    )

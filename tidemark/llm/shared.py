@@ -24,8 +24,8 @@ def stored(df, name):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def in_arrow(function, schema):
-    """A mapInArrow function from one that maps one record batch to a dict of columns."""
+def in_arrow(function, schema=None):
+    """A mapInArrow function from one that maps one record batch to a dict of columns, or None."""
 
     def run(batches):
         for batch in batches:

@@ -350,7 +350,8 @@ def read_tokens(files, uri):
     # One row per file: the running sum is over file sizes only.
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     files = files.withColumn("before", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
-    files = files.repartition("file")
+    # One task for each file, which holds one partition of the rows.
+    files = files.repartition(max(files.count(), 1), "file")
     schema = pa.schema(
         [("id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())]
     )

@@ -28,7 +28,7 @@ def _powers(base, n, known={}):
 
 #: Odd bases with their inverses modulo 2**64, one pair for each of two independent hashes.
 _BASES = tuple((b, pow(b, -1, 1 << 64)) for b in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93))
-_BYTE_KEYS = tuple(
+BYTE_KEYS = tuple(
     np.random.Generator(np.random.PCG64(seed)).integers(1, 1 << 63, 256, dtype=np.uint64)
     for seed in (11, 12)
 )
@@ -41,7 +41,7 @@ def mix(x):
     return x ^ (x >> np.uint64(31))
 
 
-def _ranges_hash(values, starts, ends, which):
+def ranges_hash(values, starts, ends, which):
     """Hash of values[starts:ends] for each range, from one running sum."""
     base, inverse = _BASES[which]
     sums = np.zeros(len(values) + 1, np.uint64)
@@ -102,8 +102,8 @@ class Words:
     def hashes(self, which=0):
         """64-bit hash of every word."""
         if which not in self._hashes:
-            values = _BYTE_KEYS[which][self.data]
-            self._hashes[which] = _ranges_hash(values, self.starts, self.ends, which)
+            values = BYTE_KEYS[which][self.data]
+            self._hashes[which] = ranges_hash(values, self.starts, self.ends, which)
         return self._hashes[which]
 
     def windows(self, size, which=0):
@@ -111,15 +111,15 @@ class Words:
         n = len(self.starts)
         room = np.repeat(self.first[1:], self.counts) - np.arange(n)
         at = np.flatnonzero(room >= size)
-        return _ranges_hash(self.hashes(which), at, at + size, which), at
+        return ranges_hash(self.hashes(which), at, at + size, which), at
 
     def hash_at(self, at, size, which=0):
         """Hashes of the runs of ``size`` words that begin at the given words."""
-        return _ranges_hash(self.hashes(which), at, at + size, which)
+        return ranges_hash(self.hashes(which), at, at + size, which)
 
     def whole(self, which=0):
         """Hash of all words of every row."""
-        return _ranges_hash(self.hashes(which), self.first[:-1], self.first[1:], which)
+        return ranges_hash(self.hashes(which), self.first[:-1], self.first[1:], which)
 
     def row_of(self, word):
         return np.searchsorted(self.first, word, side="right") - 1
