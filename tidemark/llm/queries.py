@@ -3,7 +3,17 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidemark.llm import language, packing, quality_crf, quality_rules, sharding, substrings, tokens, urls
+from tidemark.llm import (
+    language,
+    near,
+    packing,
+    quality_crf,
+    quality_rules,
+    sharding,
+    substrings,
+    tokens,
+    urls,
+)
 
 QUERIES, ORACLES = {}, {}
 
@@ -138,3 +148,36 @@ def op8_language_id(spark, sf_dir):
     return out.select("row.*", "lang_pred", "score").select(
         "doc_id", held_out().alias("held_out"), "lang_pred", "score"
     )
+
+
+@query(
+    "op6_ngram_jaccard_join",
+    r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i : i + 4], ' ') AS g
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM w WHERE len(words) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common
+  FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+  WHERE 100 * common >= 80 * (x.n + y.n - common)
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM w
+  UNION
+  SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
+FROM w LEFT JOIN n USING (doc_id)
+JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)
+""",
+)
+def op6_ngram_jaccard_join(spark, sf_dir):
+    return near.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
