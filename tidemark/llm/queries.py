@@ -4,6 +4,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from tidemark.llm import (
+    decontaminate,
     language,
     near,
     packing,
@@ -181,3 +182,47 @@ JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (d
 )
 def op6_ngram_jaccard_join(spark, sf_dir):
     return near.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query(
+    "op7_benchmark_decontamination",
+    r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), d AS (
+  SELECT doc_id, list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i : i + 4], ' ')) AS s
+  FROM w WHERE len(words) >= 5
+), b AS (
+  SELECT item_id, list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i : i + 4], ' ')) AS t
+  FROM (
+    SELECT item_id, regexp_extract_all(
+      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x20\x09-\x0D]+') AS words
+    FROM benchmark
+  ) WHERE len(words) >= 5
+), shared AS (
+  SELECT DISTINCT doc_id, item_id
+  FROM (SELECT doc_id, unnest(s) AS g FROM d) JOIN (SELECT item_id, unnest(t) AS g FROM b) USING (g)
+), v AS (
+  SELECT doc_id, item_id, t, s, unnest(range(1, len(s) - len(t) + 2)) AS p
+  FROM shared JOIN d USING (doc_id) JOIN b USING (item_id) WHERE len(s) >= len(t)
+), c AS (
+  SELECT doc_id, item_id, p, len(t) AS m, list_sum(list_transform(list_distinct(t), lambda x: least(
+    len(list_filter(t, lambda y: y = x)),
+    len(list_filter(s[p : p + len(t) - 1], lambda y: y = x))))) AS c
+  FROM v
+), hit AS (
+  SELECT doc_id, item_id, p - 1 AS start, m + 4 AS n_words, c / (2 * m - c) AS similarity
+  FROM c WHERE 10 * c >= 8 * (2 * m - c)
+)
+SELECT doc_id, item_id, CAST(start AS INTEGER) AS start, CAST(n_words AS INTEGER) AS n_words, similarity
+FROM hit
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1
+""",
+)
+def op7_benchmark_decontamination(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.matches(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
