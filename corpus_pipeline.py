@@ -1,12 +1,79 @@
-"""Stages that turn raw documents into packed training sequences."""
+"""Stages that turn raw documents into packed training sequences.
 
-STAGES = []
+Every stage takes and returns the columns of ``documents``, further columns included; the last one
+returns the pieces of the packed sequences. ``run`` stores each stage's rows in the shared folder
+before the next one reads them, as recomputing a stage would cost more than storing it.
+"""
+
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from tidemark.llm import decontaminate, language, near, packing, substrings
+from tidemark.llm.queries import held_out
+from tidemark.llm.shared import stored
+
+TOKENIZER = "word_bpe_49k.json"
+
+#: The stages' results rest on trained models, hashes and a tokenizer, which SQL cannot state.
 ORACLE_SQL = None
 
 
+def keep_known_languages(spark, docs, sf_dir):
+    """Drop texts without any language; learn from ``lang`` of documents that are not held out."""
+    learnt = docs.where(~held_out()).select(F.col("doc_id").alias("id"), "text", "lang")
+    found = language.predict(docs, language.train(learnt)).where("lang_pred <> 'und'")
+    return _columns(found, docs)
+
+
+def keep_one_of_near_copies(spark, docs, sf_dir):
+    """Keep the document with the least id of every group of near copies.
+
+    Rows without an id are no part of a group and stay.
+    """
+    found = near.classes(docs).where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(stored(found, "near_copies"), "doc_id", "left_anti").select(docs.columns)
+
+
+def cut_repeated_passages(spark, docs, sf_dir):
+    """Cut passages of 13 words or more that an earlier document has; drop what is left empty."""
+    found = substrings.remove_repeated(docs)
+    cut = found.where("n_removed = 0 OR n_removed < n_words").withColumnRenamed("kept_text", "text")
+    cut = _columns(cut, docs)
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return cut.select(docs.columns)
+
+
+def drop_benchmark_leaks(spark, docs, sf_dir):
+    """Drop documents that hold a window like a benchmark item."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontaminate.matches(docs, benchmark).select("doc_id").distinct()
+    return docs.join(stored(found, "leaks"), "doc_id", "left_anti").select(docs.columns)
+
+
+def pack_sequences(spark, docs, sf_dir):
+    """Pack the documents' ids into sequences of at most 2048 tokens."""
+    packed = packing.pack_documents(docs, public_tokenizers.path(TOKENIZER))
+    return packed.withColumnRenamed("id", "doc_id")
+
+
+def _columns(found, docs):
+    """The columns of ``docs`` from the struct ``row`` and ``text``."""
+    return found.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
+
+
+STAGES = [
+    ("language_id", keep_known_languages),
+    ("ngram_jaccard_join", keep_one_of_near_copies),
+    ("substring_dedup", cut_repeated_passages),
+    ("benchmark_decontamination", drop_benchmark_leaks),
+    ("best_fit_packing", pack_sequences),
+]
+
+
 def run(spark, sf_dir):
     """All stages, one after the other, over the documents of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), name)
     return docs

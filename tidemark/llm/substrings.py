@@ -117,17 +117,16 @@ def _rebuilt(window, with_text):
             for part in slices(batch):
                 words = Words(part.column("text"))
                 gone = _gone(words, part, window)
-                texts = part.column("text").fill_null("").to_pylist()
                 removed, digests, kept = [], [], []
-                for i, text in enumerate(texts):
+                for i, text in enumerate(part.column("text").to_pylist()):
                     lost = gone[words.first[i] : words.first[i + 1]]
-                    left = text.encode().split()
+                    left = (text or "").encode().split()
                     if lost.any():
                         left = itertools.compress(left, (~lost).tolist())
                     left = b" ".join(left)
                     removed.append(int(lost.sum()))
                     digests.append(hashlib.sha256(left).hexdigest())
-                    kept.append(left.decode())
+                    kept.append(left.decode() if removed[-1] else text)
                 columns = {
                     "row": part.column("row"),
                     "n_words": pa.array(words.counts, pa.int64()),
@@ -160,8 +159,8 @@ def remove_repeated(docs, window=13, id_column="doc_id", text_column="text", wit
 
     Earlier means a smaller id. Windows are judged on the texts as given. Returns ``row`` (a
     struct of all given columns but the text, so that no name can clash), ``n_words``,
-    ``n_removed``, ``kept_sha256`` and with ``with_text`` also ``kept_text``, the words that stay,
-    joined by one space.
+    ``n_removed``, ``kept_sha256`` (of the words that stay, joined by one space) and with
+    ``with_text`` also ``kept_text``: these joined words, or the text as it was if none went.
 
     Null or empty texts have no words. Texts shorter than the window, rows without an id and rows
     that share an id and text lose nothing to each other. An exact copy of an earlier text of at
