@@ -105,11 +105,14 @@ class Classifier:
         return held @ self.folded / norm[:, None] + self.bias, letter
 
     def predict(self, texts):
-        """Language and score between 0 and 1; ``und`` and 0 for texts without a letter."""
+        """Language and score between 0 and 1; ``und`` and 0 for texts without a letter, and for all
+        texts where no language was learned."""
+        if not self.languages:
+            return ["und"] * len(texts), np.zeros(len(texts))
         scores, letter = self.scores(texts)
-        best = scores.argmax(axis=1) if len(self.languages) else np.zeros(len(texts), int)
+        best = scores.argmax(axis=1)
         found = [self.languages[b] if ok else "und" for b, ok in zip(best, letter, strict=True)]
-        top = scores[np.arange(len(texts)), best] if len(self.languages) else np.zeros(len(texts))
+        top = scores[np.arange(len(texts)), best]
         return found, np.where(letter, np.clip((top + 1) / 2, 0, 1), 0.0)
 
 

@@ -24,9 +24,9 @@ _HUGE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def lengths(window, least=7):
-    """Lengths of the levels: halves of the window, rounded up, down to ``least`` or less."""
+    """Lengths of the levels: halves of the window, rounded up, down to ``least`` or less; two at least."""
     found = [window]
-    while found[0] > least:
+    while found[0] > least or len(found) < 2:
         found.insert(0, (found[0] + 1) // 2)
     return found
 
@@ -178,7 +178,7 @@ def remove_repeated(docs, window=13, id_column="doc_id", text_column="text", wit
     texts = base.groupBy("key", "again").agg(F.min("doc").alias("first"))
 
     anchors = base.select("key", "text").mapInArrow(
-        _first_level(size, rest[0] if rest else window), "hash long, key long"
+        _first_level(size, rest[0]), "hash long, key long"
     )
     shared = anchors.groupBy("hash").agg(F.min("key").alias("low"), F.max("key").alias("high"))
     shared = shared.where("low < high").select("hash")

@@ -22,7 +22,9 @@ def _powers(base, n, known={}):
     if have is None or len(have) < n:
         full = np.full(max(n, SLICE_BYTES), base, np.uint64)
         full[0] = 1
-        known[base] = have = np.cumprod(full, dtype=np.uint64)
+        have = np.cumprod(full, dtype=np.uint64)
+        if n <= 4 * SLICE_BYTES:  # those of a very long text are not kept
+            known[base] = have
     return have[:n]
 
 
@@ -124,14 +126,6 @@ class Words:
     def row_of(self, word):
         return np.searchsorted(self.first, word, side="right") - 1
 
-    def text(self, row, keep=None):
-        """The row's words, or those that the mask keeps, joined by one space, as bytes."""
-        lo, hi = self.first[row], self.first[row + 1]
-        at = range(lo, hi) if keep is None else lo + np.flatnonzero(keep)
-        data = self.data.tobytes() if not hasattr(self, "_raw") else self._raw
-        self._raw = data
-        return b" ".join([data[self.starts[i] : self.ends[i]] for i in at])
-
 
 def signed(x):
     """Unsigned hashes as Spark's long."""
