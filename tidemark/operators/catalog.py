@@ -112,9 +112,14 @@ def current_datasets(events):
     )
 
 
+def added_last():
+    """Order of versions: number of the event that added them, then time and tag."""
+    return F.struct("seq", "created_at", "version_tag")
+
+
 def latest_versions(versions):
     """The version added last, per dataset."""
-    newest = F.max_by(F.struct(*[c for c in versions.columns if c != "name"]), "seq")
+    newest = F.max_by(F.struct(*[c for c in versions.columns if c != "name"]), added_last())
     return versions.groupBy("name").agg(newest.alias("v")).select("name", "v.*")
 
 
@@ -122,8 +127,8 @@ def version_counts(versions):
     """Per dataset: number of versions, latest tag and its total rows."""
     return versions.groupBy("name").agg(
         F.count(F.lit(1)).alias("versions"),
-        F.max_by("version_tag", "seq").alias("latest_version"),
-        F.max_by("total_rows", "seq").alias("latest_rows"),
+        F.max_by("version_tag", added_last()).alias("latest_version"),
+        F.max_by("total_rows", added_last()).alias("latest_rows"),
         F.max("created_at").alias("last_version_at"),
     )
 
@@ -145,9 +150,9 @@ def version_history(versions, name=None):
     """
     if name is not None:
         versions = versions.filter(F.col("name") == name)
-    latest = versions.groupBy("name").agg(F.max("seq").alias("last_seq"))
+    latest = versions.groupBy("name").agg(F.max(added_last()).alias("last"))
     return versions.join(latest, "name").select(
-        *versions.columns, (F.col("seq") == F.col("last_seq")).alias("is_latest")
+        *versions.columns, (added_last() == F.col("last")).alias("is_latest")
     )
 
 
@@ -310,7 +315,9 @@ class Catalog:
         """Many versions at once, as a frame with the columns of the version table.
 
         The same rules as for one: a tag in use, or named twice, is refused before anything
-        is written, and unknown datasets are registered.
+        is written, and unknown datasets are registered. All rows get the number of this one
+        event, so they come after every earlier event, deletes included; among them the time of
+        creation and then the tag say which was last.
         """
         keys = ["name", "version_tag"]
         repeated = rows.groupBy(*keys).count().filter("count > 1").select(*keys)
@@ -327,9 +334,9 @@ class Catalog:
         events.write.mode("append").parquet(self.events_path)
         empty = self.spark.createDataFrame([], VERSION_SCHEMA)
         rows = empty.unionByName(rows, allowMissingColumns=True)
-        rows.withColumn("seq", F.coalesce("seq", F.unix_micros("created_at") * 1000)).write.mode(
-            "append"
-        ).parquet(self.versions_path)
+        rows.withColumn("seq", F.lit(time.time_ns())).write.mode("append").parquet(
+            self.versions_path
+        )
 
     def check_new_tag(self, name, version_tag):
         self._refuse_used_tag(name, version_tag, self._last_events(name)[1])

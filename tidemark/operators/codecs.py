@@ -1,4 +1,4 @@
-"""Which Parquet codec suits a dataset, from a small sample written once per codec."""
+"""Which Parquet codec suits a dataset, from its rows written once per codec."""
 
 import logging
 import time
@@ -6,28 +6,28 @@ import time
 from pyspark.sql import functions as F
 
 from tidemark.functions.files import path_bytes
-from tidemark.sources.readers import sample_rows
+from tidemark.sources.readers import sample_fraction
 
 log = logging.getLogger(__name__)
 
-# Default codecs and sample size, and the limits of the recommendation.
+# Default codecs and the limits of the recommendation.
 CODECS = ("snappy", "gzip", "zstd", "none")
-SAMPLE_ROWS = 10_000
 RATIO_LIMIT = 1.2
 THROUGHPUT_LIMIT = 1.5
 DEFAULT_CODEC = "zstd"
 
 
-def compare_codecs(df, folder, codecs=CODECS, sample_n=SAMPLE_ROWS):
+def compare_codecs(df, folder, codecs=CODECS, fraction=None):
     """One row per codec: bytes, ratio to uncompressed, write and read time, throughput.
 
-    ``folder`` must be new and reachable from every executor. The sample is written
-    uncompressed first and is the input of all others, so the source is read once. A codec
+    All rows are measured, or about the named fraction of them, by as many tasks as the input
+    has. ``folder`` must be new and reachable from every executor. The rows are written
+    uncompressed first and are the input of all others, so the source is read once. A codec
     Spark cannot write here is left out.
     """
     spark = df.sparkSession
     base = folder.rstrip("/")
-    sample = df if sample_n is None else sample_rows(df, sample_n)
+    sample = df if fraction is None else sample_fraction(df, fraction)
     plain = f"{base}/sample"
     sample.write.option("compression", "uncompressed").parquet(plain)
     source = spark.read.parquet(plain)

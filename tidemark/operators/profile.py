@@ -7,9 +7,6 @@ from pyspark.sql import types as T
 from tidemark.functions.text import to_number
 from tidemark.names import data_columns, quoted
 
-# Fixed value: unique counts are exact below this many non-null values and null above.
-DISTINCT_CAP = 100_000
-
 _TIMES = (T.DateType, T.TimestampType, T.TimestampNTZType)
 _NUMBERS = (T.NumericType, T.BooleanType)
 
@@ -43,54 +40,61 @@ def _measures(i, field):
 
 
 def _unique_counts(df, names):
+    """Exact number of different non-null values per column.
+
+    Distinct (column, value) pairs combine on the map side, so a value that is frequent reaches
+    the shuffle once per task, and no row is copied whole for each of its columns.
+    """
     if not names:
         return {}
-    some = df.select(*[F.col(quoted(n)).alias(f"c{i}") for i, n in enumerate(names)])
-    some = some.dropna(how="all")
-    row = some.agg(
-        *[F.count_distinct(f"c{i}").alias(f"u{i}") for i in range(len(names))]
-    ).first()
-    return {name: row[f"u{i}"] for i, name in enumerate(names)}
+    pairs = F.array(
+        *[
+            F.struct(F.lit(i).alias("i"), _comparable(df.schema[name]).alias("v"))
+            for i, name in enumerate(names)
+        ]
+    )
+    values = df.select(F.inline(pairs)).where("v IS NOT NULL").distinct()
+    counts = {row["i"]: row["count"] for row in values.groupBy("i").count().collect()}
+    return {name: counts.get(i, 0) for i, name in enumerate(names)}
 
 
-def _distinct_input(df, names):
-    """Columns ready for a distinct count: NaN is null, as everywhere."""
-    fixes = {
-        f.name: F.when(~F.isnan(F.col(quoted(f.name))), F.col(quoted(f.name)))
-        for f in df.schema.fields
-        if f.name in names and isinstance(f.dataType, (T.FloatType, T.DoubleType))
-    }
-    return df.withColumns(fixes) if fixes else df
+def _comparable(field):
+    """Text that is equal for equal values: NaN is null, zero has no sign."""
+    column = F.col(quoted(field.name))
+    if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
+        return F.when(~F.isnan(column), column + F.lit(0.0)).cast("string")
+    if isinstance(field.dataType, T.BinaryType):
+        return F.hex(column)
+    if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+        return F.to_json(column)
+    return column.cast("string")
 
 
-def profile(df, columns=None, distinct_cap=DISTINCT_CAP, approximate=False):
+def profile(df, columns=None, unique="exact"):
     """One row per column: type, nulls, unique count, and number or time range.
 
-    One pass and one result row answer all but the unique counts. Those are exact for columns
-    with fewer than ``distinct_cap`` non-null values and null beyond, so a large table needs
-    no second pass; ``distinct_cap=None`` counts all columns exactly, ``approximate=True``
-    adds sketches to the first pass instead. Columns are numeric when more than half of
-    their non-null values convert, and then all figures are of the converted values.
+    One pass and one result row answer all but the unique counts. ``unique`` says how these are
+    found: ``"exact"`` by a second pass, ``"approximate"`` by sketches in the first, ``None``
+    leaves them out. Columns are numeric when more than half of their non-null values convert,
+    and then all figures are of the converted values.
     """
+    if unique not in ("exact", "approximate", None):
+        raise ValueError("unique must be 'exact', 'approximate' or None")
     names = list(columns) if columns is not None else data_columns(df)
     fields = [df.schema[name] for name in names]
     measures = [m for i, field in enumerate(fields) for m in _measures(i, field)]
-    if approximate:
+    if unique == "approximate":
         measures += [
             F.approx_count_distinct(F.col(quoted(name))).alias(f"u{i}")
             for i, name in enumerate(names)
         ]
     row = df.agg(F.count(F.lit(1)).alias("rows"), *measures).first().asDict()
     total = row["rows"]
-    if approximate:
-        unique = {name: row[f"u{i}"] for i, name in enumerate(names)}
-    else:
-        exact = [
-            name
-            for i, name in enumerate(names)
-            if distinct_cap is None or row[f"present{i}"] < distinct_cap
-        ]
-        unique = _unique_counts(_distinct_input(df, exact), exact)
+    counts = {}
+    if unique == "approximate":
+        counts = {name: row[f"u{i}"] for i, name in enumerate(names)}
+    elif unique == "exact":
+        counts = _unique_counts(df, names)
     result = []
     for i, field in enumerate(fields):
         present = row[f"present{i}"]
@@ -103,7 +107,7 @@ def profile(df, columns=None, distinct_cap=DISTINCT_CAP, approximate=False):
                 total,
                 total - present,
                 (total - present) / total if total else 0.0,
-                unique.get(field.name),
+                counts.get(field.name),
                 numeric,
                 *figures,
                 row.get(f"tmin{i}"),

@@ -17,7 +17,7 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.files import delete_path, path_bytes, path_exists
+from tidemark.functions.files import delete_path, path_exists
 from tidemark.functions.hashing import content_checksum, row_hash
 from tidemark.functions.partitioning import PartitionBy, partition_type, partition_value
 from tidemark.functions.rows import one_row, utc
@@ -32,9 +32,28 @@ TARGET_FILE_BYTES = 128 * 1024 * 1024
 
 BATCH = "_batch_id"
 _KEY = "_sys_partition_key"
-# Up to this many overwritten partitions are ruled out by name when files are listed; more
-# are removed by an anti-join.
-_PRUNED_BY_NAME = 2_000
+
+
+# What may follow a sort column.
+_DIRECTIONS = {
+    "": "asc_nulls_last",
+    " asc": "asc_nulls_last",
+    " desc": "desc_nulls_last",
+    " asc nulls first": "asc_nulls_first",
+    " desc nulls first": "desc_nulls_first",
+}
+
+
+def sort_column(spec):
+    """The column of a sort entry such as ``price`` or ``price desc nulls first``."""
+    ending = max((d for d in _DIRECTIONS if spec.lower().endswith(d)), key=len)
+    return spec[: len(spec) - len(ending)]
+
+
+def _sort_order(spec, definition):
+    name = sort_column(spec)
+    stored = {n: s for n, s, _ in definition.columns}[name]
+    return getattr(F.col(quoted(stored)), _DIRECTIONS[spec[len(name) :].lower()])()
 
 
 class SchemaMismatch(ValueError):
@@ -75,7 +94,7 @@ class TableDefinition:
         return cls(
             tuple((f.name, f.name, f.dataType.simpleString()) for f in schema.fields),
             tuple(p for p in specs if p.column in names),
-            tuple(name for name in sort_by if name in names),
+            tuple(spec for spec in sort_by if sort_column(spec) in names),
         )
 
     @property
@@ -84,11 +103,11 @@ class TableDefinition:
 
     def type_of(self, stored):
         kind = next(kind for _, s, kind in self.columns if s == stored)
-        return T._parse_datatype_string(kind)
+        return _type(kind)
 
     def stored_schema(self):
         """Schema of the files: stored columns, partition columns, batch number."""
-        fields = [T.StructField(s, T._parse_datatype_string(k)) for _, s, k in self.columns]
+        fields = [T.StructField(s, _type(k)) for _, s, k in self.columns]
         present = {field.name for field in fields}
         for spec in self.partition_by:
             if spec.directory not in present:
@@ -193,9 +212,13 @@ class VersionedDataset:
             }
             df = df.withColumns(derived) if derived else df
             df = df.hint("rebalance", *[spec.directory for spec in definition.partition_by])
-        stored = {name: s for name, s, _ in definition.columns}
-        order = [F.col(quoted(stored[n])).asc_nulls_last() for n in definition.sort_by]
-        return df.sortWithinPartitions(*order) if order else df
+        order = [_sort_order(spec, definition) for spec in definition.sort_by]
+        if not order:
+            return df
+        # The writer wants rows by partition. Sorted so from the start, they are not sorted again,
+        # which would keep the wanted order only as long as nothing spills.
+        folders = [F.col(quoted(spec.directory)).asc() for spec in definition.partition_by]
+        return df.sortWithinPartitions(*folders, *order)
 
     def _write(self, df, definition, batch, codec, measures=None, compact=False):
         """Write one batch and return what it holds; nothing is visible yet.
@@ -221,11 +244,7 @@ class VersionedDataset:
         writer.parquet(target)
         seen = observation.get
         stored = self._scan(definition, (batch,))
-        facts = {
-            "files": len(stored.inputFiles()),
-            "rows": stored.count(),
-            "bytes": path_bytes(self.spark, target),
-        }
+        facts = self._file_facts(stored)
         if seen.get("_rows") != facts["rows"]:
             seen = self._named(stored, definition).agg(*figures).first().asDict()
         if seen["_empty_partitions"]:
@@ -484,17 +503,7 @@ class VersionedDataset:
             .groupBy(_KEY)
             .agg(F.max(F.col(BATCH).cast("bigint")).alias("_before"))
         )
-        known = hidden.take(_PRUNED_BY_NAME + 1)
-        key = definition.partition_key()
-        if len(known) <= _PRUNED_BY_NAME:
-            # On folder names alone, so Spark drops the files before reading any.
-            by_batch = {}
-            for row in known:
-                by_batch.setdefault(row["_before"], []).append(row[_KEY])
-            for before, keys in sorted(by_batch.items()):
-                rows = rows.filter(~((F.col(BATCH) < before) & key.isin(keys)))
-            return rows
-        marked = rows.withColumn(_KEY, key)
+        marked = rows.withColumn(_KEY, definition.partition_key())
         newer = (marked[_KEY] == hidden[_KEY]) & (marked[BATCH] < hidden["_before"])
         return marked.join(hidden, newer, "left_anti").drop(_KEY)
 
@@ -539,7 +548,7 @@ class VersionedDataset:
 
     # --- snapshots --------------------------------------------------------------------
 
-    def snapshots(self, limit=50):
+    def snapshots(self, limit=None):
         return commits.list_snapshots(self.log(), limit)
 
     def current_snapshot(self):
@@ -624,7 +633,10 @@ class VersionedDataset:
         if new in definition.names:
             raise SchemaMismatch(f"{self.name} already has a column {new}")
         columns = tuple((new if n == old else n, s, k) for n, s, k in definition.columns)
-        sort_by = tuple(new if n == old else n for n in definition.sort_by)
+        sort_by = tuple(
+            new + spec[len(old) :] if sort_column(spec) == old else spec
+            for spec in definition.sort_by
+        )
         return self._evolve(log, replace(definition, columns=columns, sort_by=sort_by), at)
 
     @staticmethod
@@ -685,6 +697,10 @@ class VersionedDataset:
         )
 
 
+def _type(kind):
+    return T.StructType.fromDDL(f"c {kind}")["c"].dataType
+
+
 def _codec(name):
     return "uncompressed" if name == "none" else name
 

@@ -170,7 +170,7 @@ def _each(names, row, source):
     ),
 )
 def null_profile(spark, sf_dir):
-    found = P.profile(nulled(spark, sf_dir), distinct_cap=0)
+    found = P.profile(nulled(spark, sf_dir), unique=None)
     return found.select(
         "column", "rows", "null_count", F.round("null_fraction", 6).alias("null_fraction")
     )
@@ -181,26 +181,46 @@ def null_profile(spark, sf_dir):
     _each(LINEITEM, lambda n: f"count(distinct {n}) as unique_count", "lineitem"),
 )
 def unique_counts(spark, sf_dir):
-    found = P.profile(table(spark, sf_dir, "lineitem"), distinct_cap=None)
+    found = P.profile(table(spark, sf_dir, "lineitem"))
     return found.select("column", "unique_count")
 
 
 @query(
-    "d7_unique_counts_capped",
+    "d7_unique_counts_of_texts",
     _each(
         ["event_id", "few_bad", "many_bad", "whole"],
-        lambda n: f"""case when count({n}) < 2500 then count(distinct {n}) else -1 end
-                      as unique_count""",
+        lambda n: f"count(distinct {n}) as unique_count",
         "(select case when user_id < 20 then event_id end as event_id, few_bad, many_bad,"
         f" whole from {TEXTS})",
     ),
 )
-def unique_counts_capped(spark, sf_dir):
+def unique_counts_of_texts(spark, sf_dir):
     events = number_texts(spark, sf_dir).drop("user_id").withColumn(
         "event_id", F.when(F.col("whole").cast("int") < 20, F.col("event_id"))
     )
-    found = P.profile(events, distinct_cap=2_500)
-    return found.select("column", F.coalesce("unique_count", F.lit(-1)).alias("unique_count"))
+    return P.profile(events).select("column", "unique_count")
+
+
+@query(
+    "d7_unique_counts_of_many_values",
+    _each(
+        ["order_key", "quantity", "ship_date"],
+        lambda n: f"count(distinct {n}) as unique_count",
+        "(select l_orderkey + 10000000 * k as order_key, l_quantity * (k + 1) as quantity,"
+        " l_shipdate as ship_date from lineitem, range(4) t(k))",
+    ),
+)
+def unique_counts_of_many_values(spark, sf_dir):
+    """More non-null values than any small table has: the lines four times, with shifted keys."""
+    lines = table(spark, sf_dir, "lineitem").withColumn(
+        "k", F.explode(F.array(*[F.lit(i) for i in range(4)]))
+    )
+    many = lines.select(
+        (F.col("l_orderkey") + F.lit(10_000_000) * F.col("k")).alias("order_key"),
+        (F.col("l_quantity") * (F.col("k") + 1)).alias("quantity"),
+        F.col("l_shipdate").alias("ship_date"),
+    )
+    return P.profile(many).select("column", "unique_count")
 
 
 @query(
@@ -220,7 +240,7 @@ def unique_counts_capped(spark, sf_dir):
 )
 def numeric_profile(spark, sf_dir):
     names = ["l_orderkey", "l_quantity", "l_extendedprice", "l_discount", "l_linenumber"]
-    found = P.profile(table(spark, sf_dir, "lineitem"), [*names, "l_returnflag"], distinct_cap=0)
+    found = P.profile(table(spark, sf_dir, "lineitem"), [*names, "l_returnflag"], unique=None)
     return found.filter("is_numeric").select(
         "column",
         "min_value",
@@ -243,7 +263,7 @@ def text_and_time_profile(spark, sf_dir):
     texts = number_texts(spark, sf_dir).join(
         table(spark, sf_dir, "events").select("event_id", "ts"), "event_id"
     )
-    found = P.profile(texts, ["few_bad", "many_bad", "ts"], distinct_cap=0)
+    found = P.profile(texts, ["few_bad", "many_bad", "ts"], unique=None)
     return found.select(
         "column",
         "is_numeric",
@@ -271,7 +291,7 @@ def top_values(spark, sf_dir):
 @query("d9_top_values_lineitem", _top(["l_returnflag", "l_linestatus"], "lineitem"))
 def top_values_lineitem(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem")
-    return P.top_values_of_non_numeric(lines, P.profile(lines, distinct_cap=0))
+    return P.top_values_of_non_numeric(lines, P.profile(lines, unique=None))
 
 
 def _delta(n, figures):
@@ -296,7 +316,7 @@ NUMERIC = ["o_orderkey", "o_custkey", "o_totalprice"]
     ),
 )
 def column_deltas(spark, sf_dir):
-    deltas = D.column_deltas(before(spark, sf_dir), after(spark, sf_dir), distinct_cap=None)
+    deltas = D.column_deltas(before(spark, sf_dir), after(spark, sf_dir))
     return deltas.filter(F.col("column").isin(*NUMERIC)).select(
         "column",
         F.round("null_fraction_delta", 6).cast("int").alias("null_fraction_delta"),
@@ -314,7 +334,7 @@ def column_deltas(spark, sf_dir):
     ),
 )
 def significance(spark, sf_dir):
-    deltas = D.column_deltas(before(spark, sf_dir), after(spark, sf_dir), distinct_cap=0)
+    deltas = D.column_deltas(before(spark, sf_dir), after(spark, sf_dir), unique=None)
     return deltas.filter(F.col("column").isin(*NUMERIC)).select("column", "is_significant")
 
 
@@ -382,7 +402,7 @@ def diff_report(spark, sf_dir):
     ),
 )
 def preview_profile(spark, sf_dir):
-    found = P.profile(table(spark, sf_dir, "part"), distinct_cap=None)
+    found = P.profile(table(spark, sf_dir, "part"))
     percent = F.round(100 * F.col("null_fraction"), 1).alias("null_percent")
     return found.select("column", "type", percent, "unique_count")
 
@@ -398,7 +418,7 @@ def type_distribution(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     base = F.regexp_extract("type", r"^[^\[(<]*", 0).alias("base_type")
     filled = (
-        P.profile(vectors, distinct_cap=0)
+        P.profile(vectors, unique=None)
         .select(base, (F.col("rows") - F.col("null_count")).alias("filled"))
         .groupBy("base_type")
         .agg(F.sum("filled").alias("filled"))

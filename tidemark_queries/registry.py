@@ -70,8 +70,11 @@ def sql_hash(columns):
 
 
 def sql_checksum(hash_column):
-    """Sum of the first 15 hex digits; DuckDB reads hex text with the prefix 0x."""
-    return f"cast(sum(cast(('0x' || substr({hash_column}, 1, 15)) as hugeint)) as varchar)"
+    """Sum of the groups of 15 hex digits; DuckDB reads hex text with the prefix 0x."""
+    groups = " + ".join(
+        f"cast(('0x' || substr({hash_column}, {at}, 15)) as hugeint)" for at in range(1, 65, 15)
+    )
+    return f"cast(sum({groups}) as varchar)"
 
 
 LINEITEM = [
