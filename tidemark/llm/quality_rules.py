@@ -15,7 +15,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import linestats
-from tidemark.llm.shared import stored
+from tidemark.llm.shared import in_arrow, stored
 from tidemark.llm.words import Words, slices
 
 COVERAGE = 0.75
@@ -88,13 +88,37 @@ def _groups(rows, least):
     ).drop("of")
 
 
-def _distance(center="m", inverse="p"):
-    """Squared Mahalanobis distance from the columns of an estimate."""
-    total = F.lit(0.0)
+def _distances(batch):
+    """Statistics of a batch as a matrix, and their squared Mahalanobis distances."""
+    x = np.column_stack([batch.column(n).to_numpy() for n in NAMES])
+    y = x - _matrix(batch.column("m"))
+    p, total = _matrix(batch.column("p")), np.zeros(len(x))
     for at, (i, j) in enumerate(_PAIRS):
-        term = (F.col(NAMES[i]) - F.col(center)[i]) * (F.col(NAMES[j]) - F.col(center)[j])
-        total = total + term * F.col(inverse)[at] * (1.0 if i == j else 2.0)
-    return total
+        total += y[:, i] * y[:, j] * p[:, at] * (1 if i == j else 2)
+    return x, total
+
+
+def _matrix(column):
+    return column.flatten().to_numpy().reshape(len(column), -1)
+
+
+_SUMS = [f"s{k}" for k in range(len(NAMES) + len(_PAIRS))]
+
+
+def _binned(batches):
+    """Sums of the statistics and of their products, by group and range of distance."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        x, distance = _distances(batch)
+        bin_ = np.minimum(np.log1p(np.maximum(distance, 0)) * BINS_PER_UNIT, BINS).astype(np.int64)
+        keys = np.rec.fromarrays([batch.column("group").to_numpy(), bin_])
+        found, which, rows = np.unique(keys, return_inverse=True, return_counts=True)
+        terms = [x[:, i] for i in range(len(NAMES))] + [x[:, i] * x[:, j] for i, j in _PAIRS]
+        columns = {"group": found["f0"], "bin": found["f1"], "rows": rows.astype(float)}
+        for name, term in zip(_SUMS, terms, strict=True):
+            columns[name] = np.bincount(which, weights=term, minlength=len(found))
+        yield pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in columns.items()})
 
 
 _ESTIMATE = "group long, n double, m array<double>, p array<double>, logdet double, size double"
@@ -122,15 +146,12 @@ def _estimates(batches):
         )
 
 
-def _concentrate(rows, distance):
-    """Estimates from the nearest ``COVERAGE`` of each group's rows by the given distance."""
-    bin_ = F.least(F.floor(F.log1p(F.greatest(distance, F.lit(0.0))) * BINS_PER_UNIT), F.lit(BINS))
-    binned = rows.withColumn("bin", bin_)
-    terms = [F.sum(n) for n in NAMES]
-    terms += [F.sum(F.col(NAMES[i]) * F.col(NAMES[j])) for i, j in _PAIRS]
-    sums = binned.groupBy("group", "bin").agg(
-        F.count("*").cast("double").alias("rows"),
-        *[t.alias(f"s{k}") for k, t in enumerate(terms)],
+def _concentrate(rows, estimates):
+    """Estimates from the nearest ``COVERAGE`` of each group's rows by the given estimates."""
+    joined = rows.select("group", *NAMES).join(estimates.select("group", "m", "p"), "group")
+    schema = "group long, bin long, rows double" + "".join(f", {s} double" for s in _SUMS)
+    sums = joined.mapInArrow(_binned, schema).groupBy("group", "bin").agg(
+        *[F.sum(c).alias(c) for c in ("rows", *_SUMS)]
     )
     # At most BINS + 1 rows for each group.
     whole = Window.partitionBy("group")
@@ -140,7 +161,7 @@ def _concentrate(rows, distance):
     kept = sums.where(F.col("below") < COVERAGE * F.col("n"))
     return kept.groupBy("group").agg(
         F.first("n").alias("n"), F.sum("rows").alias("kept"),
-        F.array(*[F.sum(f"s{k}") for k in range(len(terms))]).alias("sums"),
+        F.array(*[F.sum(s) for s in _SUMS]).alias("sums"),
         F.expm1((F.max("bin") + 0.5) / BINS_PER_UNIT).alias("size"),
     ).mapInArrow(_estimates, _ESTIMATE)
 
@@ -163,7 +184,7 @@ def estimate(rows):
     now = stored(start.select("group", center.alias("m"), inverse.alias("p")), "mcd")
     before = None
     for _ in range(STEPS):
-        now = stored(_concentrate(rows.join(now.select("group", "m", "p"), "group"), _distance()), "mcd")
+        now = stored(_concentrate(rows, now), "mcd")
         if before is not None:
             change = now.select("group", "logdet").join(
                 before.select("group", F.col("logdet").alias("was")), "group"
@@ -204,11 +225,29 @@ def judge(
 
     # Rows that the base rules refuse are no model of their source.
     found = estimate(rows.where(~F.col("base_failed")))
-    d = len(NAMES)
-    scale = F.greatest(F.col("size") / chi_square(COVERAGE, d), F.lit(1.0))
-    distance = F.when(F.col("n") >= least_rows, _distance() / scale)
-    limit = slack * chi_square(confidence, d)
-    judged = rows.join(found.select("group", "n", "m", "p", "size"), "group", "left")
-    judged = judged.withColumn("distance", distance)
+    scale = chi_square(COVERAGE, len(NAMES))
+    limit = slack * chi_square(confidence, len(NAMES))
+
+    def measure(batch):
+        _, distance = _distances(batch)
+        distance /= np.maximum(batch.column("size").to_numpy() / scale, 1)
+        small = batch.column("n").to_numpy() < least_rows
+        return {
+            **{c: batch.column(c) for c in ("row", *_COUNTS, "base_failed")},
+            "distance": pa.array(distance, mask=small),
+        }
+
+    # A group without an estimate holds no row that met the base rules.
+    empty = F.array(*[F.lit(0.0)] * len(NAMES)), F.array(*[F.lit(0.0)] * len(_PAIRS))
+    judged = rows.join(found.select("group", "n", "m", "p", "size"), "group", "left").withColumns(
+        {
+            "n": F.coalesce("n", F.lit(0.0)), "size": F.coalesce("size", F.lit(1.0)),
+            "m": F.coalesce("m", empty[0]), "p": F.coalesce("p", empty[1]),
+        }
+    )
+    counts = "".join(f", {c} long" for c in _COUNTS)
+    judged = judged.select("row", *_COUNTS, "base_failed", *NAMES, "n", "m", "p", "size").mapInArrow(
+        in_arrow(measure), f"row {kind}{counts}, base_failed boolean, distance double"
+    )
     kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= limit)
     return judged.select("row", *_COUNTS, "base_failed", "distance", kept.alias("kept"))
