@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tidemark.llm.quality_crf import sample_by_label
+from tidemark.llm.quality_crf import sample_ids, sampled_texts
 from tidemark.llm.shared import in_arrow
 from tidemark.llm.words import slices
 
@@ -161,8 +161,7 @@ def train(docs, most=300, **options):
     Null languages and texts without a letter are left out.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    sample = sample_by_label(rows.select("id", "text", "lang"), "lang", most)
-    sample = sample.orderBy(F.xxhash64("id", "text"), "id").toPandas()
+    sample = sampled_texts(rows, sample_ids(rows, "lang", most), ["id", "lang"])
     return fit(sample["text"].tolist(), sample["lang"].tolist(), **options)
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import linestats
-from tidemark.llm.shared import in_arrow
+from tidemark.llm.shared import in_arrow, stored
 from tidemark.llm.words import Words, slices
 
 OWN = 12
@@ -119,8 +119,12 @@ def fit(texts, labels, steps=200, rate=0.08, decay=1e-3, tie_decay=0.05):
     """Fit a chain to labelled texts by gradient ascent (Adam); every document weighs the same."""
     labels = np.asarray(labels, float)
     prior = float(labels.mean()) if len(labels) else 0.5
-    words = Words(pa.array(texts, pa.string()))
-    lines, x, _ = line_features(words)
+    parts, done = [(np.zeros(0, np.int64), np.zeros((0, OWN)))], 0
+    for part in slices(pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})):
+        lines, found, _ = line_features(Words(part.column("text")))
+        parts.append((lines.row + done, found))
+        done += part.num_rows
+    row, x = map(np.concatenate, zip(*parts, strict=True))
     mean = x.mean(axis=0) if len(x) else np.zeros(OWN)
     scale = x.std(axis=0) + 1e-6 if len(x) else np.ones(OWN)
     width = 4 * OWN + 2
@@ -128,7 +132,7 @@ def fit(texts, labels, steps=200, rate=0.08, decay=1e-3, tie_decay=0.05):
     if not len(x) or prior in (0.0, 1.0):
         chain.bias = 0.0 if not len(x) else 20.0 * (prior - 0.5)
         return chain
-    row, y = lines.row, labels[lines.row]
+    y = labels[row]
     z = with_neighbours((x - mean) / scale, row)
     each = 1 / np.bincount(row, minlength=len(texts))[row]
     pair = np.flatnonzero(row[1:] == row[:-1])
@@ -149,21 +153,29 @@ def fit(texts, labels, steps=200, rate=0.08, decay=1e-3, tie_decay=0.05):
     return chain
 
 
-def sample_by_label(rows, label, most):
-    """At most ``most`` rows of each label, those with the least hashes of id and text."""
-    order = Window.partitionBy(label).orderBy(F.xxhash64("id", "text"), "id")
-    ranked = rows.withColumn("_rank", F.row_number().over(order))
+def sample_ids(labelled, label, most):
+    """At most ``most`` rows of each label, those with the least hashes of ``id``; only these columns."""
+    order = Window.partitionBy(label).orderBy(F.xxhash64("id"), "id")
+    ranked = labelled.select("id", label).withColumn("_rank", F.row_number().over(order))
     return ranked.where(F.col("_rank") <= most).drop("_rank")
 
 
+def sampled_texts(docs, sample, on):
+    """Texts of a bounded sample of ids, on the driver; repeated ids do not exceed its size."""
+    sample = stored(sample, "sample")
+    # The sample has a fixed number of rows for each label.
+    found = docs.join(F.broadcast(sample), on).limit(max(sample.count(), 1))
+    return found.orderBy(F.xxhash64("id"), "id", "text").toPandas()
+
+
 def train(docs, labels, most=1500):
     """Fit the chain on at most ``most`` documents of each label (0 or 1); other labels are left out.
 
-    ``docs`` has ``id`` and ``text``, ``labels`` has ``id`` and ``label``. The sample is bounded, so
-    it is fitted on the driver.
+    ``docs`` has ``id`` and ``text``, ``labels`` has ``id`` and ``label``. The sample is drawn from
+    the labels, is bounded, and is fitted on the driver. Null texts in it are left out.
     """
-    labelled = docs.join(labels.where("label IN (0, 1)"), "id").where("text IS NOT NULL")
-    sample = sample_by_label(labelled, "label", most).orderBy("id").toPandas()
+    sample = sample_ids(labels.where("label IN (0, 1)"), "label", most)
+    sample = sampled_texts(docs.where("text IS NOT NULL"), sample, ["id"])
     return fit(sample["text"].tolist(), sample["label"].tolist())
 
 

@@ -129,9 +129,8 @@ def held_out():
 def op2_quality_classifier(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     learnt = docs.where(~held_out()).select(F.col("doc_id").alias("id"), "text")
-    labels = table(spark, sf_dir, "labels").select(
-        F.col("doc_id").alias("id"), F.col("quality").alias("label")
-    )
+    labels = table(spark, sf_dir, "labels").where(~held_out())
+    labels = labels.select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
     out = quality_crf.score(docs, quality_crf.train(learnt, labels)).select("row.*", "score")
     return out.select(
         "doc_id",
