@@ -1,17 +1,21 @@
 """Files in, catalog, lineage, whole runs, streams."""
 
 import json
+import os
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions.hashing import row_hash
 from tidemark.functions.typenames import canonical_type, parse_type, schema_from_file
 from tidemark.operators import catalog as M
 from tidemark.operators import codecs
 from tidemark.operators import dedup
 from tidemark.operators import lineage as L
-from tidemark.operators.rules import rules_from_dict, rules_from_file
+from tidemark.operators.catalog import Catalog
+from tidemark.operators.lineage import LineageTable
+from tidemark.operators.rules import TableRules, rules_from_dict, rules_from_file
 from tidemark.operators.validation import ValidationFailed
 from tidemark.plans.ingest import Ingest
 from tidemark.plans.loading import load
@@ -111,16 +115,6 @@ def test_sample_is_the_same_for_any_layout(spark):
     assert first != plain(readers.sample_rows(df, 20, seed=1))
 
 
-def test_large_sample_is_the_same_as_a_small_one(spark, monkeypatch):
-    df = spark.range(3000).unionAll(spark.range(500)).select((F.col("id") % 1000).alias("id"))
-    for n in (1, 37, 250, 2999, 3500, 9000):
-        monkeypatch.setattr(readers, "_TOP_ROWS", 100_000)
-        wanted = plain(readers.sample_rows(df, n))
-        monkeypatch.setattr(readers, "_TOP_ROWS", 2)
-        assert plain(readers.sample_rows(df, n)) == wanted
-        assert len(wanted) == min(n, 3500)
-
-
 def test_manifest(spark, folder):
     spark.range(10).write.parquet(f"{folder}/x.parquet")
     df = readers.read_source(spark, f"{folder}/x.parquet")
@@ -304,7 +298,7 @@ def test_broken_rules_write_nothing(spark, folder):
         run = Ingest(folder, "strict", "v1", rules=rules_from_dict(content), at=AT)
         with pytest.raises(ValidationFailed, match=message):
             run.run(spark, path)
-    assert VersionedDataset(spark, folder, "strict").read().count() == 0
+    assert not VersionedDataset(spark, folder, "strict").exists()
     assert M.Catalog(spark, folder).versions().count() == 0
     rules = rules_from_dict({"max_rows": 1, "columns": [{"name": "id", "dtype": "float64"}]})
     done = Ingest(folder, "strict", "v1", rules=rules, at=AT).run(spark, path)
@@ -355,3 +349,80 @@ def test_repeats_within_a_delay(spark, folder):
     )
     query.awaitTermination()
     assert plain(spark.table("repeats").select("id")) == [(1,), (2,)]
+
+
+@pytest.mark.parametrize("broken", ["record", "register", "add_version"])
+def test_a_run_that_dies_after_its_commit_is_completed(spark, folder, monkeypatch, broken):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id int, s string")
+    run = Ingest(folder, "rows", "v1", at=AT)
+    owner = LineageTable if broken == "record" else Catalog
+    with monkeypatch.context() as patch:
+        patch.setattr(owner, broken, lambda *a, **k: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            run.run_frame(df, ["x"])
+    done = run.run_frame(df, ["x"])
+    assert done.rows_written == 2
+    assert load(Catalog(spark, folder), folder, "rows", version="v1").count() == 2
+    assert LineageTable(spark, folder).nodes().count() == 1
+    assert Catalog(spark, folder).versions().count() == 1
+
+
+def test_a_refused_run_leaves_no_table_and_no_column(spark, folder):
+    rules = TableRules(min_rows=3)
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id int, s string")
+    with pytest.raises(ValidationFailed):
+        Ingest(folder, "rows", "v0", rules=rules, at=AT).run_frame(df, ["x"])
+    assert not VersionedDataset(spark, folder, "rows").exists()
+    Ingest(folder, "rows", "v1", at=AT).run_frame(df, ["x"])
+    with pytest.raises(ValidationFailed):
+        wide = df.withColumn("bad", F.lit(1))
+        Ingest(folder, "rows", "v2", rules=rules, at=AT).run_frame(wide, ["x"])
+    assert "bad" not in VersionedDataset(spark, folder, "rows").read().columns
+
+
+def test_csv_with_quotes_as_pandas_reads_it(spark, folder):
+    import pandas as pd
+
+    os.makedirs(f"{folder}/q")
+    text = 'n,s,t\n1,"He said ""hi"", ok",x\n2,"a,b",\n3,plain,"""q"""\n4,"",back\\slash\n5,a,b,c\n'
+    with open(f"{folder}/q/a.csv", "w") as handle:
+        handle.write(text)
+    found = [tuple(r) for r in readers.read_source(spark, f"{folder}/q/a.csv").orderBy("n").collect()]
+    want = pd.read_csv(f"{folder}/q/a.csv", on_bad_lines="skip")
+    want = [tuple(None if v != v else v for v in r) for r in want.itertuples(index=False)]
+    assert found == want
+    assert readers.count_bad_lines(spark, f"{folder}/q/a.csv") == 1
+    with open(f"{folder}/lines.csv", "w") as handle:
+        handle.write('a,b\n1,"two\nlines"\n2,one\n')
+    lines = readers.read_source(spark, f"{folder}/lines.csv", options={"multiLine": True})
+    assert plain(lines) == [(1, "two\nlines"), (2, "one")]
+    with open(f"{folder}/q/b.csv", "w") as handle:
+        handle.write("t,n,s\nz,9,w\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        readers.read_source(spark, f"{folder}/q", "csv").collect()
+
+
+def test_nan_is_null_for_duplicates(spark):
+    df = spark.createDataFrame([(1, float("nan")), (1, None), (2, 0.5)], "id int, v double")
+    kept = dedup.deduplicate(df)
+    assert kept.count() == 2 and dedup.duplicates(df).count() == 1
+    assert dedup.duplicate_statistics(df).first()["duplicates_removed"] == 1
+
+
+def test_framed_hash_does_not_see_null_columns(spark):
+    a = spark.createDataFrame([(1, "a|b", "c")], "id int, s string, t string")
+    b = spark.createDataFrame([(1, "a", "b|c", None)], "id int, s string, t string, u int")
+    same = a.withColumn("u", F.lit(None).cast("int"))
+    hashes = [f.select(row_hash(f, framed=True)).first()[0] for f in (a, b, same)]
+    assert hashes[0] == hashes[2] != hashes[1]
+
+
+def test_versions_added_in_bulk_after_a_delete_are_seen(spark, folder):
+    catalog = Catalog(spark, folder)
+    rows = spark.createDataFrame(
+        [("d", f"v{i}", AT) for i in range(3)], "name string, version_tag string, created_at timestamp"
+    )
+    catalog.add_versions(rows)
+    catalog.delete("d")
+    catalog.add_versions(rows)
+    assert catalog.versions().count() == 3 and catalog.latest_version("d")["version_tag"] == "v2"

@@ -6,10 +6,11 @@ import compare
 import pytest
 
 import __spark_entry__ as entry_points
+import tidemark_queries
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES = entry_points.queries()
-ORACLES = entry_points.oracle_sql()
+QUERIES = tidemark_queries.QUERIES
+ORACLES = tidemark_queries.ORACLES
 
 
 @pytest.fixture(scope="module")

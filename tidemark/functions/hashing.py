@@ -48,15 +48,17 @@ def _value_text(df, name):
 def row_text(df, columns=None, framed=False):
     """Text of a row: values joined by ``|``, nulls as ``<NA>``.
 
-    ``framed=True`` writes the length before each value instead, so that no two different
-    rows share a text even when values hold the separator or the null token.
+    ``framed=True`` writes name and value of every column that is not null instead, each after
+    its length, in the order of names. No two different rows share such a text, and a column that
+    is null does not matter, so rows hash alike before and after it comes or goes.
     """
     names = hash_columns(df, columns)
     if framed:
-        parts = [
-            F.coalesce(F.concat(F.length(text), F.lit(":"), text), F.lit("-;"))
-            for text in (_value_text(df, name) for name in names)
-        ]
+        parts = []
+        for name in sorted(names):
+            text = _value_text(df, name)
+            tagged = F.concat(F.lit(f"{len(name)}:{name}"), F.length(text), F.lit(":"), text)
+            parts.append(F.coalesce(tagged, F.lit("")))
         return F.concat(*parts)
     return F.concat_ws(
         SEPARATOR,

@@ -338,6 +338,10 @@ class Catalog:
             self.versions_path
         )
 
+    def tag_token(self, name, version_tag):
+        """Text that names a tag of a dataset since its last delete."""
+        return f"{name}@{version_tag}#{self._last_events(name)[1]}"
+
     def check_new_tag(self, name, version_tag):
         self._refuse_used_tag(name, version_tag, self._last_events(name)[1])
 

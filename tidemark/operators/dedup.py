@@ -27,7 +27,15 @@ def _key_columns(df, names):
     """Grouping columns: the values themselves, or their hash where Spark cannot group."""
     if any(_holds_map(df.schema[name].dataType) for name in names):
         return [row_hash(df, names, framed=True).alias("_key")]
-    return [F.col(quoted(name)).alias(f"_k{i}") for i, name in enumerate(names)]
+    return [_without_nan(df, name).alias(f"_k{i}") for i, name in enumerate(names)]
+
+
+def _without_nan(df, name):
+    """The column; NaN is null in it, as in the row hash."""
+    column = F.col(quoted(name))
+    if isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)):
+        return F.when(~F.isnan(column), column)
+    return column
 
 
 def _order(df, order_by):
@@ -50,7 +58,7 @@ def with_row_hash(df, columns=None, algorithm="sha256", framed=False):
 def deduplicate(
     df, columns=None, keep="first", order_by=None, algorithm="sha256", framed=False
 ):
-    """One row per distinct value of the hash columns, with its row hash.
+    """One row per distinct value of the hash columns, with its row hash; NaN becomes null.
 
     ``order_by`` says what first and last mean; without it, and among equal rows, a hash of
     the row decides, so the choice does not depend on how the data is laid out.
@@ -65,6 +73,10 @@ def deduplicate(
     if ROW_HASH in df.columns:
         df = df.drop(ROW_HASH)
     names = hash_columns(df, columns)
+    df = df.select(
+        *[_without_nan(df, name).alias(name) if name in set(names) else F.col(quoted(name))
+          for name in df.columns]
+    )
     keys = _key_columns(df, names)
     others = [field for field in df.schema.fields if field.name not in set(names)]
     by_value = len(keys) == len(names) and not order_by

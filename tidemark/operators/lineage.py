@@ -153,6 +153,16 @@ class LineageTable:
             return self.spark.createDataFrame([], NODE_SCHEMA)
         return self.spark.read.schema(NODE_SCHEMA).parquet(self.path)
 
+    def recorded(self, dataset, version_tag, snapshot_id):
+        """Id of the node of this version and snapshot, or None."""
+        mine = self.nodes().filter(
+            (F.col("dataset") == dataset)
+            & (F.col("version_tag") == version_tag)
+            & F.col("snapshot_id").eqNullSafe(snapshot_id)
+        )
+        row = mine.select("node_id").first()
+        return row and row["node_id"]
+
     def record(self, dataset, version_tag, source_uris, transforms, schema_snapshot, row_count,
                snapshot_id=None, parent_node_ids=None, extra=None, at=None, node_id=None):
         """Add a node; without parents given, the latest node of the dataset is the parent."""

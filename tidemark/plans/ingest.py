@@ -18,7 +18,7 @@ from tidemark.operators.catalog import Catalog
 from tidemark.operators.cleaning import Cleaning
 from tidemark.operators.lineage import LineageTable
 from tidemark.operators.rules import TableRules
-from tidemark.plans.versions import CODEC, VersionedDataset
+from tidemark.plans.versions import CODEC, TableDefinition, VersionedDataset
 from tidemark.sources.readers import read_many, read_source
 
 
@@ -64,7 +64,7 @@ class Ingest:
 
     def prepare(self, df, known=None):
         """Cleaned rows without duplicates, and without known rows in an incremental run."""
-        rows = dedup.deduplicate(self.cleaning.run(df))
+        rows = dedup.deduplicate(self.cleaning.run(df), framed=True)
         return rows if known is None else dedup.drop_known(rows, known, large_ledger=True)
 
     def dry_run(self, df):
@@ -92,12 +92,10 @@ class Ingest:
         # A count of its own: footers alone for Parquet, and exact when tasks are repeated.
         rows_read = df.count()
         rows = self.prepare(df, known)
-        if not dataset.exists():
-            dataset = VersionedDataset.create(
-                spark, self.root, self.dataset, rows.schema, self.partition_by, self.sort_by, self.at
-            )
+        if dataset.exists():
+            definition = dataset.widened(rows)
         else:
-            self._add_new_columns(dataset, rows)
+            definition = TableDefinition.of(rows.schema, self.partition_by, self.sort_by)
         rules = self.rules or TableRules()
         checks = validation.aggregate_checks(rows, rules)
         measures = {f"check_{i}": check.violations for i, check in enumerate(checks)}
@@ -112,18 +110,25 @@ class Ingest:
                 )
             warnings.extend(issues)
 
-        written = dataset.append(rows, self.at, self.codec, measures=measures, gate=gate)
+        # A run that died after its commit is finished by the next run of the same tag: the token
+        # keeps the batch from being written again, and the records below are completed.
+        written = dataset.append(
+            rows, self.at, self.codec, catalog.tag_token(self.dataset, self.version_tag),
+            measures, gate, definition,
+        )
         schema = dict(rows.dtypes)
-        node_id = nodes.record(
-            self.dataset,
-            self.version_tag,
-            source_uris,
-            self.steps,
-            schema,
-            written.rows_written,
-            written.snapshot_id,
-            at=self.at,
-        )
+        node_id = nodes.recorded(self.dataset, self.version_tag, written.snapshot_id)
+        if node_id is None:
+            node_id = nodes.record(
+                self.dataset,
+                self.version_tag,
+                source_uris,
+                self.steps,
+                schema,
+                written.rows_written,
+                written.snapshot_id,
+                at=self.at,
+            )
         catalog.register(
             self.dataset,
             description=self.description,
@@ -156,13 +161,6 @@ class Ingest:
             warnings,
         )
 
-    @staticmethod
-    def _add_new_columns(dataset, rows):
-        present = set(dataset.definition().names)
-        for name, kind in rows.dtypes:
-            if name not in present:
-                dataset.add_column(name, kind)
-
     @staticmethod
     def _issues(rows, rules, checks, measured, batch):
         issues = []

@@ -12,6 +12,7 @@ is one row in the log and touches no data.
 """
 
 import json
+from functools import reduce
 from dataclasses import dataclass, replace
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
@@ -175,9 +176,16 @@ class VersionedDataset:
 
     def _commit(self, log, operation, at=None, parent=None, batch=None, base=None, table=None,
                 summary=None):
-        row = (log.next_id, parent, utc(at), operation, batch, base, table, summary or {})
-        one_row(self.spark, row, LOG_SCHEMA).write.mode("append").parquet(f"{self.path}/log")
-        return log.next_id
+        number, rows = log.next_id, []
+        if not log.rows and operation != "create":
+            # A first batch creates its dataset, in one file with its own commit.
+            rows.append((number, None, utc(at), "create", None, None, table, {}))
+            number += 1
+        rows.append((number, parent, utc(at), operation, batch, base, table, summary or {}))
+        frames = [one_row(self.spark, row, LOG_SCHEMA) for row in rows]
+        together = reduce(lambda a, b: a.unionAll(b), frames).coalesce(1)
+        together.write.mode("append").parquet(f"{self.path}/log")
+        return number
 
     # --- writing ----------------------------------------------------------------------
 
@@ -346,15 +354,22 @@ class VersionedDataset:
                 return row["snapshot_id"]
         return None
 
-    def append(self, df, at=None, codec=CODEC, token=None, measures=None, gate=None):
+    def append(
+        self, df, at=None, codec=CODEC, token=None, measures=None, gate=None, definition=None
+    ):
         """Add a batch. ``token`` makes it happen once, however often it is called.
 
+        A ``definition`` takes effect with the batch: it creates the dataset or gives it new
+        columns in the very commit, so a batch that is refused leaves neither.
+
         ``measures`` are named aggregates over the batch, taken during the write. ``gate`` is
         called with them and with the written batch before the commit; if it raises, the
         batch is deleted and the dataset is as it was.
         """
-        log = self.commit_log()
-        if token is not None:
+        log = self.commit_log() if self.exists() else CommitLog([])
+        if definition is None and not log.rows:
+            raise SnapshotNotFound(f"no dataset {self.name}")
+        if token is not None and log.rows:
             done = self.committed_token(token)
             if done is not None:
                 row = log.by_id[done]
@@ -366,7 +381,7 @@ class VersionedDataset:
                     "measures": {},
                 }
                 return self._result(done, row["batch_id"], facts, codec)
-        definition, batch = self.definition(log), log.next_batch
+        definition, batch = definition or self.definition(log), log.next_batch
         facts = self._write(df, definition, batch, codec, measures)
         if gate is not None:
             try:
@@ -613,7 +628,18 @@ class VersionedDataset:
     def add_column(self, name, kind, after=None, at=None):
         """A new column, null in every old row."""
         log = self.commit_log()
+        return self._evolve(log, self._with_column(log, self.definition(log), name, kind, after), at)
+
+    def widened(self, df):
+        """The definition with the columns of ``df`` that the dataset lacks; nothing is stored."""
+        log = self.commit_log()
         definition = self.definition(log)
+        for name, kind in df.dtypes:
+            if name not in definition.names:
+                definition = self._with_column(log, definition, name, kind)
+        return definition
+
+    def _with_column(self, log, definition, name, kind, after=None):
         if name in definition.names:
             raise SchemaMismatch(f"{self.name} already has a column {name}")
         taken = {stored for _, stored, _ in definition.columns} | self._stored_names(log)
@@ -623,7 +649,7 @@ class VersionedDataset:
         columns = list(definition.columns)
         place = definition.names.index(after) + 1 if after else len(columns)
         columns.insert(place, (name, stored, canonical_type(kind)))
-        return self._evolve(log, replace(definition, columns=tuple(columns)), at)
+        return replace(definition, columns=tuple(columns))
 
     def rename_column(self, old, new, at=None):
         log = self.commit_log()

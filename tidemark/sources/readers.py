@@ -1,12 +1,16 @@
 """Reading files into DataFrames: format from the path, defaults, many sources, samples."""
 
+import math
 import os
 import re
 from urllib.parse import urlparse
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.files import cut_lineage
+from tidemark.functions.hashing import row_text
 from tidemark.functions.text import convertible_to_number, to_whole_number
 from tidemark.names import data_columns, quoted
 from tidemark.operators.cleaning import unique_names
@@ -84,15 +88,20 @@ _BAD_LINE = "_sys_bad_line"
 
 
 def _csv_options(options):
-    return {"header": "true", **{key: str(value) for key, value in options.items()}}
+    given = {key: str(value) for key, value in options.items()}
+    # A quote within quotes is written twice.
+    return {"header": "true", "escape": '"', **given}
+
+
+def _first_line(spark, path, options):
+    first = spark.read.options(**{**options, "header": "false"}).csv(path).first()
+    return [] if first is None else list(first)
 
 
 def csv_columns(spark, path, options):
     """Column names from the first line; names that repeat or are empty get a number."""
     options = _csv_options(options)
-    first = spark.read.options(**{**options, "header": "false"}).csv(path).first()
-    if first is None:
-        return []
+    first = _first_line(spark, path, options)
     if options["header"].lower() != "true":
         return [f"_c{i}" for i in range(len(first))]
     return unique_names([name or f"unnamed_{i}" for i, name in enumerate(first)])
@@ -100,8 +109,9 @@ def csv_columns(spark, path, options):
 
 def _values_in_line(line, options):
     """Number of values in a raw line: separators outside quotes, and one."""
-    quote, escape = re.escape(options.get("quote", '"')), re.escape(options.get("escape", "\\"))
-    quoted_value = f"{quote}(?:{escape}.|{quote}{quote}|[^{quote}{escape}])*{quote}"
+    quote, escape = re.escape(options.get("quote", '"')), re.escape(options["escape"])
+    escaped = "" if escape == quote else f"{escape}.|"
+    quoted_value = f"{quote}(?:{escaped}{quote}{quote}|[^{quote}{escape}])*{quote}"
     bare = F.regexp_replace(line, F.lit(quoted_value), F.lit(""))
     separator = options.get("sep", options.get("delimiter", ","))
     without = F.replace(bare, F.lit(separator))
@@ -115,12 +125,14 @@ def _csv_texts(spark, path, names, options, keep_bad):
     ones among them stay and end in nulls, as pandas has it, long ones go.
     """
     options = _csv_options(options)
+    # Spark compares every file's header with these names, unless they are not those of a header.
+    same = options["header"].lower() == "true" and _first_line(spark, path, options) == list(names)
     fields = [T.StructField(name, T.StringType()) for name in [*names, _BAD_LINE]]
     settings = {
         **options,
         "mode": "PERMISSIVE",
         "columnNameOfCorruptRecord": _BAD_LINE,
-        "enforceSchema": "true",
+        "enforceSchema": str(not same).lower(),
         # Lines are checked whole, also when few columns are selected.
         "columnPruning": "false",
     }
@@ -165,6 +177,10 @@ def _inferred_types(texts):
 def read_csv(spark, path, schema=None, options=None):
     """Delimited text. Lines with too many values are left out, short ones end in nulls.
 
+    Values may be quoted, with quotes in them written twice. Files of one path whose headers differ
+    are refused; read them as separate sources, which are joined by name. Line breaks within quotes
+    need the option ``multiLine``, with which Spark reads a file in one piece.
+
     Without a schema one further pass finds the types; dates stay text, as in pandas. With one,
     a value that does not fit its type is null.
     """
@@ -231,44 +247,45 @@ def read_many(spark, paths, source_format=None, options=None):
     return union_sources([read_source(spark, p, source_format, options=options) for p in paths])
 
 
-# Up to this many rows are sampled by one top-n.
-_TOP_ROWS = 100_000
-
-
 def sample_rows(df, n, key=None, seed=42):
     """``n`` rows chosen by hash order: the same rows on every run and any layout.
 
-    A small sample is a top-n by hash: each task keeps n rows and only those are merged. A
-    large one is cut at the hash of its last row, found by counting rows per hash prefix, so
-    that no task sees more than the few rows around the cut. All rows when the frame has no
-    more than ``n``.
+    A count gives the share of the hash range that holds ``n`` rows and some more; it is widened
+    until it does. Only the rows in that range are sorted, over many tasks, and numbered by the
+    sizes of the sorted partitions. Rows of equal key are alike, so any of them may be taken. All
+    rows when the frame has no more than ``n``.
     """
     names = list(key) if key else data_columns(df)
-    text = F.concat_ws("|", *[F.col(quoted(name)).cast("string") for name in names])
-    place = F.md5(F.concat(F.lit(f"{seed}|"), text))
-    if n <= _TOP_ROWS:
-        return df.orderBy(place).limit(n)
+    place = F.md5(F.concat(F.lit(f"{seed}|"), row_text(df, names, framed=True)))
     marked = df.withColumn("_sys_place", place)
-    return _lowest(marked, n).drop("_sys_place")
-
-
-def _lowest(marked, n):
-    """The ``n`` rows with the lowest ``_sys_place``, of any number of rows."""
-    place, cut, taken = F.col("_sys_place"), "", 0
-    while n - taken > _TOP_ROWS and len(cut) < 32:
-        digits = len(cut) + 4
-        rest = marked.filter(place.startswith(cut)) if cut else marked
-        # At most 65,536 groups a round, however many rows.
-        prefixes = rest.groupBy(F.substring(place, 1, digits).alias("p")).count()
-        for row in sorted(prefixes.collect(), key=lambda row: row["p"]):
-            if taken + row["count"] > n:
-                cut = row["p"]
-                break
-            taken += row["count"]
-        else:
-            return marked if not cut else marked.filter(F.substring(place, 1, len(cut)) <= cut)
-    below = marked.filter(F.substring(place, 1, len(cut)) < cut)
-    return below.unionAll(marked.filter(place.startswith(cut)).orderBy(place).limit(n - taken))
+    total, share = df.count(), 1.0
+    if n < total:
+        share = (n + 8 * math.sqrt(n) + 64) / total
+        while share < 1 and marked.filter(_below(share)).count() < n:
+            share *= 2
+    if share < 1:
+        marked = marked.filter(_below(share))
+    # Equal places lie side by side; a second number spreads them over the sorted partitions.
+    marked = marked.withColumn("_sys_tie", F.monotonically_increasing_id())
+    ordered = cut_lineage(
+        marked.repartitionByRange("_sys_place", "_sys_tie")
+        .sortWithinPartitions("_sys_place", "_sys_tie")
+        .withColumn("_sys_number", F.monotonically_increasing_id())
+        .withColumn("_sys_part", F.shiftright("_sys_number", 33))
+    )
+    sizes = ordered.groupBy("_sys_part").count()
+    # One row per partition.
+    before = Window.orderBy("_sys_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("_sys_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_sys_before"))
+    within = F.col("_sys_number") - F.shiftleft(F.col("_sys_part"), 33)
+    taken = ordered.join(sizes, "_sys_part").filter(within + F.col("_sys_before") < n)
+    return taken.select(*[F.col(quoted(name)) for name in df.columns])
+
+
+def _below(share):
+    """Rows whose place is in the lowest share of the hash range."""
+    place = F.conv(F.substring("_sys_place", 1, 12), 16, 10).cast("bigint")
+    return place < int(share * 2**48)
 
 
 def sample_fraction(df, fraction, seed=42):

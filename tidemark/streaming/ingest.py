@@ -30,7 +30,7 @@ def stream_into(
         if dataset.committed_token(token) is not None:
             return
         rows = cleaning.run(batch) if cleaning is not None else batch
-        rows = dedup.deduplicate(rows, hash_columns)
+        rows = dedup.deduplicate(rows, hash_columns, framed=True)
         if dataset.commit_log().current_id is not None:
             rows = dedup.drop_known(rows, dataset.known_hashes(), large_ledger=True)
         dataset.append(rows, at=at(number) if at else None, token=token)

@@ -59,8 +59,8 @@ def sql_text(columns):
 
 def sql_framed(columns):
     parts = [
-        f"coalesce(length(cast({c} as varchar)) || ':' || cast({c} as varchar), '-;')"
-        for c in columns
+        f"coalesce('{len(c)}:{c}' || length(cast({c} as varchar)) || ':' || cast({c} as varchar), '')"
+        for c in sorted(columns)
     ]
     return " || ".join(parts)
 
@@ -69,6 +69,11 @@ def sql_hash(columns):
     return f"sha256({sql_text(columns)})"
 
 
+def sql_stored_hash(columns):
+    """The hash that stored rows carry."""
+    return f"sha256({sql_framed(columns)})"
+
+
 def sql_checksum(hash_column):
     """Sum of the groups of 15 hex digits; DuckDB reads hex text with the prefix 0x."""
     groups = " + ".join(

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 from tidemark.operators import dedup
 from tidemark.operators.cleaning import Cleaning
 from tidemark.operators.rules import rules_from_dict
-from tidemark.operators.validation import report_summary
+from tidemark.operators.validation import ValidationFailed, report_summary
 from tidemark.plans.ingest import Ingest, step_audit
 from tidemark.plans.loading import load
 from tidemark.plans.versions import VersionedDataset
 from tidemark.operators.catalog import Catalog
 from tidemark.streaming.ingest import stream_into
 from tidemark_queries.cleaning import HOLES, holes
-from tidemark_queries.registry import EVENTS, fresh_dir, query, sql_hash, table
+from tidemark_queries.registry import EVENTS, fresh_dir, query, sql_stored_hash, table
 
 AT = datetime(2024, 6, 1)
 RULES = rules_from_dict(
@@ -30,7 +30,7 @@ RULES = rules_from_dict(
 )
 INGESTED = f"""select event_id, ts, user_id, event_type, value, props,
                       timestamp '2024-06-01' as _sys_ingested_at,
-                      {sql_hash(EVENTS)} as _sys_row_hash from events"""
+                      {sql_stored_hash(EVENTS)} as _sys_row_hash from events"""
 
 
 def _written_twice(spark, sf_dir, where="true"):
@@ -120,7 +120,7 @@ def incremental_run(spark, sf_dir):
 @query(
     "p5_stream_ingest",
     f"""select event_id, ts, user_id, event_type, value, props,
-               {sql_hash(EVENTS)} as _sys_row_hash from events""",
+               {sql_stored_hash(EVENTS)} as _sys_row_hash from events""",
 )
 def stream_ingest(spark, sf_dir):
     """Files with repeated rows as a stream, several micro-batches into one dataset."""
@@ -141,3 +141,46 @@ def stream_ingest(spark, sf_dir):
     )
     stream_into(stream, dataset, fresh_dir(spark, "stream-state")).awaitTermination()
     return dataset.read()
+
+
+@query(
+    "p4_incremental_run_with_new_column",
+    f"""select event_id, ts, user_id, event_type, value, props,
+               timestamp '2024-06-01' as _sys_ingested_at,
+               {sql_stored_hash(EVENTS)} as _sys_row_hash
+        from (select * replace (case when event_type <> 'click' then props end as props)
+              from events)""",
+)
+def incremental_run_with_new_column(spark, sf_dir):
+    """A column that is empty in the first batch, and so left out there, changes no old row."""
+    root = fresh_dir(spark, "widened")
+    events = table(spark, sf_dir, "events").withColumn(
+        "props", F.when(F.col("event_type") != "click", F.col("props"))
+    )
+    for i, where in enumerate(("event_type = 'click'", "true")):
+        run = Ingest(root, "click stream", f"v{i}", at=AT, incremental=True)
+        run.run_frame(events.filter(where), ["events"])
+    return VersionedDataset(spark, root, "click stream").read().select(
+        *[name for name in events.columns], "_sys_ingested_at", "_sys_row_hash"
+    )
+
+
+@query(
+    "v16_refused_run",
+    f"""select event_id, ts, user_id, event_type, value, props,
+               timestamp '2024-06-01' as _sys_ingested_at,
+               {sql_stored_hash(EVENTS)} as _sys_row_hash from events""",
+)
+def refused_run(spark, sf_dir):
+    """A run that breaks a rule leaves nothing: neither rows nor its additional column."""
+    root = fresh_dir(spark, "refused")
+    events = table(spark, sf_dir, "events")
+    run = Ingest(root, "events", "v1", rules=RULES, at=AT)
+    try:
+        run.run_frame(events.unionAll(events).withColumn("bad", F.monotonically_increasing_id()), ["x"])
+    except ValidationFailed:
+        pass
+    else:
+        raise AssertionError("the run was not refused")
+    run.run_frame(events, ["events"])
+    return load(Catalog(spark, root), root, "events", version="v1")

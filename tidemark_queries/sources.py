@@ -59,9 +59,8 @@ def csv_source(spark, sf_dir):
     path = fresh_dir(spark, "orders") + ".csv"
     lines = _order_lines(spark, sf_dir)
     lines.write.option("header", True).csv(path)
-    spark.range(1).selectExpr("'1,2,P,3.0,5-LOW,too long'").write.mode("append").option(
-        "header", True
-    ).text(path)
+    too_long = "\n".join([",".join(lines.columns), "1,2,P,3.0,5-LOW,too long"])
+    spark.range(1).select(F.lit(too_long)).write.mode("append").text(path)
     return readers.read_source(spark, path)
 
 
@@ -132,7 +131,8 @@ def many_sources(spark, sf_dir):
 @query(
     "s10_sample",
     """select o_orderkey, o_custkey from orders
-       order by md5('42|' || o_orderkey) limit 100""",
+       order by md5('42|10:o_orderkey' || length(o_orderkey::varchar) || ':' || o_orderkey)
+       limit 100""",
 )
 def sample(spark, sf_dir):
     return readers.sample_rows(

@@ -1,12 +1,14 @@
 """Rule reports."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from tidemark.operators import validation as V
 from tidemark.operators.rules import rules_from_dict
 from tidemark_queries.cleaning import TEXTS, number_texts
 from tidemark_queries.hashing import DUPLICATED, NULLED, duplicated, nulled
-from tidemark_queries.registry import query, table
+from tidemark_queries.registry import fresh_dir, query, table
 
 REPORT = ("column", "rule", "severity", "violations")
 
@@ -308,3 +310,32 @@ def split_rows(spark, sf_dir):
             "event_id", F.lit("rejected"), F.array_join("_sys_reasons", ",").alias("reasons")
         )
     )
+
+
+@query(
+    "v17_rules_from_json",
+    """select 'c_acctbal' as "column", 'min_value' as rule, count(*) filter (where c_acctbal < 0) as violations
+       from customer having count(*) filter (where c_acctbal < 0) > 0
+       union all
+       select 'c_name', 'max_length', count(*) filter (where length(c_name) > 10) from customer
+       having count(*) filter (where length(c_name) > 10) > 0""",
+)
+def rules_from_json(spark, sf_dir):
+    """Rules as JSON text on storage, one unknown key of which is an error."""
+    content = {
+        "columns": [
+            {"name": "c_acctbal", "min_value": 0},
+            {"name": "c_name", "max_length": 10},
+        ]
+    }
+    path = fresh_dir(spark, "rules")
+    spark.createDataFrame([(json.dumps(content),)], "value string").write.text(path)
+    loaded = json.loads(spark.read.option("wholetext", True).text(path).first()["value"])
+    try:
+        rules_from_dict({**loaded, "unknown": 1})
+    except (TypeError, ValueError):
+        pass
+    else:
+        raise AssertionError("an unknown key was taken")
+    found = V.validate(table(spark, sf_dir, "customer"), rules_from_dict(loaded))
+    return found.select("column", "rule", "violations")

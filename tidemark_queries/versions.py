@@ -2,6 +2,7 @@
 
 from datetime import datetime
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.partitioning import PartitionBy, partition_value
@@ -9,7 +10,7 @@ from tidemark.operators import diff as D
 from tidemark.operators.catalog import Catalog
 from tidemark.plans import commits
 from tidemark.plans.loading import load, load_at_snapshot
-from tidemark.plans.versions import VersionedDataset
+from tidemark.plans.versions import SchemaMismatch, VersionedDataset
 from tidemark.sources.manifest import checksum
 from tidemark_queries.registry import (
     ORDERS,
@@ -510,3 +511,47 @@ def write_metrics(spark, sf_dir):
         F.lit(written.codec).alias("codec"),
         F.lit(written.checksum).alias("checksum"),
     )
+
+
+@query(
+    "t4_schema_check",
+    """select p_partkey, p_name, p_size from part where p_size > 15
+       union all select p_partkey, p_name, null from part where p_size <= 15""",
+)
+def schema_check(spark, sf_dir):
+    """Unknown columns and clashing types are refused, missing columns are null."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
+    dataset = VersionedDataset.create(spark, fresh_dir(spark, "checked"), "parts", parts.schema)
+    dataset.append(parts.filter("p_size > 15"))
+    clashing = parts.withColumn("p_name", F.lit(1.5))
+    for wrong in (parts.withColumn("unknown", F.lit(1)), clashing):
+        try:
+            dataset.append(wrong)
+        except SchemaMismatch:
+            continue
+        raise AssertionError("the batch was not refused")
+    dataset.append(parts.filter("p_size <= 15").drop("p_size"))
+    return dataset.read()
+
+
+@query(
+    "t23_descending",
+    "select count(*) as rows, 0 as rows_out_of_order from orders",
+)
+def sorted_descending(spark, sf_dir):
+    """Partitions with files in descending order: no row has a greater price than the one before."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    dataset = VersionedDataset.create(
+        spark, fresh_dir(spark, "descending"), "orders", orders.schema,
+        partition_by=["o_orderstatus"], sort_by=["o_totalprice desc", "o_orderkey"],
+    )
+    dataset.append(orders)
+    stored = spark.read.parquet(dataset.data_path).select(
+        "o_totalprice", "_metadata.file_path", "_metadata.row_index"
+    )
+    before = F.lag("o_totalprice").over(Window.partitionBy("file_path").orderBy("row_index"))
+    placed = stored.withColumn("before", before)
+    return placed.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(F.col("o_totalprice") > F.col("before")).alias("rows_out_of_order"),
+    )
