@@ -225,16 +225,23 @@ def _prefixes(frequent):
     return run
 
 
-def _frequent(docs):
-    """The most frequent shingles of a bounded sample of texts."""
-    sample = docs.where("text IS NOT NULL").select("text", F.xxhash64("doc", "text").alias("h"))
-    texts = [r.text for r in sample.orderBy("h").limit(SAMPLE_DOCUMENTS).collect()]
-    if not texts:
-        return np.zeros(0, np.uint64)
-    _, hashes = shingles(Words(pa.array(texts), lower=True))
-    found, times = np.unique(hashes, return_counts=True)
-    found, times = found[times >= FREQUENT_IN], times[times >= FREQUENT_IN]
-    return found[np.argsort(-times, kind="stable")[:FREQUENT_SHINGLES]]
+def _sets(batches):
+    schema = pa.schema([("shingle", pa.int64())])
+    for batch in batches:
+        for part in slices(batch):
+            _, hashes = shingles(Words(part.column("text"), lower=True))
+            yield pa.RecordBatch.from_arrays([signed(hashes)], schema=schema)
+
+
+def _frequent(rows):
+    """The most frequent shingles of a bounded sample of texts, counted by the executors."""
+    sample = rows.select("doc", "hash").orderBy(F.xxhash64("doc", "hash")).limit(SAMPLE_DOCUMENTS)
+    # At most SAMPLE_DOCUMENTS rows.
+    texts = rows.join(F.broadcast(sample.distinct()), ["doc", "hash"]).select("text")
+    counts = texts.mapInArrow(_sets, "shingle long").groupBy("shingle").count()
+    found = counts.where(F.col("count") >= FREQUENT_IN).orderBy(F.desc("count"), "shingle")
+    found = found.limit(FREQUENT_SHINGLES).select("shingle").toArrow()["shingle"].to_numpy()
+    return np.ascontiguousarray(found).view(np.uint64)
 
 
 def _bounded(batch):
