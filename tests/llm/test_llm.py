@@ -305,7 +305,9 @@ def test_chains_and_hot_groups_without_loss(spark, monkeypatch):
     assert got == sorted(reach(rows))
 
 
-def test_signature_tree_finds_every_possible_pair():
+@pytest.mark.parametrize("leaf", [4, 64])
+def test_signature_tree_finds_every_possible_pair(leaf, monkeypatch):
+    monkeypatch.setattr(near, "LEAF_ROWS", leaf)
     random = np.random.default_rng(0)
     base = random.integers(1, 1 << 63, 400, dtype=np.uint64)
     sets = []
@@ -314,8 +316,11 @@ def test_signature_tree_finds_every_possible_pair():
             1, 1 << 63, int(random.integers(3, 500)), dtype=np.uint64
         )
         sets.append(np.unique(own))
-    leaves = [near.Leaf(i, len(s), near.bitmap(s, near.width(len(s))), i, -1) for i, s in enumerate(sets)]
-    found = {tuple(sorted(p)) for p in near.pairs(near.tree(leaves))}
+    columns = (
+        np.arange(60), np.array([len(s) for s in sets]), [near.bitmap(s, near.width(len(s))) for s in sets],
+        np.arange(60), np.full(60, -1), np.full(60, 10), np.zeros(60, int),
+    )
+    found = {tuple(sorted(p)) for p in near.pairs(near.tree(*columns))}
     want = {
         (i, j) for j in range(60) for i in range(j)
         if near.enough(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j]))

@@ -3,11 +3,14 @@
 A document's set is its distinct shingles. Documents of equal sets are one class, and only classes
 are compared. Links are found in three steps; each is exact.
 
-1. Every set sends the least fifth of its shingles (in an order that puts very frequent ones last)
-   to be grouped by shingle. Two sets that are similar enough share at least one of these.
+1. Every set sends the least fifth of its shingles (in an order that puts very frequent ones last),
+   and all whose hash lies in the lowest fifth of the range, to be grouped by shingle. Two sets that
+   are similar enough share at least one of the first kind. Of the second kind, the smaller set may
+   miss a ninth of its size, as it lacks no more in all; a set that shares less with all others
+   together is the smaller side of no link, and most sets are.
 2. In every group, each class is compared with the group's least class. This ties together large
    groups of near copies with a number of comparisons that is linear in their size.
-3. Groups that still hold several components are searched by a signature tree: leaves are classes
+3. Groups that still hold several components, and a possible smaller side, are searched by a signature tree: leaves are classes
    with a bitmap of their shingles, nodes hold the OR of the bitmaps below and the range of sizes.
    Both sides of a pair of nodes are opened only if the largest possible overlap suffices; pairs
    of nodes that lie in one component are closed. Large groups are cut by size and dealt in cells.
@@ -29,7 +32,9 @@ PERCENT = 80
 #: Bounded sample that only orders shingles: documents read, and from how many of them on a
 #: shingle counts as very frequent. The order never changes a result.
 SAMPLE_DOCUMENTS, FREQUENT_IN, FREQUENT_SHINGLES = 4000, 12, 50_000
-FANOUT, CELL_ROWS = 8, 2048
+FANOUT, LEAF_ROWS, CELL_ROWS = 8, 64, 2048
+#: Hashes below this share of the range are sent by every set.
+LOWEST = np.uint64((1 << 64) // 5)
 
 
 def shingles(words, size=SIZE):
@@ -52,12 +57,17 @@ def prefix_size(n):
     return n + (-(PERCENT * n) // 100) + 1
 
 
+def least_shared(low, n):
+    """Of ``low`` shingles of a set of ``n``, how many a similar set that is no smaller has (columns)."""
+    return low - F.floor(n * (100 - PERCENT) / (100 + PERCENT) + 1e-9)
+
+
 # --- bitmaps -------------------------------------------------------------------------
 
 
 def width(n):
-    """Bits of a set's bitmap: at least two for each shingle, a power of two."""
-    return max(64, 1 << int(2 * n - 1).bit_length())
+    """Bits of a set's bitmap: at least one for each shingle, a power of two."""
+    return max(64, 1 << int(n - 1).bit_length())
 
 
 def bitmap(hashes, bits):
@@ -90,46 +100,52 @@ def may_link(a, bits_a, b, bits_b):
 # --- signature tree ------------------------------------------------------------------
 
 
-class Node:
-    """OR of the bitmaps below, range of sizes, least number of set bits, component if only one."""
+class Leaf:
+    """Classes of similar size, compared with those of another leaf in one numpy operation."""
 
-    __slots__ = ("bits", "component", "fewest", "high", "items", "low", "side")
+    items = None
 
-    def __init__(self, parts, items):
-        size = min(len(part[0]) for part in parts)
-        self.bits = np.bitwise_or.reduce([fold(part[0], size) for part in parts])
-        self.low, self.high = min(p[1] for p in parts), max(p[2] for p in parts)
-        self.fewest = min(p[3] for p in parts) if all(len(p[0]) == size for p in parts) else 0
-        found = {p[4] for p in parts}
-        self.component = found.pop() if len(found) == 1 else None
-        sides = {p[5] for p in parts}
-        self.side = sides.pop() if len(sides) == 1 else None
-        self.items = items
+    def __init__(self, keys, sizes, bits, components, sides, shared, needed):
+        self.keys, self.sizes, self.components, self.sides = keys, sizes, components, sides
+        self.shared, self.needed = shared, needed
+        words = min(len(x) for x in bits)
+        self.matrix = np.stack([fold(x, words) for x in bits])
+        self.bits = np.bitwise_or.reduce(self.matrix, axis=0)
+        self.low, self.high = int(sizes.min()), int(sizes.max())
+        self.fewest = int(np.bitwise_count(self.matrix).sum(axis=1).min())
+        self.component = components[0] if (components == components[0]).all() else None
 
-    def part(self):
-        return self.bits, self.low, self.high, self.fewest, self.component, self.side
+    def at(self, words):
+        if self.matrix.shape[1] == words:
+            return self.matrix
+        return np.bitwise_or.reduce(self.matrix.reshape(len(self.keys), -1, words), axis=1)
 
 
-class Leaf:
-    __slots__ = ("bits", "component", "fewest", "high", "key", "low", "side")
-    items = None
-
-    def __init__(self, key, n, bits, component, side):
-        self.key, self.low, self.high, self.bits = key, n, n, bits
-        self.component, self.side, self.fewest = component, side, count(bits)
+class Node:
+    """OR of the bitmaps below, range of sizes, least number of set bits, component if only one."""
 
-    def part(self):
-        return self.bits, self.low, self.high, self.fewest, self.component, self.side
+    def __init__(self, items):
+        words = min(len(x.bits) for x in items)
+        self.bits = np.bitwise_or.reduce([fold(x.bits, words) for x in items])
+        self.low, self.high = min(x.low for x in items), max(x.high for x in items)
+        # Counted at one width only; folding loses set bits.
+        same = all(len(x.bits) == words for x in items)
+        self.fewest = min(x.fewest for x in items) if same else 0
+        found = {x.component for x in items}
+        self.component = found.pop() if len(found) == 1 else None
+        self.items = items
 
 
-def tree(leaves):
-    """Nodes over leaves in the order of their sizes."""
-    level = sorted(leaves, key=lambda leaf: leaf.low)
+def tree(keys, sizes, bits, components, sides, shared, needed):
+    """Nodes over leaves of classes in the order of their sizes."""
+    order = np.argsort(sizes, kind="stable")
+    level = []
+    for lo in range(0, len(order), LEAF_ROWS):
+        at = order[lo : lo + LEAF_ROWS]
+        columns = (x[at] for x in (components, sides, shared, needed))
+        level.append(Leaf(keys[at], sizes[at], [bits[i] for i in at], *columns))
     while len(level) > 1:
-        level = [
-            Node([x.part() for x in level[i : i + FANOUT]], level[i : i + FANOUT])
-            for i in range(0, len(level), FANOUT)
-        ]
+        level = [Node(level[i : i + FANOUT]) for i in range(0, len(level), FANOUT)]
     return level[0]
 
 
@@ -137,33 +153,53 @@ def _possible(a, b):
     """Whether some pair below two nodes can be similar enough."""
     if a.component is not None and a.component == b.component:
         return False
-    if a.side is not None and a.side == b.side and a.side >= 0:
-        return False
     low, high = (a, b) if a.low <= b.low else (b, a)
-    if not enough(min(low.high, high.high), min(low.high, high.low), high.low):
+    if not enough(min(low.high, high.low), min(low.high, high.low), high.low):
         return False
-    size = min(len(a.bits), len(b.bits))
-    both = count(fold(a.bits, size) & fold(b.bits, size))
+    words = min(len(a.bits), len(b.bits))
+    both = count(fold(a.bits, words) & fold(b.bits, words))
     most = min(a.high, b.high)
     for x in (a, b):
-        if len(x.bits) == size:
+        if len(x.bits) == words:
             most = min(most, x.high - max(0, x.fewest - both))
     return enough(most, a.low, b.low)
 
 
+def _compared(a, b):
+    """Pairs of classes of two leaves whose bitmaps and counts leave room for a link."""
+    words = min(a.matrix.shape[1], b.matrix.shape[1])
+    x, y = a.at(words), b.at(words)
+    # One row against all of the other leaf at a time bounds the memory by the bitmaps themselves.
+    both = np.stack([np.bitwise_count(row & y).sum(axis=1, dtype=np.int64) for row in x])
+    n, m = a.sizes[:, None], b.sizes[None, :]
+    lacking = np.bitwise_count(x).sum(axis=1, dtype=np.int64)[:, None] - both
+    other = np.bitwise_count(y).sum(axis=1, dtype=np.int64)[None, :] - both
+    good = enough(np.minimum(n - lacking, m - other), n, m)
+    p, q = a.needed[:, None], b.needed[None, :]
+    needed = np.where(n < m, p, np.where(m < n, q, np.minimum(p, q)))
+    good &= np.minimum(a.shared[:, None], b.shared[None, :]) >= needed
+    good &= a.components[:, None] != b.components[None, :]
+    good &= (a.sides[:, None] != b.sides[None, :]) | (a.sides[:, None] < 0)
+    if a is b:
+        good = np.triu(good, 1)
+    i, j = np.nonzero(good)
+    return zip(a.keys[i].tolist(), b.keys[j].tolist(), strict=True)
+
+
 def pairs(root):
-    """Pairs of leaves of different components that may be similar enough, by dual traversal."""
+    """Pairs of classes of different components that may be similar enough, by dual traversal."""
     stack = [(root, root)]
     while stack:
         a, b = stack.pop()
-        if a is b:
-            if a.items and a.component is None:
-                stack.extend(
-                    (x, y) for i, x in enumerate(a.items) for y in a.items[i:] if x is y or _possible(x, y)
-                )
-        elif a.items is None and b.items is None:
-            if may_link(a.low, a.bits, b.low, b.bits):
-                yield a.key, b.key
+        if a.items is None and b.items is None:
+            yield from _compared(a, b)
+        elif a is b:
+            stack.extend(
+                (x, y)
+                for i, x in enumerate(a.items)
+                for y in a.items[i:]
+                if (x is y and x.component is None) or (x is not y and _possible(x, y))
+            )
         elif b.items is None or (a.items is not None and a.high >= b.high):
             stack.extend((x, b) for x in a.items if _possible(x, b))
         else:
@@ -174,7 +210,7 @@ def pairs(root):
 
 
 def _profiles(batch):
-    columns = {"key": [], "again": [], "n": [], "bits": []}
+    columns = {"key": [], "again": [], "n": [], "low": [], "bits": []}
     for part in slices(batch):
         words = Words(part.column("text"), lower=True)
         row, hashes = shingles(words)
@@ -190,13 +226,15 @@ def _profiles(batch):
         columns["key"].append(signed(key))
         columns["again"].append(signed(again))
         columns["n"].append(n)
-    joined = {k: np.concatenate(columns[k]) for k in ("key", "again", "n")}
+        columns["low"].append(np.bincount(row[hashes < LOWEST], minlength=part.num_rows))
+    joined = {k: np.concatenate(columns[k]) for k in ("key", "again", "n", "low")}
     return {"doc": batch.column("doc"), "hash": batch.column("hash"), **joined, "bits": pa.array(columns["bits"], pa.binary())}
 
 
 def _prefixes(frequent):
     schema = pa.schema(
-        [("deal", pa.int64()), ("shingle", pa.int64()), ("key", pa.int64()), ("hot", pa.bool_())]
+        [("deal", pa.int64()), ("shingle", pa.int64()), ("key", pa.int64()), ("hot", pa.bool_()),
+         ("low", pa.bool_())]
     )
 
     def run(batches):
@@ -215,11 +253,14 @@ def _prefixes(frequent):
                 order = np.lexsort((hashes, hot, row))
                 row, hashes, hot = row[order], hashes[order], hot[order]
                 rank = np.arange(len(row)) - np.searchsorted(row, row)
-                first = rank < prefix_size(n)[row]
+                low = hashes < LOWEST
+                first = (rank < prefix_size(n)[row]) | low
+                low = low[first]
                 row, hashes, hot = row[first], hashes[first], hot[first]
                 deal = np.where(hot, mix(hashes ^ mix(key[row])), hashes)
                 yield pa.RecordBatch.from_arrays(
-                    [signed(deal), signed(hashes), signed(key)[row], pa.array(hot)], schema=schema
+                    [signed(deal), signed(hashes), signed(key)[row], pa.array(hot), pa.array(low)],
+                    schema=schema,
                 )
 
     return run
@@ -260,17 +301,15 @@ def _cells(batches):
     """Candidate pairs of every cell; the rows of a cell follow each other."""
 
     def search(rows):
-        leaves = [
-            Leaf(key, n, np.frombuffer(bits, np.uint64), component, side)
-            for key, n, bits, component, side in rows
-        ]
-        return list(pairs(tree(leaves)))
+        keys, n, bits, *rest = zip(*rows, strict=True)
+        bits = [np.frombuffer(x, np.uint64) for x in bits]
+        return list(pairs(tree(np.array(keys), np.array(n), bits, *map(np.array, rest))))
 
     cell, rows = None, []
     names = ("shingle", "level", "i", "j")
     for batch in batches:
         found = []
-        data = [batch.column(c).to_pylist() for c in (*names, "key", "n", "bits", "component", "side")]
+        data = [batch.column(c).to_pylist() for c in (*names, "key", "n", "bits", "component", "side", "shared", "needed")]
         for values in zip(*data, strict=True):
             if values[:4] != cell:
                 found += search(rows) if len(rows) > 1 else []
@@ -313,50 +352,64 @@ def _level(n):
     return F.floor(F.log(n.cast("double")) / F.log(F.lit(100 / PERCENT + 1e-9))).cast("int")
 
 
-def _dealt(rows):
+def _held(rows):
     """Rows in cells of a shingle and size class: those of the class and of the next one.
 
-    A cell of more than ``CELL_ROWS`` rows is dealt into parts by key, and every pair of parts has
-    a cell of its own, so that any two rows meet.
+    Only cells with several components and a possible smaller side of the class count, and in
+    them only rows that share as much as the least demanding of these needs.
     """
     own = rows.select("*", F.lit(True).alias("own"))
     above = rows.withColumn("level", F.col("level") - 1).select("*", F.lit(False).alias("own"))
     cells = own.union(above)
+    smaller = F.col("own") & (F.col("shared") >= F.col("needed"))
     sizes = cells.groupBy("shingle", "level").agg(
-        F.count("*").alias("rows"), F.max("own").alias("any")
+        F.count("*").alias("rows"),
+        F.min(F.when(smaller, F.col("needed"))).alias("least"),
+        F.min("component").alias("one"), F.max("component").alias("other"),
     )
-    sizes = stored(sizes.where("any AND rows > 1").drop("any"), "cells")
-    cells = cells.join(sizes, ["shingle", "level"])
+    sizes = sizes.where("least IS NOT NULL AND one < other").drop("one", "other")
+    return cells.join(stored(sizes, "cells"), ["shingle", "level"]).where("shared >= least")
+
+
+def _dealt(rows):
+    """The rows of all cells that may hold a link.
+
+    A cell of more than ``CELL_ROWS`` rows is dealt into parts by key, and every pair of parts has
+    a cell of its own, so that any two rows meet.
+    """
+    cells = _held(rows)
     parts = F.ceil(F.col("rows") / CELL_ROWS).cast("int")
     cells = cells.withColumn("parts", parts)
     cells = cells.withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     return cells.select(
         "shingle", "level", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"),
-        "key", "n", "bits", "component",
+        "key", "n", "component", "shared", "needed",
         F.when(F.col("part") == F.col("other"), -1).otherwise(F.col("part")).alias("side"),
     )
 
 
 def _shared(rows):
-    """Shingles of prefixes that several classes have: ``shingle``, ``key`` and the least key."""
+    """Sent shingles that several classes have: ``shingle``, ``key``, ``low`` and the least key."""
     frequent = _frequent(rows)
-    prefix = rows.mapInArrow(_prefixes(frequent), "deal long, shingle long, key long, hot boolean")
-    # One dealing serves the count and the join. Very frequent shingles are known to be shared:
+    prefix = rows.mapInArrow(_prefixes(frequent), "deal long, shingle long, key long, hot boolean, low boolean")
+    # One dealing serves the count and the join, so both read all columns of it. Very frequent shingles are known to be shared:
     # their rows are dealt by shingle and key, so that none fills a partition.
     dealt = prefix.repartition("deal")
     least = dealt.groupBy("deal").agg(
-        F.min("key").alias("pivot"), F.max("key").alias("high"), F.max("hot").alias("any")
+        F.min("key").alias("pivot"), F.max("key").alias("high"), F.max("hot").alias("any"),
+        F.min(F.struct("shingle", "low")).alias("_same"),
     )
-    least = least.where("pivot < high OR any").select("deal", "pivot")
-    found = dealt.join(least, "deal").select("shingle", "key", "pivot", "hot").distinct()
+    least = least.where("(pivot < high OR any) AND _same IS NOT NULL").select("deal", "pivot")
+    found = dealt.join(least, "deal").select("shingle", "key", "pivot", "hot", "low").distinct()
     found = stored(found, "shared")
     if not len(frequent):
         return found.drop("hot")
-    hot = found.where("hot").select("shingle", "key")
+    hot = found.where("hot").select("shingle", "key", "low")
     # At most FREQUENT_SHINGLES rows.
     pivots = F.broadcast(hot.groupBy("shingle").agg(F.min("key").alias("pivot")))
-    return found.where("NOT hot").drop("hot").union(hot.join(pivots, "shingle"))
+    cold = found.where("NOT hot").select("shingle", "key", "low", "pivot")
+    return cold.union(hot.join(pivots, "shingle").select("shingle", "key", "low", "pivot"))
 
 
 def _joined_bits(pairs, sets):
@@ -369,11 +422,37 @@ def _joined_bits(pairs, sets):
 def links(rows, sets):
     """Links ``a``, ``b`` between classes that join all classes that any links join."""
     shared = _shared(rows)
+    counts = shared.groupBy("key").agg(F.count_if("low").alias("shared"))
+    needed = least_shared(F.col("low"), F.col("n"))
+    facts = stored(
+        counts.join(sets.select("key", "n", "low"), "key").select(
+            "key", "n", "shared", needed.cast("long").alias("needed")
+        ),
+        "facts",
+    )
+    shared = shared.drop("low")
+
     candidates = shared.where("pivot <> key").select(F.col("pivot").alias("a"), F.col("key").alias("b"))
-    candidates = _joined_bits(candidates.distinct(), sets)
+    candidates = candidates.distinct()
+    for side in ("a", "b"):
+        named = facts.select(
+            F.col("key").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("n", "shared", "needed")]
+        )
+        candidates = candidates.join(named, side)
+    # The smaller side shares enough, and so does the other with it.
+    needs = F.when(F.col("n_a") <= F.col("n_b"), F.col("needed_a")).otherwise(F.col("needed_b"))
+    possible = F.least("shared_a", "shared_b") >= F.when(
+        F.col("n_a") == F.col("n_b"), F.least("needed_a", "needed_b")
+    ).otherwise(needs)
+    near_sizes = enough(F.least("n_a", "n_b"), F.col("n_a"), F.col("n_b"))
+    candidates = candidates.where(possible & near_sizes).select("a", "b")
+    candidates = _joined_bits(candidates, sets)
     candidates = stored(candidates.mapInArrow(in_arrow(_bounded), "a long, b long"), "candidates")
 
-    wanted = shared.select("key").distinct().join(sets.select("key", "first"), "key")
+    # Only texts of sets that may have a link with another set of their cells.
+    sized = facts.withColumn("level", _level(F.col("n")))
+    alone = shared.select("shingle", "key", F.col("key").alias("component")).join(sized, "key")
+    wanted = _held(alone).select("key").distinct().join(sets.select("key", "first"), "key")
     wanted = wanted.select("key", F.col("first.doc").alias("doc"), F.col("first.hash").alias("hash"))
     texts = stored(rows.join(wanted, ["doc", "hash"]).select("key", "text"), "texts")
     first = _links(candidates, texts)
@@ -382,12 +461,7 @@ def links(rows, sets):
     open_ = shared.select("shingle", "key").join(tied, "key", "left")
     open_ = open_.select("shingle", "key", F.coalesce("root", "key").alias("component"))
     open_ = stored(open_, "open")
-    several = open_.groupBy("shingle").agg(
-        F.min("component").alias("low"), F.max("component").alias("high")
-    )
-    several = stored(several.where("low < high").select("shingle"), "several")
-    members = open_.join(several, "shingle").join(sets.select("key", "n", "bits"), "key")
-    cells = _dealt(members.withColumn("level", _level(F.col("n"))))
+    cells = _dealt(open_.join(sized, "key")).join(sets.select("key", "bits"), "key")
     cell = ["shingle", "level", "i", "j"]
     cells = cells.repartition(*cell).sortWithinPartitions(*cell)
     more = cells.mapInArrow(_cells, "a long, b long").distinct()
@@ -408,12 +482,13 @@ def classes(docs, id_column="doc_id", text_column="text"):
     )
     profile = stored(
         rows.mapInArrow(
-            in_arrow(_profiles), "doc long, hash long, key long, again long, n long, bits binary"
+            in_arrow(_profiles), "doc long, hash long, key long, again long, n long, low long, bits binary"
         ),
         "profiles",
     )
     sets = profile.where("n > 0 AND doc IS NOT NULL").groupBy("key", "again", "n").agg(
-        F.min(F.struct("doc", "hash")).alias("first"), F.first("bits").alias("bits")
+        F.min(F.struct("doc", "hash")).alias("first"), F.first("bits").alias("bits"),
+        F.first("low").alias("low"),
     )
     sets = stored(sets, "sets")
     found = components(links(rows.where("doc IS NOT NULL"), sets)).withColumnRenamed("node", "key")
@@ -422,7 +497,7 @@ def classes(docs, id_column="doc_id", text_column="text"):
     )
     least = roots.groupBy("root").agg(F.min("doc").alias("component_id"))
     component = stored(roots.join(least, "root").select("key", "component_id"), "components")
-    joined = profile.drop("bits").join(component, "key", "left")
+    joined = profile.drop("bits", "low").join(component, "key", "left")
     own = F.when((F.col("n") > 0) & F.col("doc").isNotNull(), F.col("component_id"))
     return joined.select(
         F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"),
