@@ -211,12 +211,15 @@ def test_ancestors_with_cycle_diamond_and_absent_parent(spark):
     ]
 
 
-def test_long_chain_of_ancestors(spark):
+def test_long_chain_of_ancestors(spark, monkeypatch):
     nodes = spark.createDataFrame(
-        [(str(i), [str(i - 1)]) for i in range(40)], "node_id string, parent_node_ids array<string>"
+        [(str(i), [str(i - 1)]) for i in range(2000)], "node_id string, parent_node_ids array<string>"
     )
-    found = L.ancestors(nodes, nodes.filter("node_id = '39'"))
-    assert sorted(row["distance"] for row in found.collect()) == list(range(40))
+    cuts, cut = [], L.cut_lineage
+    monkeypatch.setattr(L, "cut_lineage", lambda df: cuts.append(1) or cut(df))
+    found = L.ancestors(nodes, nodes.filter("node_id = '1999'"))
+    assert sorted(row["distance"] for row in found.collect()) == list(range(2000))
+    assert len(cuts) <= 2 * 12 + 2
 
 
 # --- codecs -----------------------------------------------------------------------------

@@ -55,12 +55,14 @@ def edges(nodes):
 def ancestors(nodes, starts):
     """``start_id, node_id, distance`` of every node reachable through parents.
 
-    The start itself is included at distance 0. ``starts`` is a frame with a ``node_id``
-    column: one node, or all of them at once. Every round moves the frontier by one parent and
-    drops pairs seen before, so cycles end; rounds are as many as the longest path. Each round
-    is checkpointed to shared storage, which keeps the plan short and survives lost executors.
+    The start itself is included at distance 0. ``starts`` is a frame with a ``node_id`` column;
+    the result has a row for every start and ancestor, so starts should be few where chains are
+    long. Jumps over 1, 2, 4, ... parents double what is reached, so the rounds are as many as the
+    logarithm of the longest path; cycles end, because pairs are kept once, at their least distance.
+    Each round is checkpointed to shared storage, which keeps the plan short and survives lost
+    executors.
     """
-    links = cut_lineage(edges(nodes))
+    jumps = cut_lineage(edges(nodes))
     present = key_set(nodes, "node_id")
     seen = cut_lineage(
         starts.select("node_id")
@@ -70,22 +72,25 @@ def ancestors(nodes, starts):
             F.col("node_id").alias("start_id"), "node_id", F.lit(0).cast("int").alias("distance")
         )
     )
-    frontier, distance = seen, 0
-    while not frontier.isEmpty():
-        distance += 1
-        reached = (
-            frontier.select("start_id", "node_id")
-            .join(links, "node_id")
-            .select("start_id", F.col("parent_id").alias("node_id"))
-            .distinct()
-            .join(seen.select("start_id", "node_id"), ["start_id", "node_id"], "left_anti")
-            .withColumn("distance", F.lit(distance))
+    pairs, step = seen.count(), 1
+    while True:
+        further = seen.join(jumps, "node_id").select(
+            "start_id",
+            F.col("parent_id").alias("node_id"),
+            (F.col("distance") + F.lit(step)).alias("distance"),
+        )
+        nearest = F.min("distance").cast("int").alias("distance")
+        seen = cut_lineage(
+            seen.unionByName(further).groupBy("start_id", "node_id").agg(nearest)
+        )
+        found = seen.count()
+        if found == pairs:
+            return seen
+        pairs, step = found, 2 * step
+        second = jumps.select(F.col("node_id").alias("parent_id"), F.col("parent_id").alias("_next"))
+        jumps = cut_lineage(
+            jumps.join(second, "parent_id").select("node_id", F.col("_next").alias("parent_id")).distinct()
         )
-        frontier = cut_lineage(reached)
-        seen = seen.unionByName(frontier)
-        if distance % 16 == 0:
-            seen = cut_lineage(seen)
-    return seen
 
 
 def provenance(nodes):
