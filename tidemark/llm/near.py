@@ -355,8 +355,8 @@ def _level(n):
 def _held(rows):
     """Rows in cells of a shingle and size class: those of the class and of the next one.
 
-    Only cells with several components and a possible smaller side of the class count, and in
-    them only rows that share as much as the least demanding of these needs.
+    Only cells with several components and a possible smaller side of the class count, one of
+    those with the same rows, and in them only rows that share as much as the least demanding needs.
     """
     own = rows.select("*", F.lit(True).alias("own"))
     above = rows.withColumn("level", F.col("level") - 1).select("*", F.lit(False).alias("own"))
@@ -366,8 +366,13 @@ def _held(rows):
         F.count("*").alias("rows"),
         F.min(F.when(smaller, F.col("needed"))).alias("least"),
         F.min("component").alias("one"), F.max("component").alias("other"),
+        *[F.bit_xor(F.xxhash64("key", "own", F.lit(i))).alias(f"set{i}") for i in (0, 1)],
     )
-    sizes = sizes.where("least IS NOT NULL AND one < other").drop("one", "other")
+    sizes = sizes.where("least IS NOT NULL AND one < other")
+    # Shingles of one passage have the same members; one of their cells finds all pairs.
+    sizes = sizes.groupBy("level", "rows", "least", "set0", "set1").agg(
+        F.min("shingle").alias("shingle")
+    ).drop("set0", "set1")
     return cells.join(stored(sizes, "cells"), ["shingle", "level"]).where("shared >= least")
 
 
