@@ -420,6 +420,25 @@ def test_outliers_of_a_source_are_rejected(spark, empty):
     assert quality_rules.judge(empty).count() == 0
 
 
+def test_sources_with_few_fit_rows_are_judged_by_wider_groups(spark):
+    noise = lambda i: " ".join(f"{w}###%%%" for w in prose(i, 60).split())
+    rows = [(i, prose(i, 60 + i % 40) + ".", "en", "a") for i in range(200)]
+    # Many rows of which few meet the base rules, a lone small source, a small language, and nulls.
+    rows += [(1000 + i, "w " * 40, "en", "b") for i in range(150)]
+    for at, lang, source in ((2000, "en", "b"), (3000, "en", "c"), (4000, "de", "c"), (5000, None, None)):
+        rows += [(at + i, prose(at + i, 60 + i % 40) + ".", lang, source) for i in range(20)]
+        rows += [(at + 500 + i, noise(at + 500 + i), lang, source) for i in range(5)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    found = {r.row.doc_id: r for r in quality_rules.judge(frame, least_rows=100).collect()}
+    assert len(found) == len(rows) and all(r.distance is not None for r in found.values())
+    for at in (2000, 3000, 4000, 5000):
+        assert not any(found[at + 500 + i].kept for i in range(5))
+        assert sum(found[at + i].kept for i in range(20)) >= 19
+    assert sum(found[i].kept for i in range(200)) >= 198
+    few = quality_rules.judge(frame.where("doc_id >= 1000"), least_rows=101).collect()
+    assert all(r.distance is None and r.kept != r.base_failed for r in few)
+
+
 def test_lines_of_a_batch():
     found = linestats.Lines(words.Words(pa.array(["a\na\n\n a", None, "a", "\nb"])))
     assert found.row.tolist() == [0, 0, 0, 2, 3]

@@ -70,22 +70,35 @@ def chi_square(p, df):
 
 
 def _groups(rows, least):
-    """Each row's group: its language and source, or a wider one where that has few rows."""
-    counts = rows.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    small = F.col("n") < least
-    by_lang = Window.partitionBy("lang")
-    in_lang = F.sum(F.when(small, F.col("n")).otherwise(0)).over(by_lang)
-    wide = F.when(in_lang >= least, F.array(F.lit("lang"), "lang")).otherwise(F.array(F.lit("all")))
-    own = F.array(F.lit("source"), "lang", "source")
-    counts = counts.withColumn("group", F.when(small, wide).otherwise(own))
-    key = F.xxhash64(F.to_json("group"))
+    """Each row's ``group``, whose estimate judges it, and ``groups``, whose estimates it is part of.
+
+    Only rows that meet the base rules count. The group is the row's language and source, where these
+    have few rows all rows of its language, and where it has few too the whole table.
+    """
+    key = lambda *of: F.xxhash64(F.to_json(F.array(*of)))
+    counts = rows.groupBy("lang", "source").agg(F.count_if(~F.col("base_failed")).alias("n"))
+    counts = stored(counts, "counts")
+    langs = counts.groupBy("lang").agg(
+        F.sum("n").alias("in_lang"), F.bool_or(F.col("n") < least).alias("lang_used")
+    ).withColumnRenamed("lang", "l")
+    whole = langs.agg(F.bool_or(F.col("lang_used") & (F.col("in_lang") < least)).alias("all_used"))
+    # Null-safe: null languages and sources are groups like others.
+    counts = counts.join(langs, F.col("lang").eqNullSafe(F.col("l"))).crossJoin(whole)
+    few, few_in_lang = F.col("n") < least, F.col("in_lang") < least
+    own, lang, all_ = key(F.lit("source"), "lang", "source"), key(F.lit("lang"), "lang"), key(F.lit("all"))
+    member = F.array_compact(
+        F.array(
+            F.when(~few, own),
+            F.when(F.col("lang_used") & ~few_in_lang, lang),
+            F.when(F.col("all_used"), all_),
+        )
+    )
     counts = counts.select(
-        F.struct("lang", "source").alias("of"), key.alias("group")
+        F.to_json(F.struct("lang", "source")).alias("of"),
+        F.when(~few, own).when(~few_in_lang, lang).otherwise(all_).alias("group"),
+        member.alias("groups"),
     )
-    # Null-safe: a struct of nulls is a key of its own.
-    return rows.withColumn("of", F.to_json(F.struct("lang", "source"))).join(
-        counts.withColumn("of", F.to_json("of")), "of"
-    ).drop("of")
+    return rows.withColumn("of", F.to_json(F.struct("lang", "source"))).join(counts, "of").drop("of")
 
 
 def _distances(batch):
@@ -207,8 +220,10 @@ def judge(
     distance is at most ``slack`` times the chi-square quantile at ``confidence``.
 
     Null or empty texts have no words and fail the base rules. Null languages and sources are
-    groups like others. Groups of less than ``least_rows`` rows are pooled by language, and where
-    these are few too, over all languages; a pool that stays below rejects nothing.
+    groups like others. A language and source in which less than ``least_rows`` rows meet the base
+    rules is judged by the estimate of all rows of its language, large sources included, and where
+    these are few too by that of the whole table; only where less than ``least_rows`` rows of the
+    whole table meet the base rules is there no ``distance``.
     """
     rows = docs.select(
         F.struct(*[c for c in docs.columns if c != text_column]).alias("row"),
@@ -221,10 +236,11 @@ def judge(
     schema += "".join(f", {c} long" for c in _COUNTS) + "".join(f", {n} double" for n in NAMES)
     rows = stored(rows.mapInArrow(_statistics, schema), "statistics")
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    rows = stored(_groups(rows, least_rows).withColumn("base_failed", failed), "grouped")
+    rows = stored(_groups(rows.withColumn("base_failed", failed), least_rows), "grouped")
 
     # Rows that the base rules refuse are no model of their source.
-    found = estimate(rows.where(~F.col("base_failed")))
+    model = rows.where(~F.col("base_failed"))
+    found = estimate(model.select(F.explode("groups").alias("group"), *NAMES))
     scale = chi_square(COVERAGE, len(NAMES))
     limit = slack * chi_square(confidence, len(NAMES))
 
@@ -237,7 +253,7 @@ def judge(
             "distance": pa.array(distance, mask=small),
         }
 
-    # A group without an estimate holds no row that met the base rules.
+    # There is no estimate where no row of the whole table met the base rules.
     empty = F.array(*[F.lit(0.0)] * len(NAMES)), F.array(*[F.lit(0.0)] * len(_PAIRS))
     judged = rows.join(found.select("group", "n", "m", "p", "size"), "group", "left").withColumns(
         {
