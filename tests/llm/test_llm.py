@@ -360,6 +360,31 @@ def test_leaks_are_found_and_clean_documents_left(spark):
     assert decontaminate.matches(docs.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("threshold", [0.8, 0.5])
+def test_documents_shorter_than_an_item_are_windows(spark, threshold):
+    items = {i: prose(i, n, 100_000).split() for i, n in enumerate((9, 10, 15, 24, 28, 31, 44, 59))}
+    items[8] = ["same"] * 20
+    rows, random = [], np.random.default_rng(7)
+    for w in items.values():
+        for gone in range(1, len(w) // 2):
+            front = int(random.integers(0, gone + 1))
+            part = w[front : len(w) - gone + front]
+            rows += [part, [*part[:-1], "other"], [*part[:3], "other", *part[4:]]]
+    grams = lambda w: collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    want = {}
+    for doc, w in enumerate(rows):
+        for item, t in items.items():
+            a, b = grams(w), grams(t)
+            c = (a & b).total()
+            if 0 < a.total() < b.total() and c >= (threshold - 1e-12) * (a.total() + b.total() - c):
+                want[doc, item] = (0, len(w), c / (a.total() + b.total() - c))
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    found = decontaminate.matches(docs, bench, threshold=threshold).collect()
+    assert len(want) > 30
+    assert {(r.doc_id, r.item_id): (r.start, r.n_words, r.similarity) for r in found} == want
+
+
 def test_decontamination_runs_no_python(spark, docs):
     bench = spark.createDataFrame([(1, prose(1, 30))], "item_id long, text string")
     plan = decontaminate.matches(docs, bench)._jdf.queryExecution().executedPlan().toString()

@@ -7,6 +7,10 @@ few of them, so that some run of its shingles, of a length known from the item s
 benchmark. Looking up every r-th shingle of a document, r being the shortest such run, therefore
 finds every place where a window can lie. This screen only says which windows to fingerprint.
 
+A document with fewer shingles than the item, ``n`` of ``m``, is one window as a whole, of
+similarity common / (m + n - common), which needs threshold * m shingles at least. Such a window is
+compared with the items that the screen found in it directly, without fingerprints.
+
 Each different window gets a 64-bit SimHash. The bits are cut into ``radius`` + 1 blocks; two
 fingerprints within the radius agree in at least one block, so joining windows and items of one size
 on a block finds all items within the radius. The exact similarity decides.
@@ -64,9 +68,24 @@ def _common(a, b):
     )
 
 
-def _missing(m, threshold):
-    """How many of a window's ``m`` shingles may be missing: common / (2 m - common) >= threshold."""
-    return F.floor(m - 2 * threshold * m / (1 + threshold) + 1e-9).cast("int")
+def _missing(m, threshold, n=None):
+    """How many of a window's ``n`` shingles (``m`` if not given) the item's ``m`` may lack.
+
+    From common / (m + n - common) >= threshold; below 0 if no such window reaches the threshold.
+    """
+    n = m if n is None else n
+    return F.floor((n - threshold * m) / (1 + threshold) + 1e-9).cast("int")
+
+
+def _whole_step(m, threshold):
+    """The largest step at which a whole shorter document that reaches ``threshold`` has a hit.
+
+    Its first shingle is always looked up, so of n shingles ceil(n / step) are, more than may be missing.
+    """
+    shorter = F.sequence(F.greatest(F.floor(threshold * m), F.lit(1)).cast("int"), m)
+    return F.array_min(F.transform(shorter, lambda n: F.when(
+        _missing(m, threshold, n) > 0, F.floor((n - 1) / _missing(m, threshold, n))
+    )))
 
 
 def matches(
@@ -77,7 +96,8 @@ def matches(
 
     Returns the document's id and item's id under their own names, ``start`` (the window's first
     word, from 0), ``n_words`` and ``similarity`` of the best, then earliest, window. A-Z are
-    lower-cased. Items with fewer words than a shingle are one shingle of all their words. Null or
+    lower-cased. A document shorter than the item is one window of all its words. Items with fewer
+    words than a shingle are one shingle of all their words. Null or
     empty texts and items match nothing; rows without an id are matched and return a null id;
     repeated documents and items give one row for each pair of ids.
     """
@@ -110,36 +130,41 @@ def matches(
 def _matches(rows, items, size, threshold, radius):
     known = items.select("item", "m", "k", F.explode(F.array_distinct("s")).alias("h"))
     facts = items.agg(
-        F.min(F.ceil((F.col("m") - F.col("k")) / (F.col("k") + 1))).alias("step"),
+        F.min(
+            F.least(F.ceil((F.col("m") - F.col("k")) / (F.col("k") + 1)), _whole_step(F.col("m"), threshold))
+        ).alias("step"),
         F.sum(F.size("s")).alias("n"),
     ).first()
     step = facts.step
     known = F.broadcast(known) if facts.n <= BROADCAST_SHINGLES else known
 
     # Every step-th shingle of every document, looked up in the benchmark.
-    hits = rows.select("key", words("text").alias("w")).select(
-        "key", F.posexplode(_shingles("w", size, step)).alias("at", "h")
-    )
-    hits = hits.join(known, "h").groupBy("key", "item", "m", "k").agg(
+    hits = rows.select("key", words("text").alias("w")).withColumn("n", F.size("w") - (size - 1))
+    hits = hits.select("key", "n", F.posexplode(_shingles("w", size, step)).alias("at", "h"))
+    hits = hits.join(known, "h").groupBy("key", "n", "item", "m", "k").agg(
         F.sort_array(F.collect_set(F.col("at") * step)).alias("hits")
     )
-    least = F.greatest(F.floor(F.col("m") / step) - F.col("k"), F.lit(1)).cast("int")
-    hits = stored(hits.withColumn("least", least).where("size(hits) >= least"), "hits")
-
-    # Windows of the item's size that hold enough of its hits.
-    starts = """filter(
+    whole = F.col("n") < F.col("m")
+    hits = hits.withColumn("k", F.when(whole, _missing(F.col("m"), threshold, F.col("n"))).otherwise(F.col("k")))
+    looked_up = F.when(whole, F.ceil(F.col("n") / step)).otherwise(F.floor(F.col("m") / step))
+    least = F.greatest(looked_up - F.col("k"), F.lit(1)).cast("int")
+    hits = stored(hits.withColumn("least", least).where("k >= 0 AND size(hits) >= least"), "hits")
+
+    # Windows of the item's size that hold enough of its hits, or the whole of a shorter document.
+    starts = """IF(n < m, array(0), filter(
         array_distinct(flatten(transform(hits,
             q -> IF(least(q, n - m) >= greatest(q - m + 1, 0),
                     sequence(greatest(q - m + 1, 0), least(q, n - m)), CAST(array() AS array<int>))))),
-        p -> size(filter(hits, q -> q >= p AND q < p + m)) >= least)"""
+        p -> size(filter(hits, q -> q >= p AND q < p + m)) >= least))"""
     windows = (
-        rows.join(hits.select("key", "m", "least", "hits"), "key")
-        .select("doc", "m", "least", "hits", words("text").alias("w"))
-        .select("doc", "m", "least", "hits", _shingles("w", size).alias("s"))
-        .withColumn("n", F.size("s"))
+        rows.join(hits.select("key", "n", "m", "least", "hits", F.when(whole, F.col("item")).alias("of")), "key")
+        .select("doc", "of", "n", "m", "least", "hits", words("text").alias("w"))
+        .select("doc", "of", "n", "m", "least", "hits", _shingles("w", size).alias("s"))
+    )
+    windows = windows.select("doc", "of", "n", "m", "s", F.explode(F.expr(starts)).alias("start"))
+    windows = windows.select(
+        "doc", "of", "m", "start", whole.alias("whole"), F.expr("slice(s, start + 1, m)").alias("s")
     )
-    windows = windows.select("doc", "m", "s", F.explode(F.expr(starts)).alias("start"))
-    windows = windows.select("doc", "m", "start", F.expr("slice(s, start + 1, m)").alias("s"))
     windows = stored(
         windows.withColumns(
             {"w1": F.xxhash64("s"), "w2": F.xxhash64("s", F.lit(1))}
@@ -148,21 +173,24 @@ def _matches(rows, items, size, threshold, radius):
     )
 
     # Fingerprints of different windows, and of items, joined on blocks.
-    different = windows.groupBy("w1", "w2", "m").agg(F.first("s").alias("s"))
-    different = stored(different.withColumn("f", _fingerprint("s")), "fingerprints")
+    different = windows.groupBy("w1", "w2", "m", "whole").agg(F.first("s").alias("s"))
+    print_ = F.when(~F.col("whole"), _fingerprint("s"))
+    different = stored(different.withColumn("f", print_), "fingerprints")
     prints = items.select("item", "m", "s", _fingerprint("s").alias("f"))
-    near = different.select("w1", "w2", "m", "f", _blocks("f", radius)).alias("a").join(
+    near = different.where("NOT whole").select("w1", "w2", "m", "f", _blocks("f", radius)).alias("a").join(
         prints.select("item", "m", F.col("f").alias("g"), _blocks("f", radius)).alias("b"),
         ["m", "block"],
     )
     near = near.where(F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= radius)
-    near = near.select("w1", "w2", "m", "item").distinct()
-    near = near.join(different.drop("f"), ["w1", "w2", "m"]).join(
+    near = near.select("w1", "w2", "m", "item")
+    near = near.union(windows.where("whole").select("w1", "w2", "m", F.col("of").alias("item"))).distinct()
+    near = near.join(different.drop("f", "whole"), ["w1", "w2", "m"]).join(
         items.select("item", "m", F.col("s").alias("t")), ["item", "m"]
     )
     near = near.withColumn("c", _common("s", "t"))
-    near = near.withColumn("similarity", F.col("c") / (2 * F.col("m") - F.col("c")))
-    near = near.where(F.col("similarity") >= threshold).select("w1", "w2", "m", "item", "similarity")
+    near = near.withColumn("n", F.size("s"))
+    near = near.withColumn("similarity", F.col("c") / (F.col("m") + F.col("n") - F.col("c")))
+    near = near.where(F.col("similarity") >= threshold).select("w1", "w2", "m", "n", "item", "similarity")
     return windows.join(near, ["w1", "w2", "m"]).select(
-        "doc", "item", "start", (F.col("m") + size - 1).alias("n_words"), "similarity"
+        "doc", "item", "start", (F.col("n") + size - 1).alias("n_words"), "similarity"
     )
