@@ -19,9 +19,15 @@ ORACLE_SQL = None
 
 
 def keep_known_languages(spark, docs, sf_dir):
-    """Drop texts without any language; learn from ``lang`` of documents that are not held out."""
+    """Drop texts without any language; learn from ``lang`` of documents that are not held out.
+
+    Where there is no language to learn from, only texts without a letter are dropped.
+    """
     learnt = docs.where(~held_out()).select(F.col("doc_id").alias("id"), "text", "lang")
-    found = language.predict(docs, language.train(learnt)).where("lang_pred <> 'und'")
+    model = language.train(learnt)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = language.predict(docs, model).where("lang_pred <> 'und'")
     return _columns(found, docs)
 
 
@@ -45,10 +51,18 @@ def cut_repeated_passages(spark, docs, sf_dir):
 
 
 def drop_benchmark_leaks(spark, docs, sf_dir):
-    """Drop documents that hold a window like a benchmark item."""
+    """Drop documents that hold a window like a benchmark item, also those without an id.
+
+    Rows are told apart by id and text, so other texts under a leak's id stay.
+    """
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.matches(docs, benchmark).select("doc_id").distinct()
-    return docs.join(stored(found, "leaks"), "doc_id", "left_anti").select(docs.columns)
+    of_text = [F.xxhash64("text"), F.xxhash64(F.lit(1), "text")]
+    row = F.struct("doc_id", of_text[0].alias("h1"), of_text[1].alias("h2"))
+    found = decontaminate.matches(docs.select(row.alias("doc"), "text"), benchmark, id_column="doc")
+    found = found.select(*[F.col(f"doc.{c}").alias(f"_leak_{c}") for c in ("doc_id", "h1", "h2")]).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_leak_doc_id"))
+    same &= (of_text[0] == F.col("_leak_h1")) & (of_text[1] == F.col("_leak_h2"))
+    return docs.join(stored(found, "leaks"), same, "left_anti").select(docs.columns)
 
 
 def pack_sequences(spark, docs, sf_dir):

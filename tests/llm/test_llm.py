@@ -576,3 +576,18 @@ def test_pipeline_stages(spark, folder):
     clean = stages["benchmark_decontamination"](spark, cut, folder)
     assert {r.doc_id for r in clean.collect()} == firsts - {10}
     assert {r.doc_id for r in corpus_pipeline.run(spark, folder).collect()} == firsts - {10}
+
+
+def test_pipeline_without_ids_or_languages(spark, folder):
+    item = prose(1, 30, 100_000)
+    leak, clean = f"{prose(2, 30, 100_000)} {item}", prose(3, 60, 100_000)
+    rows = [(i, text, None, None, 1) for i in (7, None) for text in (leak, clean)]
+    rows += [(8, leak, None, None, 1), (8, "12 34", None, None, 1), (None, "", None, None, 1), (9, None, None, None, 1)]
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    docs = spark.createDataFrame(rows, SCHEMA)
+    known = corpus_pipeline.keep_known_languages(spark, docs, folder)
+    assert known.columns == docs.columns
+    texts = lambda frame: sorted([(r.doc_id or 0, r.text) for r in frame.collect()])
+    assert texts(known) == sorted([(i, text) for i in (7, 0) for text in (leak, clean)] + [(8, leak)])
+    left = corpus_pipeline.drop_benchmark_leaks(spark, known, folder)
+    assert left.columns == docs.columns and texts(left) == [(0, clean), (7, clean)]
