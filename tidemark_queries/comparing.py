@@ -345,7 +345,7 @@ def significance(spark, sf_dir):
         union all select 'value', avg((value is null)::int) > 0.05 from {NULLED}""",
 )
 def null_significance(spark, sf_dir):
-    deltas = D.column_deltas(table(spark, sf_dir, "events"), nulled(spark, sf_dir), 0)
+    deltas = D.column_deltas(table(spark, sf_dir, "events"), nulled(spark, sf_dir), None)
     return deltas.filter("column in ('event_type', 'value')").select("column", "is_significant")
 
 
