@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from tidemark.llm import (
     decontaminate,
     language,
+    lexical,
+    middle,
     near,
     packing,
     quality_crf,
@@ -225,3 +227,83 @@ QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC
 def op7_benchmark_decontamination(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.matches(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+@query(
+    "op11_lexical_search",
+    r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+  FROM benchmark
+), c AS (
+  SELECT count(*) AS n_docs, CAST(sum(len(terms)) AS BIGINT) AS n_terms FROM d WHERE len(terms) > 0
+), p AS (
+  SELECT doc_id, n, t, count(*) AS tf
+  FROM (SELECT doc_id, len(terms) AS n, unnest(terms) AS t FROM d)
+  WHERE t IN (SELECT t FROM q) GROUP BY doc_id, n, t
+), w AS (
+  SELECT t, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM p, c GROUP BY t, n_docs
+), s AS (
+  SELECT item_id, doc_id,
+    CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * n_docs) // n_terms))))) AS BIGINT) AS score
+  FROM q JOIN p USING (t) JOIN w USING (t), c
+  GROUP BY item_id, doc_id
+), r AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+  FROM s WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+""",
+)
+def op11_lexical_search(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    items = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    found = lexical.search(docs, items)
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("doc").alias("doc_id"), "score")
+
+
+@query(
+    "op12_fill_in_middle",
+    r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || doc_id) AS h,
+    regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS lines
+  FROM documents
+), c AS (
+  SELECT *, len(lines) AS n,
+    ('0x' || h[1:8])::BIGINT % (len(lines) + 1) AS a, ('0x' || h[9:16])::BIGINT % (len(lines) + 1) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+        OR ('0x' || h[17:24])::BIGINT % 100 >= 100 THEN 'plain'
+      WHEN ('0x' || h[25:32])::BIGINT % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM d
+), parts AS (
+  SELECT doc_id, text, CAST(n AS BIGINT) AS n, form,
+    coalesce(array_to_string(lines[1 : least(a, b)], ''), '') AS p,
+    coalesce(array_to_string(lines[least(a, b) + 1 : greatest(a, b)], ''), '') AS m,
+    coalesce(array_to_string(lines[greatest(a, b) + 1 :], ''), '') AS s
+  FROM c
+)
+SELECT doc_id, n, form,
+  CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+    ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM parts
+""",
+)
+def op12_fill_in_middle(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = middle.restore(middle.transform(docs))
+    return out.select(
+        "row.doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"),
+    )
