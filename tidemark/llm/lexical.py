@@ -9,7 +9,7 @@ groups of terms, and no vector below a node can have a greater product with an i
     <item, centroid> + sum over groups of sqrt(the item's terms in the group) * radius.
 
 Subtrees are opened best first and left once that bound, rounded up, is below the item's k-th score
-so far; leaves are scored in exact integers. Bounds only decide what is not looked at, and the
+so far, or that among a part of the rows that is searched first; leaves are scored in exact integers. Bounds only decide what is not looked at, and the
 margin for their rounding is far above what 64-bit floats can lose, so results are exact.
 
 Items are taken in blocks with a bounded number of terms, as these travel with every task.
@@ -28,7 +28,9 @@ from tidemark.llm.words import Words, column_bytes, signed, slices
 
 #: Terms of all items of one block; a single longer item is a block of its own.
 BLOCK_TERMS = 20_000
-LEAF_ROWS, TREE_ROWS, TREE_POSTINGS, GROUPS = 64, 4096, 1_000_000, 64
+LEAF_ROWS, TREE_ROWS, TREE_POSTINGS, GROUP_TERMS = 16, 1024, 1_000_000, 2
+#: One of so many rows is searched first, for scores that an item's results reach at least.
+FIRST = 16
 #: Share by which radii and bounds are rounded up; products of 10**7 terms lose less than 1e-8.
 SLACK = 1e-7
 #: Partial rankings of an item are merged in so many tasks before the last one.
@@ -179,26 +181,33 @@ class BallTree:
     """Nodes over ranges of rows: centroids, radii by group of terms, children; leaves hold rows."""
 
     def __init__(self, rows, size):
-        self.size, self.group = size, np.arange(size) % GROUPS
+        self.size, self.groups = size, -(-size // GROUP_TERMS)
         self.centroids, self.radii, self.children, self.leaves = [], [], [], {}
         self._add(rows)
         self.centroids, self.radii = np.array(self.centroids), np.array(self.radii)
 
+    def _radii(self, rows, centroid, v, c):
+        """The greatest distance of a row from the centroid, for each group of neighbouring terms."""
+        group = rows.terms // GROUP_TERMS
+        cell = np.repeat(np.arange(len(rows)), np.diff(rows.edges)) * self.groups + group
+        first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+        group = group[first]
+        inner = np.add.reduceat(centroid**2, np.arange(0, self.size, GROUP_TERMS))
+        # Squared distances, and the squares they are differences of, from which rounding is bounded.
+        held, both = np.add.reduceat(v * v, first), np.add.reduceat(v * c, first)
+        apart = held - 2 * both + inner[group] + SLACK * (held + inner[group])
+        # Rows without a term of the group are at its centroid's distance from zero.
+        radii = np.where(np.bincount(group, minlength=self.groups) < len(rows), inner * (1 + SLACK), 0.0)
+        np.maximum.at(radii, group, apart)
+        return np.sqrt(radii)
+
     def _add(self, rows):
         node = len(self.children)
         self.children.append(None)
-        count = np.bincount(rows.terms, weights=rows.values, minlength=self.size)
-        centroid = count / len(rows)
-        of = np.repeat(np.arange(len(rows)), np.diff(rows.edges))
+        centroid = np.bincount(rows.terms, weights=rows.values, minlength=self.size) / len(rows)
         v, c = rows.values.astype(float), centroid[rows.terms]
-        cell = of * GROUPS + self.group[rows.terms]
-        inner = np.bincount(self.group, weights=centroid**2, minlength=GROUPS)
-        # Squared distances, and the squares they are differences of, from which rounding is bounded.
-        held = np.bincount(cell, weights=v * v, minlength=len(rows) * GROUPS).reshape(-1, GROUPS)
-        both = np.bincount(cell, weights=v * c, minlength=len(rows) * GROUPS).reshape(-1, GROUPS)
-        apart = held - 2 * both + inner + SLACK * (held + inner)
         self.centroids.append(centroid)
-        self.radii.append(np.sqrt(np.maximum(apart, 0).max(axis=0)))
+        self.radii.append(self._radii(rows, centroid, v, c))
         if len(rows) <= LEAF_ROWS:
             self.leaves[node] = rows
             return node
@@ -209,28 +218,28 @@ class BallTree:
         other = rows.dense(int((norm - 2 * rows.sums(v * one[rows.terms])).argmax()), self.size)
         side = rows.sums(v * (one - other)[rows.terms]) - ((one**2).sum() - (other**2).sum()) / 2
         order = np.argsort(side, kind="stable")
-        cut = int(np.searchsorted(side[order], 0.0))
         least = len(rows) // 8
-        cut = min(max(cut, least), len(rows) - least)
+        cut = min(max(int(np.searchsorted(side[order], 0.0)), least), len(rows) - least)
         self.children[node] = tuple(self._add(rows.take(x)) for x in (order[:cut], order[cut:]))
         return node
 
     def bounds(self, terms):
         """What no score below each node exceeds, for an item of these terms."""
-        counts = np.bincount(self.group[terms], minlength=GROUPS)
-        most = self.centroids[:, terms].sum(axis=1) + self.radii @ np.sqrt(counts)
+        group, counts = np.unique(terms // GROUP_TERMS, return_counts=True)
+        most = self.centroids[:, terms].sum(axis=1) + self.radii[:, group] @ np.sqrt(counts)
         return most * (1 + SLACK) + 1
 
 
 class Best:
-    """The best ``top`` documents of an item so far, by score and then by id."""
+    """The best ``top`` documents of an item so far, by score and then by id; none below ``floor``."""
 
-    def __init__(self, top):
-        self.top, self.docs, self.scores = top, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    def __init__(self, top, floor=1):
+        self.top, self.floor = top, floor
+        self.docs, self.scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     @property
     def least(self):
-        return self.scores[-1] if len(self.scores) == self.top else 1
+        return max(int(self.scores[-1]), self.floor) if len(self.scores) == self.top else self.floor
 
     def add(self, docs, scores):
         good = scores >= self.least
@@ -272,9 +281,9 @@ def _runs(rows):
         at = end
 
 
-def _searched(vocabulary, weight, documents, occurrences, top):
+def _searched(vocabulary, weight, documents, occurrences, top, floors):
     def run(batches):
-        found = [Best(top) for _ in vocabulary.items]
+        found = [Best(top, floor) for floor in floors]
         for batch in batches:
             for rows in _runs(vectors(batch, weight, documents, occurrences)):
                 tree = BallTree(rows, len(vocabulary))
@@ -321,9 +330,17 @@ def search(docs, items, top=10, id_column="doc_id", item_column="item_id", text_
         if not size[0]:
             break
         weight = weights(document_frequencies(index, len(vocabulary)), size[0])
-        run = _searched(vocabulary, weight, size[0], size[1], top)
-        best = index.where("doc IS NOT NULL").mapInArrow(run, "item long, doc long, score long")
-        found.append(_ranked(best, top))
+
+        def best(rows, floors):
+            run = _searched(vocabulary, weight, *size, top, floors)  # noqa: B023
+            return _ranked(rows.mapInArrow(run, "item long, doc long, score long"), top)
+
+        index = index.where("doc IS NOT NULL")
+        floors = np.ones(len(vocabulary.items), np.int64)
+        part = index.where(F.pmod(F.xxhash64("doc"), F.lit(FIRST)) == 0)
+        reached = best(part, floors).where(F.col("rank") == top).toArrow()  # a row for each item
+        floors[np.searchsorted(vocabulary.items, reached["item"].to_numpy())] = reached["score"].to_numpy()
+        found.append(best(index, floors))
     if not found:
         return spark.createDataFrame([], "item long, rank int, doc long, score long")
     out = found[0]
