@@ -15,6 +15,7 @@ from tidemark.llm import (
     sharding,
     substrings,
     tokens,
+    toxicity,
     urls,
 )
 
@@ -307,3 +308,18 @@ def op12_fill_in_middle(spark, sf_dir):
         "row.doc_id", "n", "form", "prefix_chars", "middle_chars",
         F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"),
     )
+
+
+@query("op13_toxicity")
+def op13_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    learnt = docs.where(~held_out()).select(F.col("doc_id").alias("id"), "text")
+    labels = table(spark, sf_dir, "labels").where(~held_out())
+    labels = labels.select(F.col("doc_id").alias("id"), F.col("toxic").alias("label"))
+    out = toxicity.score(docs, toxicity.train(learnt, labels)).select("row.*", "score")
+    return out.select(
+        "doc_id",
+        held_out().alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"),
+    )
