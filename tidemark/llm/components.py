@@ -2,14 +2,14 @@
 
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import stored
+from tidemark.llm.shared import Steps
 
 
-def _star(edges, small):
-    """One star step: neighbours hang on the least node that they share."""
+def _star(steps, edges, small):
+    """One star step: neighbours hang on the least node that they share; the edges read are deleted."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     near = both.where("b < a") if small else both
-    least = stored(near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
+    least = steps.store(near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
     # The least nodes are read from storage, so both sides of the join are plain shuffles and a
     # node with very many neighbours can be split.
     joined = near.join(least, "a")
@@ -18,7 +18,9 @@ def _star(edges, small):
         moved = moved.union(least.select("a", F.col("m").alias("b")))
     else:
         moved = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return stored(moved.where("a <> b").distinct(), "edges")
+    out = steps.store(moved.where("a <> b").distinct(), "edges")
+    steps.drop(edges, least)
+    return out
 
 
 def components(edges):
@@ -27,13 +29,14 @@ def components(edges):
     Nodes without a link are not returned. Links of a node with itself are ignored; the number of
     rounds grows with the logarithm of the longest path.
     """
-    edges = stored(
+    steps = Steps()
+    edges = steps.store(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(),
         "edges",
     )
     before = None
     while True:
-        edges = _star(_star(edges, small=False), small=True)
+        edges = _star(steps, _star(steps, edges, small=False), small=True)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break

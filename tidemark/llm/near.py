@@ -10,12 +10,17 @@ are compared. Links are found in three steps; each is exact.
    together is the smaller side of no link, and most sets are.
 2. In every group, each class is compared with the group's least class. This ties together large
    groups of near copies with a number of comparisons that is linear in their size.
-3. Groups that still hold several components, and a possible smaller side, are searched by a signature tree: leaves are classes
-   with a bitmap of their shingles, nodes hold the OR of the bitmaps below and the range of sizes.
-   Both sides of a pair of nodes are opened only if the largest possible overlap suffices; pairs
-   of nodes that lie in one component are closed. Large groups are cut by size and dealt in cells.
-
-Candidates of steps 2 and 3 pass the bitmap bound and then the exact test on whole texts.
+3. Groups with the same least class are one cell: near copies share many shingles, and their groups
+   differ a little, but nearly all have the same least class, so a pair meets in few cells. Cells
+   that still hold several components, and a possible smaller side, are searched by a signature
+   tree: leaves are classes with a bitmap of their shingles, nodes hold the OR of the bitmaps below
+   and the range of sizes. Both sides of a pair of nodes are opened only if the largest possible
+   overlap suffices; pairs of nodes that lie in one component are closed. Large cells are cut by
+   size and dealt in parts.
+
+Candidates of steps 2 and 3 pass the bitmap bound and then the exact test on whole texts. As pairs
+within a component are closed, the links that are found are not all links, but join all classes
+that any links join: the result is components.
 """
 
 import numpy as np
@@ -24,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
 from tidemark.llm.linestats import in_row
-from tidemark.llm.shared import in_arrow, stored
+from tidemark.llm.shared import Steps, in_arrow, stored
 from tidemark.llm.words import Words, mix, signed, slices
 
 SIZE = 5
@@ -32,13 +37,15 @@ PERCENT = 80
 #: Bounded sample that only orders shingles: documents read, and from how many of them on a
 #: shingle counts as very frequent. The order never changes a result.
 SAMPLE_DOCUMENTS, FREQUENT_IN, FREQUENT_SHINGLES = 4000, 12, 50_000
-FANOUT, LEAF_ROWS, CELL_ROWS = 8, 64, 2048
+FANOUT, LEAF_ROWS, CELL_ROWS = 8, 64, 4096
+#: Pairs that a task gathers before it hands them on.
+PAIRS_AT_ONCE = 100_000
 #: Hashes below this share of the range are sent by every set.
 LOWEST = np.uint64((1 << 64) // 5)
 
 
 def shingles(words, size=SIZE):
-    """Distinct shingles of all rows as (row, hash), in the order of rows."""
+    """Distinct shingles of all rows as (row, hash), in no order."""
     hashes, at = words.windows(size)
     row = words.row_of(at)
     short = np.flatnonzero((words.counts > 0) & (words.counts < size))
@@ -66,8 +73,8 @@ def least_shared(low, n):
 
 
 def width(n):
-    """Bits of a set's bitmap: at least one for each shingle, a power of two."""
-    return max(64, 1 << int(n - 1).bit_length())
+    """Bits of a set's bitmap: at least four for each shingle, a power of two."""
+    return max(64, 1 << int(4 * n - 1).bit_length())
 
 
 def bitmap(hashes, bits):
@@ -105,9 +112,9 @@ class Leaf:
 
     items = None
 
-    def __init__(self, keys, sizes, bits, components, sides, shared, needed):
+    def __init__(self, keys, sizes, bits, components, sides, shared, needed, own):
         self.keys, self.sizes, self.components, self.sides = keys, sizes, components, sides
-        self.shared, self.needed = shared, needed
+        self.shared, self.needed, self.own = shared, needed, own
         words = min(len(x) for x in bits)
         self.matrix = np.stack([fold(x, words) for x in bits])
         self.bits = np.bitwise_or.reduce(self.matrix, axis=0)
@@ -136,13 +143,14 @@ class Node:
         self.items = items
 
 
-def tree(keys, sizes, bits, components, sides, shared, needed):
-    """Nodes over leaves of classes in the order of their sizes."""
-    order = np.argsort(sizes, kind="stable")
+def tree(keys, sizes, bits, components, sides, shared, needed, own):
+    """Nodes over leaves of classes in the order of their sizes; the largest component comes first."""
+    common, held = np.unique(components, return_counts=True)
+    order = np.lexsort((sizes, components != common[held.argmax()]))
     level = []
     for lo in range(0, len(order), LEAF_ROWS):
         at = order[lo : lo + LEAF_ROWS]
-        columns = (x[at] for x in (components, sides, shared, needed))
+        columns = (x[at] for x in (components, sides, shared, needed, own))
         level.append(Leaf(keys[at], sizes[at], [bits[i] for i in at], *columns))
     while len(level) > 1:
         level = [Node(level[i : i + FANOUT]) for i in range(0, len(level), FANOUT)]
@@ -180,19 +188,26 @@ def _compared(a, b):
     good &= np.minimum(a.shared[:, None], b.shared[None, :]) >= needed
     good &= a.components[:, None] != b.components[None, :]
     good &= (a.sides[:, None] != b.sides[None, :]) | (a.sides[:, None] < 0)
+    # Two rows of the next size class meet in its own cell.
+    good &= a.own[:, None] | b.own[None, :]
     if a is b:
         good = np.triu(good, 1)
     i, j = np.nonzero(good)
-    return zip(a.keys[i].tolist(), b.keys[j].tolist(), strict=True)
+    return a.keys[i], b.keys[j]
 
 
 def pairs(root):
-    """Pairs of classes of different components that may be similar enough, by dual traversal."""
+    """Pairs of classes of different components that may be similar enough, by dual traversal.
+
+    Two arrays for each pair of leaves that holds any.
+    """
     stack = [(root, root)]
     while stack:
         a, b = stack.pop()
         if a.items is None and b.items is None:
-            yield from _compared(a, b)
+            found = _compared(a, b)
+            if len(found[0]):
+                yield found
         elif a is b:
             stack.extend(
                 (x, y)
@@ -209,29 +224,41 @@ def pairs(root):
 # --- steps over frames ---------------------------------------------------------------
 
 
+def _keys(row, hashes, rows):
+    """Two hashes of each row's set."""
+    key, again = np.zeros(rows, np.uint64), np.zeros(rows, np.uint64)
+    np.add.at(key, row, mix(hashes ^ np.uint64(0x5851F42D4C957F2D)))
+    np.add.at(again, row, mix(hashes + np.uint64(0x14057B7EF767814F)))
+    return key, again
+
+
 def _profiles(batch):
-    columns = {"key": [], "again": [], "n": [], "low": [], "bits": []}
+    columns = {"key": [], "again": [], "n": [], "low": []}
     for part in slices(batch):
         words = Words(part.column("text"), lower=True)
         row, hashes = shingles(words)
         n = np.bincount(row, minlength=part.num_rows)
-        key, again = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
-        np.add.at(key, row, mix(hashes ^ np.uint64(0x5851F42D4C957F2D)))
-        np.add.at(again, row, mix(hashes + np.uint64(0x14057B7EF767814F)))
-        order = np.argsort(row, kind="stable")
-        ends = np.cumsum(n)
-        for i in range(len(n)):
-            own = hashes[order[ends[i] - n[i] : ends[i]]]
-            columns["bits"].append(bitmap(own, width(n[i])).tobytes() if n[i] else None)
+        key, again = _keys(row, hashes, len(n))
         columns["key"].append(signed(key))
         columns["again"].append(signed(again))
         columns["n"].append(n)
         columns["low"].append(np.bincount(row[hashes < LOWEST], minlength=part.num_rows))
-    joined = {k: np.concatenate(columns[k]) for k in ("key", "again", "n", "low")}
-    return {"doc": batch.column("doc"), "hash": batch.column("hash"), **joined, "bits": pa.array(columns["bits"], pa.binary())}
+    joined = {k: np.concatenate(v) for k, v in columns.items()}
+    return {"doc": batch.column("doc"), "hash": batch.column("hash"), **joined}
 
 
-def _prefixes(frequent):
+def _bitmaps(batch):
+    """Bitmaps of texts, each of which has a shingle."""
+    bits = []
+    for part in slices(batch):
+        row, hashes = shingles(Words(part.column("text"), lower=True))
+        hashes = hashes[np.argsort(row, kind="stable")]
+        edge = np.append(0, np.cumsum(np.bincount(row, minlength=part.num_rows)))
+        bits += [bitmap(hashes[a:b], width(b - a)).tobytes() for a, b in zip(edge, edge[1:])]
+    return {"key": batch.column("key"), "n": batch.column("n"), "text": batch.column("text"), "bits": pa.array(bits, pa.binary())}
+
+
+def _prefixes(frequent, clashes):
     schema = pa.schema(
         [("deal", pa.int64()), ("shingle", pa.int64()), ("key", pa.int64()), ("hot", pa.bool_()),
          ("low", pa.bool_())]
@@ -244,8 +271,8 @@ def _prefixes(frequent):
                 words = Words(part.column("text"), lower=True)
                 row, hashes = shingles(words)
                 n = np.bincount(row, minlength=part.num_rows)
-                key = np.zeros(len(n), np.uint64)
-                np.add.at(key, row, mix(hashes ^ np.uint64(0x5851F42D4C957F2D)))
+                key, again = _keys(row, hashes, len(n))
+                key = np.where(np.isin(key, clashes), again, key)
                 fresh = [k not in seen and not seen.add(k) for k in key.tolist()]
                 wanted = (np.array(fresh, bool) & (n > 0))[row]
                 row, hashes = row[wanted], hashes[wanted]
@@ -297,32 +324,43 @@ def _bounded(batch):
     return {"a": kept.column("a"), "b": kept.column("b")}
 
 
+_MEMBERS = ("key", "n", "bits", "component", "side", "shared", "needed", "own")
+
+
 def _cells(batches):
     """Candidate pairs of every cell; the rows of a cell follow each other."""
+    held, size = [], 0
 
     def search(rows):
         keys, n, bits, *rest = zip(*rows, strict=True)
         bits = [np.frombuffer(x, np.uint64) for x in bits]
-        return list(pairs(tree(np.array(keys), np.array(n), bits, *map(np.array, rest))))
+        return pairs(tree(np.array(keys), np.array(n), bits, *map(np.array, rest)))
 
-    cell, rows = None, []
-    names = ("shingle", "level", "i", "j")
-    for batch in batches:
-        found = []
-        data = [batch.column(c).to_pylist() for c in (*names, "key", "n", "bits", "component", "side", "shared", "needed")]
-        for values in zip(*data, strict=True):
-            if values[:4] != cell:
-                found += search(rows) if len(rows) > 1 else []
-                cell, rows = values[:4], []
-            rows.append(values[4:])
-        yield _pair_batch(found)
-    yield _pair_batch(search(rows) if len(rows) > 1 else [])
-
-
-def _pair_batch(found):
-    a = np.array([min(p) for p in found], np.int64)
-    b = np.array([max(p) for p in found], np.int64)
-    return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    def cells():
+        cell, rows = None, []
+        for batch in batches:
+            data = [batch.column(c).to_pylist() for c in ("pivot", "level", "i", "j", *_MEMBERS)]
+            for values in zip(*data, strict=True):
+                if values[:4] != cell:
+                    yield rows
+                    cell, rows = values[:4], []
+                rows.append(values[4:])
+        yield rows
+
+    for rows in cells():
+        for a, b in search(rows) if len(rows) > 1 else ():
+            held.append((np.minimum(a, b), np.maximum(a, b)))
+            size += len(a)
+            if size >= PAIRS_AT_ONCE:
+                yield _pair_batch(held)
+                held, size = [], 0
+    yield _pair_batch(held)
+
+
+def _pair_batch(held):
+    none = [(np.zeros(0, np.int64),) * 2]
+    a, b = (np.concatenate(x) for x in zip(*(held or none), strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
 def _verified(batch):
@@ -339,12 +377,12 @@ def _verified(batch):
     return {"a": np.concatenate(a), "b": np.concatenate(b)}
 
 
-def _links(candidates, texts):
+def _links(steps, candidates, texts):
     """The candidate pairs whose texts are similar enough."""
     left = texts.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
     both = candidates.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return stored(both.mapInArrow(in_arrow(_verified), "a long, b long"), "links")
+    return steps.store(both.mapInArrow(in_arrow(_verified), "a long, b long"), "links")
 
 
 def _level(n):
@@ -352,8 +390,8 @@ def _level(n):
     return F.floor(F.log(n.cast("double")) / F.log(F.lit(100 / PERCENT + 1e-9))).cast("int")
 
 
-def _held(rows):
-    """Rows in cells of a shingle and size class: those of the class and of the next one.
+def _held(steps, rows):
+    """Rows in cells of a least class and a size class: those of the size class and of the next one.
 
     Only cells with several components and a possible smaller side of the class count, one of
     those with the same rows, and in them only rows that share as much as the least demanding needs.
@@ -362,42 +400,45 @@ def _held(rows):
     above = rows.withColumn("level", F.col("level") - 1).select("*", F.lit(False).alias("own"))
     cells = own.union(above)
     smaller = F.col("own") & (F.col("shared") >= F.col("needed"))
-    sizes = cells.groupBy("shingle", "level").agg(
+    sizes = cells.groupBy("pivot", "level").agg(
         F.count("*").alias("rows"),
         F.min(F.when(smaller, F.col("needed"))).alias("least"),
         F.min("component").alias("one"), F.max("component").alias("other"),
         *[F.bit_xor(F.xxhash64("key", "own", F.lit(i))).alias(f"set{i}") for i in (0, 1)],
     )
     sizes = sizes.where("least IS NOT NULL AND one < other")
-    # Shingles of one passage have the same members; one of their cells finds all pairs.
+    # Of cells with the same members one finds all pairs.
     sizes = sizes.groupBy("level", "rows", "least", "set0", "set1").agg(
-        F.min("shingle").alias("shingle")
+        F.min("pivot").alias("pivot")
     ).drop("set0", "set1")
-    return cells.join(stored(sizes, "cells"), ["shingle", "level"]).where("shared >= least")
+    return cells.join(steps.store(sizes, "cells"), ["pivot", "level"]).where("shared >= least")
 
 
-def _dealt(rows):
+def _dealt(steps, rows):
     """The rows of all cells that may hold a link.
 
     A cell of more than ``CELL_ROWS`` rows is dealt into parts by key, and every pair of parts has
     a cell of its own, so that any two rows meet.
     """
-    cells = _held(rows)
+    cells = _held(steps, rows)
     parts = F.ceil(F.col("rows") / CELL_ROWS).cast("int")
     cells = cells.withColumn("parts", parts)
     cells = cells.withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     return cells.select(
-        "shingle", "level", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"),
-        "key", "n", "component", "shared", "needed",
+        "pivot", "level", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"),
+        "key", "n", "component", "shared", "needed", "own",
         F.when(F.col("part") == F.col("other"), -1).otherwise(F.col("part")).alias("side"),
     )
 
 
-def _shared(rows):
-    """Sent shingles that several classes have: ``shingle``, ``key``, ``low`` and the least key."""
+def _shared(steps, rows, clashes):
+    """Sent shingles that several classes have: ``shingle``, ``key``, ``low`` and the least key.
+
+    With the stored frame that they are read from.
+    """
     frequent = _frequent(rows)
-    prefix = rows.mapInArrow(_prefixes(frequent), "deal long, shingle long, key long, hot boolean, low boolean")
+    prefix = rows.mapInArrow(_prefixes(frequent, clashes), "deal long, shingle long, key long, hot boolean, low boolean")
     # One dealing serves the count and the join, so both read all columns of it. Very frequent shingles are known to be shared:
     # their rows are dealt by shingle and key, so that none fills a partition.
     dealt = prefix.repartition("deal")
@@ -407,38 +448,49 @@ def _shared(rows):
     )
     least = least.where("(pivot < high OR any) AND _same IS NOT NULL").select("deal", "pivot")
     found = dealt.join(least, "deal").select("shingle", "key", "pivot", "hot", "low").distinct()
-    found = stored(found, "shared")
+    found = steps.store(found, "shared")
     if not len(frequent):
-        return found.drop("hot")
+        return found.drop("hot"), found
     hot = found.where("hot").select("shingle", "key", "low")
     # At most FREQUENT_SHINGLES rows.
     pivots = F.broadcast(hot.groupBy("shingle").agg(F.min("key").alias("pivot")))
     cold = found.where("NOT hot").select("shingle", "key", "low", "pivot")
-    return cold.union(hot.join(pivots, "shingle").select("shingle", "key", "low", "pivot"))
+    return cold.union(hot.join(pivots, "shingle").select("shingle", "key", "low", "pivot")), found
 
 
-def _joined_bits(pairs, sets):
+def _joined_bits(pairs, texts):
     for side in ("a", "b"):
         names = [F.col("key").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}")]
-        pairs = pairs.join(sets.select(*names), side)
+        pairs = pairs.join(texts.select(*names), side)
     return pairs
 
 
-def links(rows, sets):
+def links(rows, sets, clashes=()):
     """Links ``a``, ``b`` between classes that join all classes that any links join."""
-    shared = _shared(rows)
+    steps = Steps()
+    shared, sent = _shared(steps, rows, np.array(clashes, np.int64).view(np.uint64))
     counts = shared.groupBy("key").agg(F.count_if("low").alias("shared"))
     needed = least_shared(F.col("low"), F.col("n"))
-    facts = stored(
+    facts = steps.store(
         counts.join(sets.select("key", "n", "low"), "key").select(
             "key", "n", "shared", needed.cast("long").alias("needed")
         ),
         "facts",
     )
-    shared = shared.drop("low")
+    # A class meets the others of its groups' least classes, its own included.
+    met = steps.store(shared.select("pivot", "key").distinct(), "met")
+    steps.drop(sent)
 
-    candidates = shared.where("pivot <> key").select(F.col("pivot").alias("a"), F.col("key").alias("b"))
-    candidates = candidates.distinct()
+    sized = facts.withColumn("level", _level(F.col("n")))
+    alone = met.select("pivot", "key", F.col("key").alias("component")).join(sized, "key")
+    # Only texts of sets that may have a link with another set of their cells, one of each class.
+    wanted = _held(steps, alone).select("key").distinct().join(sets.select("key", "n", "first"), "key")
+    wanted = wanted.select("key", "n", F.col("first.doc").alias("doc"), F.col("first.hash").alias("hash"))
+    texts = rows.join(wanted, ["doc", "hash"]).groupBy("key", "n").agg(F.first("text").alias("text"))
+    texts = texts.mapInArrow(in_arrow(_bitmaps), "key long, n long, text string, bits binary")
+    texts = steps.store(texts, "texts")
+
+    candidates = met.where("pivot <> key").select(F.col("pivot").alias("a"), F.col("key").alias("b"))
     for side in ("a", "b"):
         named = facts.select(
             F.col("key").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("n", "shared", "needed")]
@@ -451,26 +503,21 @@ def links(rows, sets):
     ).otherwise(needs)
     near_sizes = enough(F.least("n_a", "n_b"), F.col("n_a"), F.col("n_b"))
     candidates = candidates.where(possible & near_sizes).select("a", "b")
-    candidates = _joined_bits(candidates, sets)
-    candidates = stored(candidates.mapInArrow(in_arrow(_bounded), "a long, b long"), "candidates")
-
-    # Only texts of sets that may have a link with another set of their cells.
-    sized = facts.withColumn("level", _level(F.col("n")))
-    alone = shared.select("shingle", "key", F.col("key").alias("component")).join(sized, "key")
-    wanted = _held(alone).select("key").distinct().join(sets.select("key", "first"), "key")
-    wanted = wanted.select("key", F.col("first.doc").alias("doc"), F.col("first.hash").alias("hash"))
-    texts = stored(rows.join(wanted, ["doc", "hash"]).select("key", "text"), "texts")
-    first = _links(candidates, texts)
+    candidates = _joined_bits(candidates, texts)
+    candidates = steps.store(candidates.mapInArrow(in_arrow(_bounded), "a long, b long"), "candidates")
+    first = _links(steps, candidates, texts)
 
     tied = components(first).withColumnRenamed("node", "key")
-    open_ = shared.select("shingle", "key").join(tied, "key", "left")
-    open_ = open_.select("shingle", "key", F.coalesce("root", "key").alias("component"))
-    open_ = stored(open_, "open")
-    cells = _dealt(open_.join(sized, "key")).join(sets.select("key", "bits"), "key")
-    cell = ["shingle", "level", "i", "j"]
+    open_ = met.join(tied, "key", "left").select("pivot", "key", F.coalesce("root", "key").alias("component"))
+    open_ = steps.store(open_, "open")
+    cells = _dealt(steps, open_.join(sized, "key")).join(texts.select("key", "bits"), "key")
+    cell = ["pivot", "level", "i", "j"]
     cells = cells.repartition(*cell).sortWithinPartitions(*cell)
     more = cells.mapInArrow(_cells, "a long, b long").distinct()
-    return first.union(_links(stored(more, "candidates"), texts))
+    second = _links(steps, steps.store(more, "candidates"), texts)
+    found = stored(first.union(second), "links")
+    steps.close()
+    return found
 
 
 def classes(docs, id_column="doc_id", text_column="text"):
@@ -486,23 +533,24 @@ def classes(docs, id_column="doc_id", text_column="text"):
         F.xxhash64(text_column).alias("hash"),
     )
     profile = stored(
-        rows.mapInArrow(
-            in_arrow(_profiles), "doc long, hash long, key long, again long, n long, low long, bits binary"
-        ),
+        rows.mapInArrow(in_arrow(_profiles), "doc long, hash long, key long, again long, n long, low long"),
         "profiles",
     )
     sets = profile.where("n > 0 AND doc IS NOT NULL").groupBy("key", "again", "n").agg(
-        F.min(F.struct("doc", "hash")).alias("first"), F.first("bits").alias("bits"),
-        F.first("low").alias("low"),
+        F.min(F.struct("doc", "hash")).alias("first"), F.first("low").alias("low")
     )
     sets = stored(sets, "sets")
-    found = components(links(rows.where("doc IS NOT NULL"), sets)).withColumnRenamed("node", "key")
+    # Different sets with one key, about three for 10**10 sets, take their other hash as key.
+    clashes = [r["key"] for r in sets.groupBy("key").count().where("count > 1").select("key").collect()]
+    own = F.when(F.col("key").isin(clashes), F.col("again")).otherwise(F.col("key")) if clashes else F.col("key")
+    profile, sets = profile.withColumn("key", own).drop("again"), sets.withColumn("key", own).drop("again")
+    found = components(links(rows.where("doc IS NOT NULL"), sets, clashes)).withColumnRenamed("node", "key")
     roots = sets.join(found, "key", "left").select(
         "key", F.coalesce("root", "key").alias("root"), F.col("first.doc").alias("doc")
     )
     least = roots.groupBy("root").agg(F.min("doc").alias("component_id"))
     component = stored(roots.join(least, "root").select("key", "component_id"), "components")
-    joined = profile.drop("bits", "low").join(component, "key", "left")
+    joined = profile.drop("low").join(component, "key", "left")
     own = F.when((F.col("n") > 0) & F.col("doc").isNotNull(), F.col("component_id"))
     return joined.select(
         F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"),

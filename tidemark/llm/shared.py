@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.files import shared_dir
+from tidemark.functions.files import delete_path, shared_dir
 
 _numbers = itertools.count()
 
@@ -24,6 +24,29 @@ def stored(df, name):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Steps:
+    """Stored frames that are deleted once what reads them is stored itself."""
+
+    def __init__(self):
+        self._paths = {}
+
+    def store(self, df, name):
+        path = fresh_path(df.sparkSession, name)
+        df.write.parquet(path)
+        found = df.sparkSession.read.schema(df.schema).parquet(path)
+        self._paths[id(found)] = (found, path)
+        return found
+
+    def drop(self, *frames):
+        """Delete frames; none of the given ones without a reader that is stored may be left."""
+        for frame in frames:
+            _, path = self._paths.pop(id(frame))
+            delete_path(frame.sparkSession, path)
+
+    def close(self):
+        self.drop(*[frame for frame, _ in list(self._paths.values())])
+
+
 def in_arrow(function, schema=None):
     """A mapInArrow function from one that maps one record batch to a dict of columns, or None."""
 
