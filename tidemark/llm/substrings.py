@@ -151,7 +151,9 @@ def _gone(words, part, window):
     np.add.at(edge, at, 1)
     np.add.at(edge, at + window, -1)
     gone = np.cumsum(edge[:-1]) > 0
-    return gone | np.repeat(copy & (words.counts >= window), words.counts)
+    gone |= np.repeat(copy & (words.counts >= window), words.counts)
+    # The marks are those of the text's first document; a row without an id has none.
+    return gone & np.repeat(doc.is_valid().to_numpy(zero_copy_only=False), words.counts)
 
 
 def remove_repeated(docs, window=13, id_column="doc_id", text_column="text", with_text=True):
