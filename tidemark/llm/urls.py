@@ -2,7 +2,7 @@
 
 The trees learn from the URLs that a rule decides. They see lexical features only: lengths, depth,
 share of digits, entropy of the characters, number of parameters, and how often the host's suffix
-was blocked among the labelled URLs.
+and domain were blocked among the other labelled URLs.
 """
 
 from dataclasses import dataclass
@@ -73,20 +73,31 @@ def with_features(urls):
     )
 
 
-def _rates(sample, key, name):
-    """Share of blocked URLs for each key, drawn towards the overall share; bounded by the sample."""
-    return sample.groupBy(key).agg(
-        ((F.sum("label") + 2 * F.first("prior")) / (F.count("*") + 2)).alias(name)
+def _rates(labelled, key, name):
+    """Blocked and all labelled URLs of each key, one row for each."""
+    return stored(
+        labelled.groupBy(key).agg(F.sum("label").alias(f"{name}_blocked"), F.count("*").alias(f"{name}_urls")),
+        name,
     )
 
 
+def _rate(name, prior, own=None):
+    """Share of a key's URLs that are blocked, drawn towards the overall share; without ``own`` label."""
+    blocked = F.coalesce(F.col(f"{name}_blocked"), F.lit(0.0))
+    urls = F.coalesce(F.col(f"{name}_urls"), F.lit(0))
+    if own is not None:
+        blocked, urls = blocked - own, urls - 1
+    return (blocked + 2 * prior) / (urls + 2)
+
+
 def judge(
     pages, rules, sample_urls=20_000, trees=20, depth=4, id_column="page_id", url_column="url"
 ):
     """Verdict for every URL: the longest fitting rule's, else that of boosted trees.
 
     The trees are fitted on at most ``sample_urls`` different URLs that rules decide, those with
-    the least hashes; this bounds the fitting only, every URL is judged. Returns ``row`` (a struct
+    the least hashes; this bounds the fitting only, every URL is judged. The rates of suffixes and
+    domains are counted over all URLs that rules decide, a URL's own label left out. Returns ``row`` (a struct
     of the given columns but ``url``), ``url``, ``host``, ``path``, ``rule``, ``block_score`` (null
     where a rule decides) and ``verdict``. If the labelled URLs are all of one kind, that kind is
     the verdict of the rest; without any, all the rest is allowed. Null URLs and URLs without
@@ -110,9 +121,8 @@ def judge(
     labelled = rows.where("ruled IS NOT NULL").select(
         "url", "host", "path", "suffix", "domain", (F.col("ruled") == "block").cast("double").alias("label")
     )
-    sample = labelled.dropDuplicates(["url"]).orderBy(F.xxhash64("url"), "url").limit(sample_urls)
-    sample = stored(sample, "labelled_urls")
-    seen = sample.agg(F.count("*").alias("n"), F.avg("label").alias("rate")).first()
+    labelled = stored(labelled.dropDuplicates(["url"]), "labelled_urls")
+    seen = labelled.agg(F.count("*").alias("n"), F.avg("label").alias("rate")).first()
     known = ["row", "url", "host", "path", "rule"]
     if not seen.n or seen.rate in (0.0, 1.0):
         rest = F.lit("block" if seen.n and seen.rate == 1.0 else "allow")
@@ -120,19 +130,20 @@ def judge(
         return rows.select(
             *known, score.alias("block_score"), F.coalesce("ruled", rest).alias("verdict")
         )
-    sample = sample.withColumn("prior", F.lit(seen.rate))
-    # One row for each suffix or domain of the bounded sample.
-    suffixes = F.broadcast(_rates(sample, "suffix", "suffix_rate"))
-    domains = F.broadcast(_rates(sample, "domain", "domain_rate"))
+    place = F.xxhash64("url") / F.lit(2.0**64) + 0.5
+    share = (sample_urls + 8 * sample_urls**0.5 + 64) / seen.n
+    sample = labelled.where(place <= share).orderBy(F.xxhash64("url"), "url").limit(sample_urls)
+    # Counted over all labelled URLs; Spark sends them to all tasks where they are small.
+    suffixes, domains = _rates(labelled, "suffix", "suffix_rate"), _rates(labelled, "domain", "domain_rate")
 
-    def featured(frame):
+    def featured(frame, own=None):
         frame = with_features(frame).join(suffixes, "suffix", "left").join(domains, "domain", "left")
-        frame = frame.fillna(seen.rate, ["suffix_rate", "domain_rate"])
-        return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(frame)
+        rates = {name: _rate(name, seen.rate, own) for name in ("suffix_rate", "domain_rate")}
+        return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(frame.withColumns(rates))
 
     fitted = GBTClassifier(
         maxIter=trees, maxDepth=depth, seed=7, featuresCol="features", labelCol="label"
-    ).fit(featured(sample).select("features", "label").coalesce(8))
+    ).fit(featured(sample, F.col("label")).select("url", "features", "label").coalesce(1).sortWithinPartitions("url"))
     from pyspark.ml.functions import vector_to_array
 
     scored = fitted.transform(featured(rows))
