@@ -1,8 +1,8 @@
 """Language by a string kernel: blended n-gram presence, Nyström landmarks, ridge regression.
 
 The kernel of two texts is the weighted number of n-grams of one to three symbols that both hold,
-divided by the geometric mean of their own numbers. Symbols are the most frequent letters of the
-landmarks, one symbol for all other letters, and one for everything between words. N-grams that no
+divided by the geometric mean of their own numbers. Symbols are all letters that landmarks hold, of
+any script, one symbol for all other letters, and one for everything between words. N-grams that no
 landmark holds are the same for all texts and left out.
 
 Landmarks span the feature space (Nyström): a text's features are its kernels with the landmarks,
@@ -23,7 +23,8 @@ from tidemark.llm.quality_crf import sample_ids, sampled_texts
 from tidemark.llm.shared import in_arrow
 from tidemark.llm.words import slices
 
-LETTERS = 62
+#: N-grams numbered in a table up to this many possible ones, and else found by bisection.
+TABLE_GRAMS = 1 << 22
 ORDERS = ((1, 0.3), (2, 0.7), (3, 1.0))
 ROWS_AT_ONCE = 256
 
@@ -48,10 +49,9 @@ class Alphabet:
     """Symbols of code points: 0 between words, 1 for letters of no own symbol, 2 on for the rest."""
 
     def __init__(self, letters):
-        self.table = _is_letter().astype(np.uint8)
-        for symbol, letter in enumerate(letters, 2):
-            self.table[letter] = symbol
-        self.size = LETTERS + 2
+        self.table = _is_letter().astype(np.int32)
+        self.table[letters] = np.arange(2, len(letters) + 2)
+        self.size = len(letters) + 2
 
     def grams(self, points, row):
         """Numbers of all n-grams of all orders, with their rows."""
@@ -83,17 +83,28 @@ class Classifier:
     def _ready(self):
         if not hasattr(self, "_alphabet"):
             self._alphabet = Alphabet(self.letters)
-            self._column = np.full(self._alphabet.gram_count(), len(self.grams), np.int32)
-            self._column[self.grams] = np.arange(len(self.grams))
+            self._table = None
+            if self._alphabet.gram_count() <= TABLE_GRAMS:
+                self._table = np.full(self._alphabet.gram_count(), len(self.grams), np.int32)
+                self._table[self.grams] = np.arange(len(self.grams))
         return self._alphabet
 
+    def _columns(self, number):
+        """The column of each n-gram; that after the last one for those that no landmark holds."""
+        if self._table is not None:
+            return self._table[number]
+        if not len(self.grams):
+            return np.zeros(len(number), np.int64)
+        at = np.minimum(np.searchsorted(self.grams, number), len(self.grams) - 1)
+        return np.where(self.grams[at] == number, at, len(self.grams))
+
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k[0] != "_"}
 
     def presence(self, points, row, rows):
         number, at = self._ready().grams(points, row)
         held = np.zeros((rows, len(self.grams) + 1), np.float32)
-        held[at, self._column[number]] = 1
+        held[at, self._columns(number)] = 1
         return held[:, :-1]
 
     def scores(self, texts):
@@ -122,7 +133,7 @@ def fit(texts, langs, landmarks=40, ridge=1e-2):
     chosen = [i for lang in languages for i in [k for k, v in enumerate(langs) if v == lang][:landmarks]]
     points, row = code_points([texts[i] for i in chosen])
     counts = Counter(points[_is_letter()[points]].tolist())
-    letters = [c for c, _ in sorted(counts.items(), key=lambda kv: (-kv[1], kv[0]))[:LETTERS]]
+    letters = sorted(counts)
     alphabet = Alphabet(letters)
     grams = np.unique(alphabet.grams(points, row)[0]) if len(chosen) else np.zeros(0, np.int64)
     edges = np.cumsum([alphabet.size**order for order, _ in ORDERS])

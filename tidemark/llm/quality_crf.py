@@ -154,18 +154,30 @@ def fit(texts, labels, steps=200, rate=0.08, decay=1e-3, tie_decay=0.05):
 
 
 def sample_ids(labelled, label, most):
-    """At most ``most`` rows of each label, those with the least hashes of ``id``; only these columns."""
+    """At most ``most`` rows of each label, those with the least hashes of ``id``; only these columns.
+
+    Rows beyond a share of the hash range that holds ``most`` of their label and some more are left
+    out where they are read, so that what meets in one task does not grow with the table.
+    """
+    rows = labelled.select("id", label)
+    sizes = rows.groupBy(label).agg(F.count("*").alias("_size")).withColumnRenamed(label, "_label")
+    place = F.xxhash64("id") / F.lit(2.0**64) + 0.5
+    wanted = (most + 8 * most**0.5 + 64) / F.col("_size")
+    near = rows.join(sizes, F.col(label) == F.col("_label")).where(place <= wanted)
+    near = near.select("id", label).distinct()
     order = Window.partitionBy(label).orderBy(F.xxhash64("id"), "id")
-    ranked = labelled.select("id", label).withColumn("_rank", F.row_number().over(order))
+    ranked = near.withColumn("_rank", F.row_number().over(order))
     return ranked.where(F.col("_rank") <= most).drop("_rank")
 
 
 def sampled_texts(docs, sample, on):
-    """Texts of a bounded sample of ids, on the driver; repeated ids do not exceed its size."""
+    """Texts of a bounded sample of ids, on the driver: of rows that share an id the least text."""
     sample = stored(sample, "sample")
     # The sample has a fixed number of rows for each label.
-    found = docs.join(F.broadcast(sample), on).limit(max(sample.count(), 1))
-    return found.orderBy(F.xxhash64("id"), "id", "text").toPandas()
+    found = docs.join(F.broadcast(sample), on)
+    names = [c for c in found.columns if c != "text"]
+    found = found.groupBy(*names).agg(F.min("text").alias("text"))
+    return found.orderBy(F.xxhash64("id"), "id", *[n for n in names if n != "id"]).toPandas()
 
 
 def train(docs, labels, most=1500):
