@@ -23,8 +23,6 @@ from tidemark.llm.shared import stored
 SHINGLE = 5
 THRESHOLD = 0.8
 RADIUS = 19
-#: Up to this many shingles of the benchmark are sent to every executor; more are joined by shuffle.
-BROADCAST_SHINGLES = 200_000
 
 _WORDS = r"split(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+')"
 
@@ -128,15 +126,14 @@ def matches(
 
 
 def _matches(rows, items, size, threshold, radius):
-    known = items.select("item", "m", "k", F.explode(F.array_distinct("s")).alias("h"))
+    # Stored, so that Spark knows their size when it chooses how to join them.
+    known = stored(items.select("item", "m", "k", F.explode(F.array_distinct("s")).alias("h")), "known")
     facts = items.agg(
         F.min(
             F.least(F.ceil((F.col("m") - F.col("k")) / (F.col("k") + 1)), _whole_step(F.col("m"), threshold))
         ).alias("step"),
-        F.sum(F.size("s")).alias("n"),
     ).first()
     step = facts.step
-    known = F.broadcast(known) if facts.n <= BROADCAST_SHINGLES else known
 
     # Every step-th shingle of every document, looked up in the benchmark.
     hits = rows.select("key", words("text").alias("w")).withColumn("n", F.size("w") - (size - 1))
@@ -157,13 +154,13 @@ def _matches(rows, items, size, threshold, radius):
                     sequence(greatest(q - m + 1, 0), least(q, n - m)), CAST(array() AS array<int>))))),
         p -> size(filter(hits, q -> q >= p AND q < p + m)) >= least))"""
     windows = (
-        rows.join(hits.select("key", "n", "m", "least", "hits", F.when(whole, F.col("item")).alias("of")), "key")
-        .select("doc", "of", "n", "m", "least", "hits", words("text").alias("w"))
-        .select("doc", "of", "n", "m", "least", "hits", _shingles("w", size).alias("s"))
+        rows.join(hits, "key")
+        .select("doc", "item", "n", "m", "least", "hits", words("text").alias("w"))
+        .select("doc", "item", "n", "m", "least", "hits", _shingles("w", size).alias("s"))
     )
-    windows = windows.select("doc", "of", "n", "m", "s", F.explode(F.expr(starts)).alias("start"))
+    windows = windows.select("doc", "item", "n", "m", "s", F.explode(F.expr(starts)).alias("start"))
     windows = windows.select(
-        "doc", "of", "m", "start", whole.alias("whole"), F.expr("slice(s, start + 1, m)").alias("s")
+        "doc", "item", "m", "start", whole.alias("whole"), F.expr("slice(s, start + 1, m)").alias("s")
     )
     windows = stored(
         windows.withColumns(
@@ -172,18 +169,21 @@ def _matches(rows, items, size, threshold, radius):
         "windows",
     )
 
-    # Fingerprints of different windows, and of items, joined on blocks.
+    # Fingerprints of different windows, and of items. A window meets the items whose shingles the
+    # screen found in it, so the join is as large as the screen's finds; in it a block must agree.
     different = windows.groupBy("w1", "w2", "m", "whole").agg(F.first("s").alias("s"))
     print_ = F.when(~F.col("whole"), _fingerprint("s"))
     different = stored(different.withColumn("f", print_), "fingerprints")
     prints = items.select("item", "m", "s", _fingerprint("s").alias("f"))
-    near = different.where("NOT whole").select("w1", "w2", "m", "f", _blocks("f", radius)).alias("a").join(
-        prints.select("item", "m", F.col("f").alias("g"), _blocks("f", radius)).alias("b"),
-        ["m", "block"],
+    met = windows.select("w1", "w2", "m", "item", "whole").distinct()
+    pairs = met.where("NOT whole").join(different.where("NOT whole"), ["w1", "w2", "m"])
+    near = pairs.select("w1", "w2", "m", "item", "f", _blocks("f", radius)).join(
+        prints.select("item", "m", F.col("f").alias("g"), _blocks("f", radius)),
+        ["item", "m", "block"],
     )
     near = near.where(F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= radius)
     near = near.select("w1", "w2", "m", "item")
-    near = near.union(windows.where("whole").select("w1", "w2", "m", F.col("of").alias("item"))).distinct()
+    near = near.union(met.where("whole").select("w1", "w2", "m", "item")).distinct()
     near = near.join(different.drop("f", "whole"), ["w1", "w2", "m"]).join(
         items.select("item", "m", F.col("s").alias("t")), ["item", "m"]
     )
@@ -191,6 +191,6 @@ def _matches(rows, items, size, threshold, radius):
     near = near.withColumn("n", F.size("s"))
     near = near.withColumn("similarity", F.col("c") / (F.col("m") + F.col("n") - F.col("c")))
     near = near.where(F.col("similarity") >= threshold).select("w1", "w2", "m", "n", "item", "similarity")
-    return windows.join(near, ["w1", "w2", "m"]).select(
+    return windows.join(near, ["w1", "w2", "m", "item"]).select(
         "doc", "item", "start", (F.col("n") + size - 1).alias("n_words"), "similarity"
     )
