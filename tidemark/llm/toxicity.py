@@ -360,8 +360,8 @@ def train(docs, labels, most=2000, trees=20, depth=3):
     halves = [_features(sample.where(F.col("half") == half), keep, lexicon) for half, lexicon in ((0, second), (1, first))]
     known = stored(halves[0].union(halves[1]), "features")
     known = known.withColumn("label", F.col("label").cast("double"))
-    # Dealt by hash and sorted, so that every run fits the same rows in the same order.
-    known = known.repartition(4, "order").sortWithinPartitions("order")
+    # A bounded sample in one sorted partition: every run fits the same rows in the same order.
+    known = known.coalesce(1).sortWithinPartitions("order")
     booster = GBTClassifier(
         maxIter=trees, maxDepth=depth, stepSize=0.2, seed=7, weightCol="weight", featuresCol="features",
         labelCol="label", minInstancesPerNode=2,
