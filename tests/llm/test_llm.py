@@ -317,10 +317,10 @@ def test_signature_tree_finds_every_possible_pair(leaf, monkeypatch):
         )
         sets.append(np.unique(own))
     columns = (
-        np.arange(60), np.array([len(s) for s in sets]), [near.bitmap(s, near.width(len(s))) for s in sets],
+        np.array([len(s) for s in sets]), [near.bitmap(s, near.width(len(s))) for s in sets],
         np.arange(60), np.full(60, -1), np.full(60, 10), np.zeros(60, int), np.ones(60, bool),
     )
-    found = {tuple(sorted(p)) for a, b in near.pairs(near.tree(*columns)) for p in zip(a.tolist(), b.tolist())}
+    found = {tuple(sorted(p)) for a, b, _ in near.pairs(near.tree(*columns)) for p in zip(a.tolist(), b.tolist())}
     want = {
         (i, j) for j in range(60) for i in range(j)
         if near.enough(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j]))

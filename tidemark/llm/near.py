@@ -16,15 +16,19 @@ are compared. Links are found in three steps; each is exact.
    tree: leaves are classes with a bitmap of their shingles, nodes hold the OR of the bitmaps below
    and the range of sizes. Both sides of a pair of nodes are opened only if the largest possible
    overlap suffices; pairs of nodes that lie in one component are closed. Large cells are cut by
-   size and dealt in parts.
+   size and dealt in parts. The search runs twice: first a class is compared only with the one that
+   may have the most in common with it, then with all that are still in other components.
 
 Candidates of steps 2 and 3 pass the bitmap bound and then the exact test on whole texts. As pairs
 within a component are closed, the links that are found are not all links, but join all classes
 that any links join: the result is components.
 """
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
@@ -112,8 +116,8 @@ class Leaf:
 
     items = None
 
-    def __init__(self, keys, sizes, bits, components, sides, shared, needed, own):
-        self.keys, self.sizes, self.components, self.sides = keys, sizes, components, sides
+    def __init__(self, places, sizes, bits, components, sides, shared, needed, own):
+        self.places, self.sizes, self.components, self.sides = places, sizes, components, sides
         self.shared, self.needed, self.own = shared, needed, own
         words = min(len(x) for x in bits)
         self.matrix = np.stack([fold(x, words) for x in bits])
@@ -125,7 +129,7 @@ class Leaf:
     def at(self, words):
         if self.matrix.shape[1] == words:
             return self.matrix
-        return np.bitwise_or.reduce(self.matrix.reshape(len(self.keys), -1, words), axis=1)
+        return np.bitwise_or.reduce(self.matrix.reshape(len(self.places), -1, words), axis=1)
 
 
 class Node:
@@ -143,7 +147,7 @@ class Node:
         self.items = items
 
 
-def tree(keys, sizes, bits, components, sides, shared, needed, own):
+def tree(sizes, bits, components, sides, shared, needed, own):
     """Nodes over leaves of classes in the order of their sizes; the largest component comes first."""
     common, held = np.unique(components, return_counts=True)
     order = np.lexsort((sizes, components != common[held.argmax()]))
@@ -151,7 +155,7 @@ def tree(keys, sizes, bits, components, sides, shared, needed, own):
     for lo in range(0, len(order), LEAF_ROWS):
         at = order[lo : lo + LEAF_ROWS]
         columns = (x[at] for x in (components, sides, shared, needed, own))
-        level.append(Leaf(keys[at], sizes[at], [bits[i] for i in at], *columns))
+        level.append(Leaf(at, sizes[at], [bits[i] for i in at], *columns))
     while len(level) > 1:
         level = [Node(level[i : i + FANOUT]) for i in range(0, len(level), FANOUT)]
     return level[0]
@@ -193,13 +197,15 @@ def _compared(a, b):
     if a is b:
         good = np.triu(good, 1)
     i, j = np.nonzero(good)
-    return a.keys[i], b.keys[j]
+    share = np.minimum(n - lacking, m - other)[i, j] / np.maximum(n, m)[i, j]
+    return a.places[i], b.places[j], share
 
 
 def pairs(root):
     """Pairs of classes of different components that may be similar enough, by dual traversal.
 
-    Two arrays for each pair of leaves that holds any.
+    For each pair of leaves that holds any: two arrays of their places, and the greatest share of the
+    larger set that they can have in common.
     """
     stack = [(root, root)]
     while stack:
@@ -327,16 +333,31 @@ def _bounded(batch):
 _MEMBERS = ("key", "n", "bits", "component", "side", "shared", "needed", "own")
 
 
-def _cells(batches):
-    """Candidate pairs of every cell; the rows of a cell follow each other."""
-    held, size = [], 0
+def _cells(best):
+    """Candidate pairs of every cell; the rows of a cell follow each other.
+
+    ``best`` keeps for each class only the one that may have the most in common with it.
+    """
 
     def search(rows):
         keys, n, bits, *rest = zip(*rows, strict=True)
-        bits = [np.frombuffer(x, np.uint64) for x in bits]
-        return pairs(tree(np.array(keys), np.array(n), bits, *map(np.array, rest)))
-
-    def cells():
+        keys, bits = np.array(keys), [np.frombuffer(x, np.uint64) for x in bits]
+        found = pairs(tree(np.array(n), bits, *map(np.array, rest)))
+        if not best:
+            for i, j, _ in found:
+                yield keys[i], keys[j]
+            return
+        top, with_ = np.zeros(len(keys)), np.zeros(len(keys), np.int64)
+        for i, j, share in found:
+            for x, y in ((i, j), (j, i)):
+                better = np.flatnonzero(share > top[x])
+                better = better[np.argsort(share[better], kind="stable")]
+                top[x[better]], with_[x[better]] = share[better], y[better]
+        x = np.flatnonzero(top)
+        if len(x):
+            yield keys[x], keys[with_[x]]
+
+    def cells(batches):
         cell, rows = None, []
         for batch in batches:
             data = [batch.column(c).to_pylist() for c in ("pivot", "level", "i", "j", *_MEMBERS)]
@@ -347,14 +368,18 @@ def _cells(batches):
                 rows.append(values[4:])
         yield rows
 
-    for rows in cells():
-        for a, b in search(rows) if len(rows) > 1 else ():
-            held.append((np.minimum(a, b), np.maximum(a, b)))
-            size += len(a)
-            if size >= PAIRS_AT_ONCE:
-                yield _pair_batch(held)
-                held, size = [], 0
-    yield _pair_batch(held)
+    def run(batches):
+        held, size = [], 0
+        for rows in cells(batches):
+            for a, b in search(rows) if len(rows) > 1 else ():
+                held.append((np.minimum(a, b), np.maximum(a, b)))
+                size += len(a)
+                if size >= PAIRS_AT_ONCE:
+                    yield _pair_batch(held)
+                    held, size = [], 0
+        yield _pair_batch(held)
+
+    return run
 
 
 def _pair_batch(held):
@@ -507,17 +532,26 @@ def links(rows, sets, clashes=()):
     candidates = steps.store(candidates.mapInArrow(in_arrow(_bounded), "a long, b long"), "candidates")
     first = _links(steps, candidates, texts)
 
-    tied = components(first).withColumnRenamed("node", "key")
+    # First each class meets the one most like it in another component, which ties nearly all that
+    # have a link; then all pairs that are left.
+    found = [first]
+    for best in (True, False):
+        found.append(_searched(steps, reduce(DataFrame.union, found), met, sized, texts, best))
+    found = stored(reduce(DataFrame.union, found), "links")
+    steps.close()
+    return found
+
+
+def _searched(steps, known, met, sized, texts, best):
+    """Links between the components of the known links, by signature trees over the cells."""
+    tied = components(known).withColumnRenamed("node", "key")
     open_ = met.join(tied, "key", "left").select("pivot", "key", F.coalesce("root", "key").alias("component"))
     open_ = steps.store(open_, "open")
     cells = _dealt(steps, open_.join(sized, "key")).join(texts.select("key", "bits"), "key")
     cell = ["pivot", "level", "i", "j"]
     cells = cells.repartition(*cell).sortWithinPartitions(*cell)
-    more = cells.mapInArrow(_cells, "a long, b long").distinct()
-    second = _links(steps, steps.store(more, "candidates"), texts)
-    found = stored(first.union(second), "links")
-    steps.close()
-    return found
+    pairs_ = steps.store(cells.mapInArrow(_cells(best), "a long, b long").distinct(), "candidates")
+    return _links(steps, pairs_, texts)
 
 
 def classes(docs, id_column="doc_id", text_column="text"):
