@@ -86,3 +86,38 @@ def content_checksum(hash_text):
     ]
     total = F.sum(reduce(lambda a, b: a + b, groups).cast("decimal(28,0)"))
     return F.coalesce(total, F.lit(0)).cast("decimal(38,0)").cast("string")
+
+
+def content_proof(df, names):
+    """Aggregate: a hash of a set of rows that adds up over sets, as ``a:b``.
+
+    ``names`` maps columns to the names they are hashed under; null columns do not count, so rows
+    hash alike before and after a column comes. Two sums of 64-bit row hashes with different seeds:
+    equal sets always agree, and a changed, missing or additional row shows but for 1 in 2**128.
+    """
+    parts = []
+    for name in sorted(names, key=names.get):
+        column = F.col(quoted(name))
+        if _unhashable(df.schema[name].dataType):
+            column = F.to_json(column)
+        parts += [F.when(column.isNotNull(), F.lit(names[name])), column]
+    sums = [F.sum(F.xxhash64(F.lit(seed), *parts).cast("decimal(20,0)")) for seed in (1, 2)]
+    return F.concat_ws(":", *[F.coalesce(s, F.lit(0)).cast("string") for s in sums])
+
+
+def _unhashable(kind):
+    if isinstance(kind, (T.MapType, T.VariantType)):
+        return True
+    if isinstance(kind, T.ArrayType):
+        return _unhashable(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return any(_unhashable(field.dataType) for field in kind.fields)
+    return False
+
+
+def proofs_added(*signed):
+    """The proof of sets put together (``1, proof``) or taken away (``-1, proof``); None if one is unknown."""
+    if any(proof is None for _, proof in signed):
+        return None
+    pairs = [(sign, proof.split(":")) for sign, proof in signed]
+    return ":".join(str(sum(sign * int(parts[i]) for sign, parts in pairs)) for i in (0, 1))

@@ -1,5 +1,7 @@
 """Removing duplicate rows within a batch and against rows seen before."""
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,6 +11,8 @@ from tidemark.functions.hashing import hash_columns, row_hash
 from tidemark.functions.skew import key_set
 from tidemark.names import ROW_HASH, quoted
 
+_DIGEST = "_digest"
+
 # Types whose minimum Spark keeps in a fixed-width buffer, which allows a hash aggregate.
 _FIXED_WIDTH = (T.IntegerType, T.LongType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
@@ -102,16 +106,20 @@ def deduplicate(
 
 
 def duplicates(df, columns=None, order_by=None, algorithm="sha256", framed=False):
-    """All rows but the first of every group of equal hash columns.
+    """All rows but the first of every group of equal hash columns; NaN becomes null.
 
-    Ranked twice: within (key, input split), then among the first row of each split. A hot
-    key is so spread over many tasks, and the second ranking sees at most one row per split
-    and key. The split follows the input partition, which a repeated task does not change.
+    Whole rows are counted and not moved: one aggregate gives each different row and its number of
+    copies, and the copies but one are made anew. A subset is ranked twice: within (key, input
+    split), then among the first row of each split. A hot key is so spread over many tasks, and the
+    second ranking sees at most one row per split and key. The split follows the input partition,
+    which a repeated task does not change.
     """
     if ROW_HASH in df.columns:
         df = df.drop(ROW_HASH)
     names = hash_columns(df, columns)
     keys = _key_columns(df, names)
+    if set(names) == set(df.columns) and len(keys) == len(names):
+        return _copies(df, keys, names, algorithm, framed)
     key_names = [f"_k{i}" for i in range(len(keys))]
     prepared = df.select(
         *[F.col(quoted(name)) for name in df.columns],
@@ -132,22 +140,62 @@ def duplicates(df, columns=None, order_by=None, algorithm="sha256", framed=False
     return with_row_hash(rows, names, algorithm, framed)
 
 
+#: Copies that one task makes of one row; a row with more is dealt to several tasks first.
+COPIES_AT_ONCE = 10_000
+
+
+def _copies(df, keys, names, algorithm, framed):
+    """Each different row as often as it is repeated.
+
+    The aggregate combines on the map side, so a row that makes up a third of the table leaves each
+    task once. Its copies are made by as many tasks as their number asks for.
+    """
+    values = {name: key for name, key in zip(names, keys)}
+    counted = (
+        df.groupBy(*[values[name].alias(name) for name in df.columns])
+        .agg(F.count(F.lit(1)).alias("_copies"))
+        .where("_copies > 1")
+        .withColumn("_copies", F.col("_copies") - 1)
+    )
+    # The hash once for each different row.
+    hashed = with_row_hash(counted, names, algorithm, framed)
+    few = hashed.where(F.col("_copies") <= COPIES_AT_ONCE)
+    rounds = F.sequence(F.lit(0), F.floor((F.col("_copies") - 1) / COPIES_AT_ONCE))
+    many = hashed.where(F.col("_copies") > COPIES_AT_ONCE).withColumn("_round", F.explode(rounds))
+    left = F.col("_copies") - F.col("_round") * COPIES_AT_ONCE
+    many = many.withColumn("_copies", F.least(left, F.lit(COPIES_AT_ONCE).cast("bigint")))
+    many = many.drop("_round").hint("rebalance")
+    made = [
+        part.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies"))))
+        for part in (few, many)
+    ]
+    columns = [*[F.col(quoted(name)) for name in df.columns], F.col(ROW_HASH)]
+    return made[0].select(*columns).unionAll(made[1].select(*columns))
+
+
 def drop_known(df, known, large_ledger=False):
     """Rows whose hash is not in ``known``.
 
-    A plain anti-join: Spark broadcasts the ledger only when its size is below the
-    broadcast threshold, and shuffles both sides by hash otherwise. After ``deduplicate``
-    every hash occurs once; without it, hot hashes are split by adaptive execution.
+    A plain anti-join by digest, half the bytes of its hex text: Spark broadcasts the known ones
+    only when their size is below the broadcast threshold, and shuffles both sides otherwise. After
+    ``deduplicate`` every hash occurs once; without it, hot hashes are split by adaptive execution.
 
     ``large_ledger=True`` suits a batch that is small against all that is known: first the
     known hashes that occur in the batch are found. With a batch below the broadcast threshold
     that is one scan of the ledger without a shuffle, and what goes on is no larger than the
     batch. The batch is read twice for it, or once where it comes out of a shuffle that Spark
-    uses again.
+    uses again. ``HashLedger.drop_known`` also leaves out the folders that the batch cannot hold.
     """
+    rows = df.withColumn(_DIGEST, F.unhex(ROW_HASH))
+    known = known.select(F.unhex(ROW_HASH).alias(_DIGEST))
     if large_ledger:
-        known = known.select(ROW_HASH).join(key_set(df, ROW_HASH), ROW_HASH, "left_semi")
-    return df.join(key_set(known, ROW_HASH), ROW_HASH, "left_anti")
+        known = known.join(key_set(rows, _DIGEST), _DIGEST, "left_semi")
+    return _without(rows, known).select(*[F.col(quoted(name)) for name in df.columns])
+
+
+def _without(rows, known):
+    """Rows whose digest is not among the known ones; rows without a hash are not known."""
+    return rows.join(key_set(known, _DIGEST), _DIGEST, "left_anti")
 
 
 def drop_duplicates_native(df, subset=None):
@@ -172,26 +220,81 @@ def duplicate_statistics(df, columns=None):
 
 
 class HashLedger:
-    """Hashes seen so far, kept as Parquet. Batches are appended, never changed in place."""
+    """Digests seen so far, in folders by label and by the first bits of the digest.
 
-    _schema = T.StructType([T.StructField(ROW_HASH, T.StringType())])
+        <path>/label=<label>/prefix=<two hex digits>/*.parquet     digest, source
+
+    A small batch opens only the folders whose digits occur in it. Labels are added, never changed
+    in place; ``source`` says which batch a digest came with, where that matters.
+    """
+
+    _schema = T.StructType(
+        [
+            T.StructField("digest", T.BinaryType()),
+            T.StructField("source", T.LongType()),
+            T.StructField("label", T.StringType()),
+            T.StructField("prefix", T.StringType()),
+        ]
+    )
 
     def __init__(self, spark, path):
         self.spark = spark
-        self.path = path
+        self.path = path.rstrip("/")
 
-    def hashes(self):
+    def digests(self):
+        """``digest``, ``source``, ``label`` and ``prefix`` of everything that was added."""
         if not path_exists(self.spark, self.path):
             return self.spark.createDataFrame([], self._schema)
-        return self.spark.read.schema(self._schema).parquet(self.path).select(ROW_HASH)
+        reader = self.spark.read.schema(self._schema).option("basePath", self.path)
+        return reader.parquet(self.path)
 
-    def add(self, df, batch):
-        """Add the hashes of ``df`` under a batch label; the same label again replaces it."""
-        target = f"{self.path.rstrip('/')}/batch={batch}"
-        df.select(ROW_HASH).distinct().write.mode("overwrite").parquet(target)
+    def hashes(self):
+        """The same as hex text under the name of stored row hashes."""
+        return self.digests().select(F.lower(F.hex("digest")).alias(ROW_HASH))
+
+    def holds(self, label):
+        """Whether a label was added completely."""
+        return path_exists(self.spark, f"{self.path}/label={label}/_SUCCESS")
+
+    def add(self, df, batch, source=None):
+        """Add the hashes of ``df`` under a batch label; the same label again replaces it.
+
+        ``source`` names a column that goes with each hash. Copies combine before the shuffle; rows
+        without a hash are left out. A folder that holds most of the digests is split over files.
+        """
+        given = F.lit(None) if source is None else F.col(quoted(source))
+        rows = df.where(F.col(ROW_HASH).isNotNull()).select(
+            F.unhex(ROW_HASH).alias("digest"),
+            given.cast("bigint").alias("source"),
+            F.lower(F.substring(ROW_HASH, 1, 2)).alias("prefix"),
+        )
+        target = f"{self.path}/label={batch}"
+        rows.distinct().hint("rebalance", "prefix").write.mode("overwrite").partitionBy(
+            "prefix"
+        ).parquet(target)
+
+    def drop_known(self, df, *known):
+        """Rows of ``df`` whose hash the ledger does not hold.
+
+        ``known`` are the frames of ``prefix`` and ``digest`` that count instead of all. The digests and digits of ``df`` are looked up in
+        the ledger first: where they can be broadcast, Spark prunes the folders by them while the
+        query runs; a batch beyond that is joined by shuffles. What goes on is no larger than ``df``.
+        """
+        rows = df.withColumn(_DIGEST, F.unhex(ROW_HASH))
+        wanted = rows.select(
+            F.lower(F.substring(ROW_HASH, 1, 2)).alias("prefix"), F.col(_DIGEST).alias("digest")
+        ).distinct()
+        # Spark prunes partitions only by a side that it expects to be selective, so one with a filter.
+        wanted = wanted.where(F.col("prefix") >= "")
+        met = [
+            frame.join(wanted, ["prefix", "digest"], "left_semi").select(F.col("digest").alias(_DIGEST))
+            for frame in known or [self.digests()]
+        ]
+        met = reduce(lambda a, b: a.unionAll(b), met)
+        return _without(rows, met).select(*[F.col(quoted(name)) for name in df.columns])
 
     def count(self):
-        return self.hashes().distinct().count()
+        return self.digests().select("digest").distinct().count()
 
     def at(self, path):
         """A new, empty ledger elsewhere; clearing never changes the files of the old one."""

@@ -87,7 +87,7 @@ def _row_text(rule, name):
         "nullable": "null values in a column that allows none",
         "min_value": f"values below {limit}",
         "max_value": f"values above {limit}",
-        "allowed_values": "values outside the allowed set",
+        "allowed_values": _OUTSIDE,
         "regex_pattern": f"values that do not match {limit}",
         "min_length": f"values shorter than {limit}",
         "max_length": f"values longer than {limit}",
@@ -164,6 +164,40 @@ def unique_key_violations(df, keys):
     return groups.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("violations"))
 
 
+def _kind(data_type):
+    """Values of one kind compare; a text never equals a number."""
+    kinds = ((T.BooleanType, "boolean"), (T.NumericType, "number"), (T.StringType, "text"))
+    return next((k for t, k in kinds if isinstance(data_type, t)), data_type.simpleString())
+
+
+def allowed_set(df, name, allowed):
+    """The different values of the frame ``allowed`` (one column) as column ``_allowed``.
+
+    None of another kind than the column's is in it, and no null.
+    """
+    (field,) = allowed.schema.fields
+    values = allowed.select(F.col(quoted(field.name)).alias("_allowed"))
+    if _kind(field.dataType) != _kind(df.schema[name].dataType):
+        values = values.limit(0).select(F.lit(None).cast(df.schema[name].dataType).alias("_allowed"))
+    return values.where("_allowed IS NOT NULL").distinct()
+
+
+def membership_violations(df, name, allowed):
+    """One row ``violations``: rows with a value that the frame ``allowed`` does not hold.
+
+    Rows are first counted by value, which combines on the map side, and only the different values
+    are joined. Spark broadcasts the allowed ones by their size alone; nothing becomes a literal list.
+    """
+    values = df.where(F.col(quoted(name)).isNotNull()).groupBy(F.col(quoted(name)).alias("_value"))
+    counted = values.agg(F.count(F.lit(1)).alias("n"))
+    known = allowed_set(df, name, allowed)
+    unknown = counted.join(known, F.col("_value") == F.col("_allowed"), "left_anti")
+    return unknown.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("violations"))
+
+
+_OUTSIDE = "values outside the allowed set"
+
+
 def _issue(column, rule, severity, violations, text):
     return F.struct(
         F.lit(column).cast("string").alias("column"),
@@ -174,8 +208,11 @@ def _issue(column, rule, severity, violations, text):
     )
 
 
-def validate(df, rules):
-    """Report frame ``column, rule, severity, violations, message``; no row means all is well."""
+def validate(df, rules, allowed=None):
+    """Report frame ``column, rule, severity, violations, message``; no row means all is well.
+
+    ``allowed`` maps columns to frames of one column that hold their allowed values, of any number.
+    """
     checks = aggregate_checks(df, rules)
     measured = df.agg(
         F.count(F.lit(1)).alias("_rows"),
@@ -204,6 +241,11 @@ def validate(df, rules):
             )
         )
         report = unique if report is None else report.unionByName(unique)
+    for name, values in (allowed or {}).items():
+        if name in df.columns:
+            issue = _issue(name, "allowed_values", ERROR, F.col("violations"), _OUTSIDE)
+            member = membership_violations(df, name, values).select(F.inline(F.array(issue)))
+            report = member if report is None else report.unionByName(member)
     if report is None:
         return df.sparkSession.createDataFrame([], ISSUE_SCHEMA)
     return report.filter("violations > 0").withColumn(
@@ -238,10 +280,18 @@ def require_valid(issues):
     return rows
 
 
-def split_rows(df, rules):
+def split_rows(df, rules, allowed=None):
     """``(good, rejected)``: rows that break no row-level rule of severity error, and the
-    others with an array column ``_sys_reasons`` of ``column:rule``."""
-    reasons = []
+    others with an array column ``_sys_reasons`` of ``column:rule``.
+
+    ``allowed`` is as in ``validate``; its frames are joined to the rows by value."""
+    reasons, columns = [], df.columns
+    for i, (name, values) in enumerate((allowed or {}).items()):
+        if name in columns:
+            known = allowed_set(df, name, values).select(F.col("_allowed").alias(f"_allowed{i}"))
+            df = df.join(known, F.col(quoted(name)) == F.col(f"_allowed{i}"), "left")
+            outside = F.col(quoted(name)).isNotNull() & F.col(f"_allowed{i}").isNull()
+            reasons.append(F.when(outside, F.lit(f"{name}:allowed_values")))
     for rule in rules.columns:
         if rule.name not in df.columns or is_system(rule.name):
             continue
@@ -251,5 +301,6 @@ def split_rows(df, rules):
     if not reasons:
         return df, df.withColumn("_sys_reasons", F.array().cast("array<string>")).limit(0)
     marked = df.withColumn("_sys_reasons", F.array_compact(F.array(*reasons)))
+    marked = marked.select(*[F.col(quoted(name)) for name in columns], "_sys_reasons")
     good = marked.filter(F.size("_sys_reasons") == 0).drop("_sys_reasons")
     return good, marked.filter(F.size("_sys_reasons") > 0)

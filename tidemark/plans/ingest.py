@@ -18,6 +18,7 @@ from tidemark.operators.catalog import Catalog
 from tidemark.operators.cleaning import Cleaning
 from tidemark.operators.lineage import LineageTable
 from tidemark.operators.rules import TableRules
+from tidemark.plans.known import GROUP_ROWS, KnownRows
 from tidemark.plans.versions import CODEC, TableDefinition, VersionedDataset
 from tidemark.sources.readers import read_many, read_source
 
@@ -37,7 +38,8 @@ class IngestResult:
 
 @dataclass
 class Ingest:
-    """One run. ``at`` is its time stamp; a fixed one makes the run repeatable."""
+    """One run. ``at`` is its time stamp; a fixed one makes the run repeatable. ``allowed`` maps
+    columns to frames of one column with their allowed values."""
 
     root: str
     dataset: str
@@ -51,6 +53,8 @@ class Ingest:
     sort_by: tuple = ()
     incremental: bool = False
     at: datetime | None = None
+    ledger_rows: int = GROUP_ROWS
+    allowed: dict = field(default_factory=dict)
 
     def __post_init__(self):
         self.at = self.at or datetime.now(timezone.utc).replace(tzinfo=None)
@@ -65,12 +69,12 @@ class Ingest:
     def prepare(self, df, known=None):
         """Cleaned rows without duplicates, and without known rows in an incremental run."""
         rows = dedup.deduplicate(self.cleaning.run(df), framed=True)
-        return rows if known is None else dedup.drop_known(rows, known, large_ledger=True)
+        return rows if known is None else known.drop_from(rows)
 
     def dry_run(self, df):
         """``(rows, report)`` with nothing written."""
         rows = self.prepare(df)
-        return rows, validation.validate(rows, self.rules or TableRules())
+        return rows, validation.validate(rows, self.rules or TableRules(), self.allowed)
 
     def run(self, spark, source, source_format=None, options=None):
         """Read one source, or a list of sources, and append it as a version."""
@@ -88,7 +92,7 @@ class Ingest:
         dataset = VersionedDataset(spark, self.root, self.dataset)
         known = None
         if self.incremental and dataset.exists():
-            known = dataset.known_hashes()
+            known = KnownRows(dataset, self.ledger_rows)
         # A count of its own: footers alone for Parquet, and exact when tasks are repeated.
         rows_read = df.count()
         rows = self.prepare(df, known)
@@ -161,8 +165,7 @@ class Ingest:
             warnings,
         )
 
-    @staticmethod
-    def _issues(rows, rules, checks, measured, batch):
+    def _issues(self, rows, rules, checks, measured, batch):
         issues = []
         for i, check in enumerate(checks):
             count = measured[f"check_{i}"]
@@ -179,6 +182,13 @@ class Ingest:
                 issues.append(
                     (", ".join(keys), "unique_constraint", validation.ERROR, count, text)
                 )
+        for name, values in self.allowed.items():
+            if name in batch.columns:
+                found = validation.membership_violations(batch, name, values)
+                count = found.first()["violations"]
+                if count:
+                    text = f"{count} values outside the allowed set"
+                    issues.append((name, "allowed_values", validation.ERROR, count, text))
         return issues
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.files import delete_path, path_exists
-from tidemark.functions.hashing import content_checksum, row_hash
+from tidemark.functions.hashing import content_checksum, content_proof, proofs_added, row_hash
 from tidemark.functions.partitioning import PartitionBy, partition_type, partition_value
 from tidemark.functions.rows import one_row, utc
 from tidemark.functions.typenames import canonical_type
@@ -31,7 +31,9 @@ from tidemark.plans.commits import LOG_SCHEMA, CommitLog, SnapshotNotFound
 CODEC = "zstd"
 TARGET_FILE_BYTES = 128 * 1024 * 1024
 
+# The batch of a row, and the proof of no rows.
 BATCH = "_batch_id"
+NO_ROWS = "0:0"
 _KEY = "_sys_partition_key"
 
 
@@ -261,6 +263,7 @@ class VersionedDataset:
         return {
             **facts,
             "checksum": seen["_checksum"],
+            "proof": seen["_proof"],
             "measures": {name: seen[name] for name in measures or {}},
         }
 
@@ -293,6 +296,7 @@ class VersionedDataset:
         return [
             F.count(F.lit(1)).alias("_rows"),
             content_checksum(hashed).alias("_checksum"),
+            content_proof(frame, {name: s for name, s, _ in definition.columns}).alias("_proof"),
             sum(empty, F.count_if(F.lit(False))).alias("_empty_partitions"),
             *[measure.alias(name) for name, measure in measures.items()],
         ]
@@ -317,11 +321,16 @@ class VersionedDataset:
             F.max("_metadata.file_size").alias("file_size"),
         )
 
-    def _summary(self, log, facts, extra=None, deleted_files=0, deleted_records=0, base=False):
-        before = {"total-records": 0, "total-data-files": 0}
+    def _summary(
+        self, log, facts, extra=None, deleted_files=0, deleted_records=0, base=False, gone=NO_ROWS
+    ):
+        before = {"total-records": 0, "total-data-files": 0, "total-proof": NO_ROWS}
         if log.current_id is not None and not base:
             before = log.by_id[log.current_id]["summary"]
+        # What the state holds: what it held, with the batch, without the rows that it replaces.
+        proof = proofs_added((1, before.get("total-proof")), (1, facts["proof"]), (-1, gone))
         return {
+            **({"total-proof": proof} if proof is not None else {}),
             "added-records": str(facts["rows"]),
             "added-data-files": str(facts["files"]),
             "added-bytes": str(facts["bytes"]),
@@ -347,9 +356,9 @@ class VersionedDataset:
             facts["measures"],
         )
 
-    def committed_token(self, token):
+    def committed_token(self, token, log=None):
         """Snapshot id of the commit that carries ``token``, or None."""
-        for row in self.commit_log().rows:
+        for row in (log or self.commit_log()).rows:
             if (row["summary"] or {}).get("token") == token:
                 return row["snapshot_id"]
         return None
@@ -370,7 +379,7 @@ class VersionedDataset:
         if definition is None and not log.rows:
             raise SnapshotNotFound(f"no dataset {self.name}")
         if token is not None and log.rows:
-            done = self.committed_token(token)
+            done = self.committed_token(token, log)
             if done is not None:
                 row = log.by_id[done]
                 facts = {
@@ -412,27 +421,22 @@ class VersionedDataset:
             return self.replace_all(df, at, codec)
         batch = log.next_batch
         facts = self._write(df, definition, batch, codec)
-        touched = (
-            self._scan(definition, (batch,))
-            .select(definition.partition_key().alias(_KEY))
-            .distinct()
+        touched = self._scan(definition, (batch,)).select(
+            definition.partition_key().alias(_KEY),
+            *[F.col(quoted(spec.directory)) for spec in definition.partition_by],
         )
-        touched.write.mode("overwrite").parquet(f"{self.path}/overwritten/{BATCH}={batch}")
-        deleted_files = deleted_records = 0
+        target = f"{self.path}/overwritten/{BATCH}={batch}"
+        touched.distinct().coalesce(1).write.mode("overwrite").parquet(target)
+        deleted_files, deleted_records, proof = 0, 0, NO_ROWS
         if log.current_id is not None:
-            view = log.view(log.current_id)
-            keys = self.spark.read.parquet(f"{self.path}/overwritten/{BATCH}={batch}")
-            by_file = (
-                self._visible(definition, view.batches, view.overwrites)
-                .groupBy(F.col("_metadata.file_path"), definition.partition_key().alias(_KEY))
-                .agg(F.count(F.lit(1)).alias("n"))
-            )
-            gone = (
-                by_file.join(keys, _KEY, "left_semi")
-                .agg(F.count(F.lit(1)).alias("files"), F.sum("n").alias("rows"))
-                .first()
-            )
-            deleted_files, deleted_records = gone["files"], gone["rows"] or 0
+            replaced = self._replaced(definition, log.view(log.current_id), target)
+            columns = {stored: stored for _, stored, _ in definition.columns}
+            gone = replaced.agg(
+                F.count_distinct("_file").alias("files"),
+                F.count(F.lit(1)).alias("rows"),
+                content_proof(replaced, columns).alias("proof"),
+            ).first()
+            deleted_files, deleted_records, proof = gone["files"], gone["rows"], gone["proof"]
         made = self._commit(
             log,
             "overwrite",
@@ -441,11 +445,31 @@ class VersionedDataset:
             batch,
             table=definition.to_json(),
             summary=self._summary(
-                log, facts, {"codec": codec}, deleted_files, deleted_records
+                log, facts, {"codec": codec}, deleted_files, deleted_records, gone=proof
             ),
         )
         return self._result(made, batch, facts, codec)
 
+    def _replaced(self, definition, view, touched):
+        """Visible rows in the touched partitions; only the folders of these are read.
+
+        Partitions meet by their values, by which Spark prunes folders while it runs. Those with a
+        null in their values are looked up among the folders for null.
+        """
+        folders = [spec.directory for spec in definition.partition_by]
+        keys = self.spark.read.parquet(touched)
+        visible = self._visible(definition, view.batches, view.overwrites)
+        visible = visible.withColumn("_file", F.col("_metadata.file_path"))
+        null = F.lit(False)
+        for name in folders:
+            null |= F.col(quoted(name)).isNull()
+        # A side with a comparison, as Spark prunes only by one that it expects to be selective.
+        wanted = keys.where(~null & (F.col(_KEY) > "")).select(*[F.col(quoted(name)) for name in folders])
+        plain = visible.join(wanted, folders, "left_semi")
+        marked = visible.where(null).withColumn(_KEY, definition.partition_key())
+        with_null = marked.join(keys.where(null).select(_KEY), _KEY, "left_semi").drop(_KEY)
+        return plain.unionByName(with_null.select(*plain.columns))
+
     def replace_all(self, df, at=None, codec=CODEC):
         """New content for the whole dataset; old snapshots stay readable."""
         log = self.commit_log()
@@ -499,7 +523,7 @@ class VersionedDataset:
 
     def _scan(self, definition, batches):
         """Rows of some batches under stored names; only their folders are listed."""
-        paths = [f"{self.data_path}/{BATCH}={batch}" for batch in batches]
+        paths = [self.batch_path(batch) for batch in batches]
         schema = definition.stored_schema()
         if not paths:
             return self.spark.createDataFrame([], schema)
@@ -561,6 +585,13 @@ class VersionedDataset:
         """Row hashes of the current state; only that column is read."""
         return self.read().select(ROW_HASH)
 
+    def batch_path(self, batch):
+        return f"{self.data_path}/{BATCH}={batch}"
+
+    def rows_of(self, definition, batches, overwrites=()):
+        """Rows of some batches under stored names, with ``_batch_id``."""
+        return self._visible(definition, batches, overwrites)
+
     # --- snapshots --------------------------------------------------------------------
 
     def snapshots(self, limit=None):
@@ -591,6 +622,7 @@ class VersionedDataset:
                 "total-records": state["total-records"],
                 "total-data-files": state["total-data-files"],
                 "rollback-to": str(snapshot_id),
+                **({"total-proof": state["total-proof"]} if "total-proof" in state else {}),
             },
         )
 
@@ -706,20 +738,31 @@ class VersionedDataset:
         )
         return schema, self.snapshots(limit=5)
 
-    def verify(self):
-        """One row: rows and checksum read back, and what the log says they must be.
+    def verify(self, snapshot_id=None):
+        """One row: what is read back, what the log says it must be, and whether both agree.
 
-        Row counts always compare. The checksum of the log is that of one batch, so it
-        compares when the current state is a single batch.
+        The log carries the number of rows and an additive proof of their values from commit to
+        commit, with what was added and without what was replaced. ``is_intact`` compares both with
+        the rows of the files as they are now; it is null for states whose log has no proof. The
+        checksum is that of the row hashes.
         """
         log = self.commit_log()
-        row = log.by_id[self._current(log)]
-        read = self.read()
-        hashed = F.col(ROW_HASH) if ROW_HASH in read.columns else row_hash(read)
-        return read.select(hashed.alias("h")).agg(
-            F.count(F.lit(1)).alias("rows_read"),
-            content_checksum(F.col("h")).alias("checksum"),
-            F.lit(int(row["summary"]["total-records"])).cast("bigint").alias("rows_logged"),
+        row = log.snapshot(self._current(log) if snapshot_id is None else snapshot_id)
+        definition, view = TableDefinition.from_json(row["table"]), log.view(row["snapshot_id"])
+        stored = self._visible(definition, view.batches, view.overwrites)
+        named = self._named(stored, definition)
+        hashed = F.col(ROW_HASH) if ROW_HASH in definition.names else row_hash(
+            named.select(*[F.col(quoted(name)) for name in definition.names])
+        )
+        logged = int(row["summary"]["total-records"])
+        proof = row["summary"].get("total-proof")
+        rows = F.count(F.lit(1))
+        found = content_proof(named, {name: s for name, s, _ in definition.columns})
+        return named.agg(
+            rows.alias("rows_read"),
+            content_checksum(hashed).alias("checksum"),
+            F.lit(logged).cast("bigint").alias("rows_logged"),
+            ((rows == logged) & (found == F.lit(proof).cast("string"))).alias("is_intact"),
         )
 
 

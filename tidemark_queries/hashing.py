@@ -140,6 +140,36 @@ def drop_known_rows(spark, sf_dir):
     return dedup.drop_known(dedup.deduplicate(duplicated(spark, sf_dir)), known)
 
 
+@query(
+    "h6_drop_known_by_ledger",
+    f"""select *, {sql_hash(EVENTS)} as _sys_row_hash from events
+        where event_type <> 'click' and not (event_type = 'view' and user_id % 2 = 0)""",
+)
+def drop_known_by_ledger(spark, sf_dir):
+    """Rows that neither of two labels of a stored ledger holds; one label was added twice."""
+    hashed = dedup.with_row_hash(table(spark, sf_dir, "events"))
+    ledger = dedup.HashLedger(spark, fresh_dir(spark, "ledger"))
+    ledger.add(hashed.filter("event_type = 'click'"), "clicks")
+    ledger.add(hashed.filter("event_type in ('click', 'view') and user_id % 2 = 0"), "even")
+    ledger.add(hashed.filter("event_type in ('click', 'view') and user_id % 2 = 0"), "even")
+    return ledger.drop_known(hashed)
+
+
+@query(
+    "h7_ledger_folders",
+    f"""select substr(h, 1, 2) as prefix, count(*) as digests, min(h) as first_hash, max(h) as last_hash
+        from (select distinct {sql_hash(LINEITEM)} as h from {DUPLICATED}) group by 1""",
+)
+def ledger_folders(spark, sf_dir):
+    """Digests in each folder of a ledger of lineitem with repeated rows."""
+    ledger = dedup.HashLedger(spark, fresh_dir(spark, "ledger"))
+    ledger.add(dedup.with_row_hash(duplicated(spark, sf_dir)), "all")
+    hexed = F.lower(F.hex("digest"))
+    return ledger.digests().groupBy("prefix").agg(
+        F.count(F.lit(1)).alias("digests"), F.min(hexed).alias("first_hash"), F.max(hexed).alias("last_hash")
+    )
+
+
 @query(
     "h7_hash_ledger",
     f"""select count(distinct {sql_hash(EVENTS)}) as known_hashes,

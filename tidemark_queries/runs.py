@@ -12,7 +12,7 @@ from tidemark.plans.ingest import Ingest, step_audit
 from tidemark.plans.loading import load
 from tidemark.plans.versions import VersionedDataset
 from tidemark.operators.catalog import Catalog
-from tidemark.streaming.ingest import stream_into
+from tidemark.streaming.ingest import stream_distinct, stream_into
 from tidemark_queries.cleaning import HOLES, holes
 from tidemark_queries.registry import EVENTS, fresh_dir, query, sql_stored_hash, table
 
@@ -117,6 +117,17 @@ def incremental_run(spark, sf_dir):
     return VersionedDataset(spark, root, "click stream").read()
 
 
+@query("p4_incremental_run_by_ledger", INGESTED)
+def incremental_run_by_ledger(spark, sf_dir):
+    """Three runs whose known rows are partly in the ledger and partly only in the newest batch."""
+    root = fresh_dir(spark, "incremental")
+    n = table(spark, sf_dir, "events").filter("event_type = 'click'").count()
+    for i, where in enumerate(("event_type = 'click'", "event_type in ('click', 'view') and user_id = 7", "true")):
+        run = Ingest(root, "click stream", f"v{i}", at=AT, incremental=True, ledger_rows=max(n, 1))
+        run.run(spark, _written_twice(spark, sf_dir, where))
+    return VersionedDataset(spark, root, "click stream").read()
+
+
 @query(
     "p5_stream_ingest",
     f"""select event_id, ts, user_id, event_type, value, props,
@@ -139,10 +150,40 @@ def stream_ingest(spark, sf_dir):
     stream = (
         spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(source)
     )
-    stream_into(stream, dataset, fresh_dir(spark, "stream-state")).awaitTermination()
+    state = fresh_dir(spark, "stream-state")
+    stream_into(stream, dataset, state, ledger_rows=1).awaitTermination()
     return dataset.read()
 
 
+@query(
+    "p5_stream_distinct",
+    f"""select event_id, ts, user_id, event_type, value, props,
+               {sql_stored_hash(EVENTS)} as _sys_row_hash from events""",
+)
+def stream_of_distinct_rows(spark, sf_dir):
+    """Four micro-batches in order of time; each brings the rows of the one before once more.
+
+    Of these late copies some are within the delay and meet the state, the others are older than the
+    watermark. No row comes late for the first time.
+    """
+    events = table(spark, sf_dir, "events")
+    source = fresh_dir(spark, "stream-source")
+    seconds = F.col("ts").cast("timestamp").cast("double")
+    first, last = events.agg(F.min(seconds), F.max(seconds)).first()
+    part = F.least(F.floor((seconds - first) / ((last - first) / 4)), F.lit(3))
+    for number in range(4):
+        rows = events.filter(part.isin([number, number - 1]))
+        rows.coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    stream = stream.withColumn("at", F.col("ts").cast("timestamp"))
+    path = fresh_dir(spark, "stream-distinct")
+    delay = f"{int((last - first) / 8) + 1} seconds"
+    started = stream_distinct(stream, path, fresh_dir(spark, "stream-state"), "at", delay, EVENTS)
+    started.awaitTermination()
+    found = dedup.with_row_hash(spark.read.parquet(path).drop("_sys_row_hash"), EVENTS, framed=True)
+    return found.drop("at")
+
+
 @query(
     "p4_incremental_run_with_new_column",
     f"""select event_id, ts, user_id, event_type, value, props,

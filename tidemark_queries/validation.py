@@ -184,6 +184,60 @@ def max_value(spark, sf_dir):
     return _report(number_texts(spark, sf_dir), rules)
 
 
+@query(
+    "v11_allowed_values_of_a_table",
+    _sql(
+        "lineitem",
+        (
+            "l_partkey",
+            "allowed_values",
+            "error",
+            """count(*) filter (where l_partkey not in (
+                   select p_partkey from part where p_partkey % 3 > 0))""",
+        ),
+        (
+            "l_returnflag",
+            "allowed_values",
+            "error",
+            "count(*) filter (where l_returnflag not in (select substr(o_orderstatus, 1, 1) from orders))",
+        ),
+        ("l_linestatus", "allowed_values", "error", "count(*)"),
+        ("l_quantity", "min_value", "error", "count(*) filter (where l_quantity < 10)"),
+    ),
+)
+def allowed_values_of_a_table(spark, sf_dir):
+    """Lists as long as a table: keys of two thirds of the parts, texts, and numbers for a text."""
+    part = table(spark, sf_dir, "part").filter("p_partkey % 3 > 0").select("p_partkey")
+    allowed = {
+        "l_partkey": part.unionAll(part),
+        "l_returnflag": table(spark, sf_dir, "orders").select(F.substring("o_orderstatus", 1, 1)),
+        "l_linestatus": part,
+        "l_orderkey": table(spark, sf_dir, "orders").select("o_orderkey"),
+        "no_column": part,
+    }
+    rules = rules_from_dict({"columns": [{"name": "l_quantity", "min_value": 10}]})
+    report = V.validate(table(spark, sf_dir, "lineitem"), rules, allowed)
+    return report.select(F.coalesce("column", F.lit("-")).alias("column"), *REPORT[1:])
+
+
+@query(
+    "v18_split_rows_by_a_table",
+    """select l_orderkey, l_linenumber,
+              case when l_partkey in (select p_partkey from part where p_partkey % 3 > 0)
+                   then '' else 'l_partkey:allowed_values' end
+              || case when l_quantity < 10 then 'l_quantity:min_value' else '' end as reasons
+       from lineitem""",
+)
+def split_rows_by_a_table(spark, sf_dir):
+    allowed = {"l_partkey": table(spark, sf_dir, "part").filter("p_partkey % 3 > 0").select("p_partkey")}
+    rules = rules_from_dict({"columns": [{"name": "l_quantity", "min_value": 10}]})
+    good, bad = V.split_rows(table(spark, sf_dir, "lineitem"), rules, allowed)
+    keys = ["l_orderkey", "l_linenumber"]
+    return good.select(*keys, F.lit("").alias("reasons")).unionAll(
+        bad.select(*keys, F.concat_ws("", "_sys_reasons").alias("reasons"))
+    )
+
+
 @query(
     "v11_allowed_values",
     _sql(

@@ -10,6 +10,7 @@ from tidemark.operators import diff as D
 from tidemark.operators.catalog import Catalog
 from tidemark.plans import commits
 from tidemark.plans.loading import load, load_at_snapshot
+from tidemark.plans.statistics import StoredStatistics
 from tidemark.plans.versions import SchemaMismatch, VersionedDataset
 from tidemark.sources.manifest import checksum
 from tidemark_queries.registry import (
@@ -205,15 +206,104 @@ def table_information(spark, sf_dir):
     )
 
 
+@query(
+    "m3_get_version_of_catalog",
+    f"""select 'y' || y as version_tag,
+               (select count(*) from orders where {YEAR} = y) as added_rows,
+               (select count(*) from orders where {YEAR} between 1995 and y) as total_rows
+        from (values (1995), (1998), (2001)) t(y)""",
+)
+def get_version_of_catalog(spark, sf_dir):
+    """Versions that the catalog finds by dataset and tag."""
+    catalog = orders_by_year(spark, sf_dir)[2]
+    found = [catalog.get_version("orders by year", f"y{year}") for year in (1995, 1998, 2001)]
+    rows = [(row["version_tag"], row["added_rows"], row["total_rows"]) for row in found]
+    return spark.createDataFrame(rows, "version_tag string, added_rows bigint, total_rows bigint")
+
+
 @query(
     "t27_verify",
-    f"""select count(*) as rows_read, count(*) as rows_logged,
+    f"""select count(*) as rows_read, count(*) as rows_logged, true as is_intact,
                {sql_checksum(sql_hash(ORDERS))} as checksum from orders""",
 )
 def verify(spark, sf_dir):
     return orders_by_year(spark, sf_dir)[1].verify()
 
 
+@query(
+    "t27_verify_changed_file",
+    f"""with n as (select count(*) as rows from orders where {YEAR} in (1996, 1997))
+        select 'appended' as state, rows as rows_read, rows as rows_logged, true as is_intact from n
+        union all select 'overwritten', rows, rows, true from n
+        union all select 'one value changed', rows, rows, false from n
+        union all select 'one row lost', rows - 1, rows, false from n""",
+)
+def verify_changed_file(spark, sf_dir):
+    """A dataset is intact after appends and an overwrite, and not after a file was changed."""
+    orders = table(spark, sf_dir, "orders").filter(f"{YEAR} in (1996, 1997)")
+    dataset = VersionedDataset.create(
+        spark, fresh_dir(spark, "changed"), "orders", orders.schema, partition_by=["o_orderstatus"]
+    )
+    states = []
+
+    def verified(state):
+        # One row, kept as it is found now.
+        row = dataset.verify().select("rows_read", "rows_logged", "is_intact").first()
+        states.append((state, *row))
+
+    dataset.append(orders.filter(f"{YEAR} = 1996"))
+    dataset.append(orders.filter(f"{YEAR} = 1997"))
+    verified("appended")
+    written = dataset.overwrite_partitions(orders.filter("o_orderstatus = 'F'")).batch_id
+    verified("overwritten")
+    copy = fresh_dir(spark, "written")
+    dataset.rows_of(dataset.definition(), (written,)).drop("_batch_id").write.parquet(copy)
+    batch = spark.read.parquet(copy)
+    key = batch.agg(F.min("o_orderkey")).first()[0]
+    folder = f"{dataset.batch_path(written)}/o_orderstatus=F"
+    spoiled = F.when(F.col("o_orderkey") == key, "changed").otherwise(F.col("o_orderpriority"))
+    for state, rows in (
+        ("one value changed", batch.withColumn("o_orderpriority", spoiled)),
+        ("one row lost", batch.filter(F.col("o_orderkey") != key)),
+    ):
+        rows.drop("o_orderstatus").write.mode("overwrite").parquet(folder)
+        verified(state)
+    return spark.createDataFrame(
+        states, "state string, rows_read bigint, rows_logged bigint, is_intact boolean"
+    )
+
+
+def _year_delta(name, number):
+    return f"""select '{name}' as "column", 0.0::double as null_fraction_delta,
+                      round(b.m - a.m, 4) as mean_delta, round(b.s - a.s, 4) as std_delta,
+                      coalesce(abs(b.m - a.m) / greatest(abs(a.m), 1e-9) > 0.1, false) as is_significant
+               from (select avg({number}) as m, stddev_samp({number}) as s from orders
+                     where {YEAR} = 1995) a,
+                    (select avg({number}) as m, stddev_samp({number}) as s from orders
+                     where {YEAR} between 1995 and 1998) b"""
+
+
+@query(
+    "d14_snapshot_deltas",
+    " union all ".join(
+        [
+            *[_year_delta(n, n) for n in ("o_orderkey", "o_custkey", "o_totalprice")],
+            *[_year_delta(n, "cast(null as double)") for n in ("o_orderstatus", "o_orderpriority", "o_orderdate")],
+        ]
+    ),
+)
+def snapshot_deltas(spark, sf_dir):
+    """Deltas of all columns between two snapshots, from stored states of their batches."""
+    _, dataset, _ = orders_by_year(spark, sf_dir)
+    return StoredStatistics(dataset).deltas(1, 4).select(
+        "column",
+        F.abs("null_fraction_delta").alias("null_fraction_delta"),
+        F.round("mean_delta", 4).alias("mean_delta"),
+        F.round("std_delta", 4).alias("std_delta"),
+        "is_significant",
+    )
+
+
 @query(
     "d14_snapshot_diff",
     f"""select count(*) filter (where {YEAR} between 1998 and 1999) as rows_added,
