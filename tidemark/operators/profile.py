@@ -49,7 +49,7 @@ def _unique_counts(df, names):
         return {}
     pairs = F.array(
         *[
-            F.struct(F.lit(i).alias("i"), _comparable(df.schema[name]).alias("v"))
+            F.struct(F.lit(i).alias("i"), comparable(df.schema[name]).alias("v"))
             for i, name in enumerate(names)
         ]
     )
@@ -58,7 +58,7 @@ def _unique_counts(df, names):
     return {name: counts.get(i, 0) for i, name in enumerate(names)}
 
 
-def _comparable(field):
+def comparable(field):
     """Text that is equal for equal values: NaN is null, zero has no sign."""
     column = F.col(quoted(field.name))
     if isinstance(field.dataType, (T.FloatType, T.DoubleType)):

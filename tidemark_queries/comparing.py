@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from tidemark.operators import diff as D
+from tidemark.operators import frequent
 from tidemark.operators import profile as P
+from tidemark.operators import statistics as S
 from tidemark_queries.cleaning import TEXTS, number_texts
 from tidemark_queries.hashing import DUPLICATED, NULLED, duplicated, nulled
 from tidemark_queries.registry import LINEITEM, ORDERS, query, sql_hash, table
@@ -223,6 +225,61 @@ def unique_counts_of_many_values(spark, sf_dir):
     return P.profile(many).select("column", "unique_count")
 
 
+SKETCHED = ["l_orderkey", "l_partkey", "l_extendedprice", "l_shipdate", "l_returnflag"]
+
+
+@query(
+    "d7_united_unique_estimates",
+    _each(
+        SKETCHED,
+        lambda n: f"""count(*) as rows, count(distinct {n}) as unique_count,
+                      true as equals_direct, true as within_bound""",
+        "lineitem",
+    ),
+)
+def united_unique_estimates(spark, sf_dir):
+    """Sketches of the lines of each status and flag, united, against one sketch of all lines.
+
+    The bound is five standard errors; the exact counts stand beside the estimates.
+    """
+    lines = table(spark, sf_dir, "lineitem")
+    parts = lines.withColumn("part", F.concat("l_linestatus", "l_returnflag"))
+    united = S.profile_of(S.united(S.column_states(parts, SKETCHED, by=("part",))))
+    direct = S.profile_of(S.column_states(lines, SKETCHED)).select(
+        "column", F.col("unique_count").alias("direct")
+    )
+    exact = lines.agg(*[F.count_distinct(n).alias(n) for n in SKETCHED])
+    exact = exact.unpivot([], SKETCHED, "column", "exact")
+    error = F.abs(F.col("unique_count") - F.col("exact")) / F.col("exact")
+    return united.join(direct, "column").join(exact, "column").select(
+        "column",
+        "rows",
+        F.col("exact").alias("unique_count"),
+        (F.col("unique_count") == F.col("direct")).alias("equals_direct"),
+        (error <= 5 * 1.04 / 2 ** (S.REGISTERS / 2)).alias("within_bound"),
+    )
+
+
+@query(
+    "d8_united_numeric_profile",
+    _each(
+        ["l_orderkey", "l_quantity", "l_extendedprice", "l_discount", "l_linenumber"],
+        lambda n: f"""count(*) as rows, min({n})::double as min_value, max({n})::double as max_value,
+                      round(avg({n}), 4) as mean_value, round(stddev_samp({n}), 4) as std_value""",
+        "lineitem",
+    ),
+)
+def united_numeric_profile(spark, sf_dir):
+    """Counts, means and squared deviations of the lines of each ship date, united."""
+    names = ["l_orderkey", "l_quantity", "l_extendedprice", "l_discount", "l_linenumber", "l_returnflag"]
+    states = S.column_states(table(spark, sf_dir, "lineitem"), names, by=("l_shipdate",))
+    return S.profile_of(S.united(states)).where("is_numeric").select(
+        "column", "rows", "min_value", "max_value",
+        F.round("mean_value", 4).alias("mean_value"),
+        F.round("std_value", 4).alias("std_value"),
+    )
+
+
 @query(
     "d8_numeric_profile",
     _each(
@@ -288,6 +345,16 @@ def top_values(spark, sf_dir):
     return P.top_values(table(spark, sf_dir, "documents"))
 
 
+SPREAD = ["l_returnflag", "l_quantity", "l_shipdate", "l_partkey", "l_orderkey"]
+
+
+@query("d9_frequent_values", _top(SPREAD, f"(select {', '.join(f'{n}::varchar as {n}' for n in SPREAD)} from lineitem)"))
+def frequent_values(spark, sf_dir):
+    """Columns of few values, which summaries prove, and of many even ones, which they cannot."""
+    lines = table(spark, sf_dir, "lineitem")
+    return frequent.frequent_values(lines, SPREAD, tracked=200)
+
+
 @query("d9_top_values_lineitem", _top(["l_returnflag", "l_linestatus"], "lineitem"))
 def top_values_lineitem(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem")
