@@ -3,8 +3,10 @@
 import math
 import os
 import re
-from urllib.parse import urlparse
+from urllib.parse import unquote, urlparse
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +16,7 @@ from tidemark.functions.hashing import row_text
 from tidemark.functions.text import convertible_to_number, to_whole_number
 from tidemark.names import data_columns, quoted
 from tidemark.operators.cleaning import unique_names
+from tidemark.sources.quoted import inside_splits, may_hold_line_breaks, records
 
 # File endings and the format they stand for.
 SUFFIXES = {
@@ -37,11 +40,13 @@ def detect_format(path):
 
 def spark_path(path):
     """``s3://`` is spelled ``s3a://`` for the Hadoop file system; others stay."""
+    if isinstance(path, (list, tuple)):
+        return [spark_path(p) for p in path]
     return "s3a://" + path[5:] if path.startswith("s3://") else path
 
 
 def read_source(spark, path, source_format=None, schema=None, options=None):
-    """DataFrame of one source. ``options`` go to Spark's reader and override the defaults."""
+    """DataFrame of one source, or of several paths alike. ``options`` go to Spark's reader and override the defaults."""
     kind = source_format or detect_format(path)
     path, options = spark_path(path), dict(options or {})
     if kind == "csv":
@@ -111,13 +116,36 @@ def _values_in_line(line, options):
     """Number of values in a raw line: separators outside quotes, and one."""
     quote, escape = re.escape(options.get("quote", '"')), re.escape(options["escape"])
     escaped = "" if escape == quote else f"{escape}.|"
-    quoted_value = f"{quote}(?:{escaped}{quote}{quote}|[^{quote}{escape}])*{quote}"
+    # Unrolled, as Java keeps a stack frame for every turn of a choice.
+    plain = f"[^{quote}{escape}]*+"
+    quoted_value = f"{quote}{plain}(?:(?:{escaped}{quote}{quote}){plain})*+{quote}"
     bare = F.regexp_replace(line, F.lit(quoted_value), F.lit(""))
     separator = options.get("sep", options.get("delimiter", ","))
     without = F.replace(bare, F.lit(separator))
     return (F.length(bare) - F.length(without)) / len(separator) + 1
 
 
+def _raw_rows(spark, path, schema, options, settings):
+    """Rows of text by Spark's reader, or by its parser from records with line breaks in quotes."""
+    inside = None
+    multiline = options.get("multiLine", options.get("multiline", "false")).lower() == "true"
+    if not multiline and may_hold_line_breaks(spark, path, options):
+        inside = inside_splits(spark, path, options)
+    if inside is None:
+        return spark.read.options(**settings).schema(schema).csv(path)
+    found = records(spark, path, options, inside)
+    text = F.regexp_replace("text", "\r$", "")
+    if options["header"].lower() == "true":
+        # All files must have the header of the first, quoted or not.
+        bare = F.replace(text, F.lit(options.get("quote", '"')), F.lit(""))
+        head = found.where("first").select(bare.alias("text")).first()["text"]
+        other = F.raise_error(F.lit("files of one path have different headers")).cast("boolean")
+        found = found.where(F.when(F.col("first") & (bare != head), other).otherwise(~F.col("first")))
+    names = ", ".join(f"{quoted(field.name)} STRING" for field in schema.fields)
+    parsed = F.from_csv(text, names, {**settings, "header": "false", "multiLine": "true"})
+    return found.where(text != "").select(parsed.alias("r")).select("r.*")
+
+
 def _csv_texts(spark, path, names, options, keep_bad):
     """All values as text, missing ones null, lines with too many values left out.
 
@@ -136,7 +164,7 @@ def _csv_texts(spark, path, names, options, keep_bad):
         # Lines are checked whole, also when few columns are selected.
         "columnPruning": "false",
     }
-    raw = spark.read.options(**settings).schema(T.StructType(fields)).csv(path)
+    raw = _raw_rows(spark, path, T.StructType(fields), options, settings)
     null_texts = ["", options["nullValue"]] if "nullValue" in options else list(NULL_TEXTS)
     line = F.col(_BAD_LINE)
     # Spark reads the raw line only together with a value, even where a count needs none.
@@ -178,8 +206,8 @@ def read_csv(spark, path, schema=None, options=None):
     """Delimited text. Lines with too many values are left out, short ones end in nulls.
 
     Values may be quoted, with quotes in them written twice. Files of one path whose headers differ
-    are refused; read them as separate sources, which are joined by name. Line breaks within quotes
-    need the option ``multiLine``, with which Spark reads a file in one piece.
+    are refused; read them as separate sources, which are joined by name. Values may hold line breaks
+    within quotes; files are split over tasks all the same. A quote that is never closed is refused.
 
     Without a schema one further pass finds the types; dates stay text, as in pandas. With one,
     a value that does not fit its type is null.
@@ -243,8 +271,58 @@ def union_sources(frames):
 
 
 def read_many(spark, paths, source_format=None, options=None):
-    """Several sources as one frame."""
-    return union_sources([read_source(spark, p, source_format, options=options) for p in paths])
+    """Several sources as one frame.
+
+    Sources of one format and schema are read together: one reader, one inference and one scan for
+    each group, however many paths there are.
+    """
+    groups = {}
+    for path in paths:
+        groups.setdefault(source_format or detect_format(path), []).append(spark_path(path))
+    frames = []
+    for kind, members in groups.items():
+        frames += _read_group(spark, kind, members, dict(options or {}))
+    return union_sources(frames)
+
+
+def _read_group(spark, kind, paths, options):
+    """Frames of all sources of one format."""
+    if kind == "parquet":
+        try:
+            # Footers are read and united by tasks; columns that a file lacks are null.
+            return [spark.read.options(**{**options, "mergeSchema": "true"}).parquet(*paths)]
+        except (PySparkException, Py4JJavaError) as failed:
+            if "CANNOT_MERGE_SCHEMAS" not in str(failed):
+                raise
+            alike = {}
+            for path in paths:
+                schema = spark.read.options(**options).parquet(path).schema
+                alike.setdefault(schema.json(), (schema, []))[1].append(path)
+            return [
+                spark.read.options(**options).schema(schema).parquet(*members)
+                for schema, members in alike.values()
+            ]
+    if kind in ("csv", "tsv"):
+        options = {"sep": "\t", **options} if kind == "tsv" else options
+        return [read_csv(spark, members, None, options) for members in _by_header(spark, paths, options)]
+    return [read_source(spark, paths, kind, options=options)]
+
+
+def _by_header(spark, paths, options):
+    """Files in groups of one header line, found by one scan that keeps a line of each file."""
+    if _csv_options(options)["header"].lower() != "true":
+        return [paths]
+    lines = spark.read.text(paths).select(
+        "value",
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"),
+    )
+    first = lines.where("block = 0").groupBy("file").agg(F.min_by("value", "at").alias("header"))
+    groups = {}
+    for row in sorted(first.collect(), key=lambda r: r["file"]):
+        groups.setdefault(row["header"], []).append(unquote(row["file"]))
+    return list(groups.values())
 
 
 def sample_rows(df, n, key=None, seed=42):

@@ -128,6 +128,40 @@ def many_sources(spark, sf_dir):
     return readers.read_many(spark, paths).select("c_name", "s_name").fillna("-")
 
 
+@query(
+    "s9_many_files",
+    """select c_custkey, c_name, case when c_custkey % 3 = 1 then c_acctbal end as c_acctbal,
+              case when c_custkey % 3 = 2 then c_nationkey end as c_nationkey from customer""",
+)
+def many_files(spark, sf_dir):
+    """Sixty files of three schemas, two delimited ones and Parquet, given one by one."""
+    customer, base, paths = table(spark, sf_dir, "customer"), fresh_dir(spark, "many"), []
+    for i, more in enumerate(([], ["c_acctbal"], ["c_nationkey"])):
+        part = customer.filter(F.col("c_custkey") % 3 == i).select("c_custkey", "c_name", *more)
+        part = part.repartition(20, "c_custkey")
+        if i == 2:
+            part.write.parquet(f"{base}/2.parquet")
+        else:
+            part.write.option("header", True).csv(f"{base}/{i}.csv")
+        files = spark.read.format("binaryFile").load(f"{base}/{i}.{'parquet' if i == 2 else 'csv'}")
+        paths += [row["path"] for row in files.select("path").collect()]
+    return readers.read_many(spark, sorted(paths))
+
+
+@query(
+    "s2_csv_with_line_breaks",
+    """select doc_id, case when text not in ('', '#N/A', '#N/A N/A', '#NA', '-1.#IND', '-1.#QNAN',
+              '-NaN', '-nan', '1.#IND', '1.#QNAN', '<NA>', 'N/A', 'NA', 'NULL', 'NaN', 'None', 'n/a',
+              'nan', 'null') then text end as text, lang, n_chars from documents""",
+)
+def csv_with_line_breaks(spark, sf_dir):
+    """Texts with line breaks, quotes and separators through delimited files that many tasks read."""
+    path = fresh_dir(spark, "texts") + ".csv"
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars")
+    docs.coalesce(2).write.options(header=True, quoteAll=True, escape='"').csv(path)
+    return readers.read_source(spark, path)
+
+
 @query(
     "s10_sample",
     """select o_orderkey, o_custkey from orders
