@@ -75,11 +75,12 @@ def sql_stored_hash(columns):
 
 
 def sql_checksum(hash_column):
-    """Sum of the groups of 15 hex digits; DuckDB reads hex text with the prefix 0x."""
-    groups = " + ".join(
-        f"cast(('0x' || substr({hash_column}, {at}, 15)) as hugeint)" for at in range(1, 65, 15)
+    """Sums of the four groups of 16 hex digits; DuckDB reads hex text with the prefix 0x."""
+    groups = ", ".join(
+        f"cast(sum(cast(('0x' || substr({hash_column}, {at}, 16)) as hugeint)) as varchar)"
+        for at in range(1, 65, 16)
     )
-    return f"cast(sum({groups}) as varchar)"
+    return f"concat_ws('-', {groups})"
 
 
 LINEITEM = [
