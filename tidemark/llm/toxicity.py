@@ -231,7 +231,9 @@ def lessons(docs, labels):
             keys.append(signed(least))
         return {**{c: batch.column(c) for c in ("id", "text", "label")}, "near": np.concatenate(keys)}
 
-    labelled = docs.where("text IS NOT NULL").join(labels.where("label IN (0, 1)"), "id")
+    # Labels grow with the documents, so they are merged by id whatever their number is now.
+    known = labels.where("label IN (0, 1)").hint("merge")
+    labelled = docs.where("text IS NOT NULL").join(known, "id")
     labelled = labelled.select("id", "text", F.col("label").cast("int").alias("label"))
     labelled = labelled.mapInArrow(in_arrow(keyed), "id long, text string, label int, near long")
     first = F.struct(F.xxhash64("id", "text").alias("order"), "id", "text")
