@@ -71,17 +71,38 @@ def row_hash(df, columns=None, algorithm="sha256", framed=False):
     return _DIGESTS[algorithm](row_text(df, columns, framed))
 
 
+def checksum_numbers(hash_text):
+    """The four numbers of 64 bits that the digits of a hex hash are."""
+    groups = [F.substring(hash_text, at, 16) for at in range(1, 65, 16)]
+    return [F.conv(group, 16, 10).cast("decimal(20,0)") for group in groups]
+
+
+def proof_numbers(df, names):
+    """Two 64-bit hashes of a row with different seeds; ``names`` as for ``content_proof``."""
+    parts = []
+    for name in sorted(names, key=names.get):
+        column = F.col(quoted(name))
+        if _unhashable(df.schema[name].dataType):
+            column = F.to_json(column)
+        parts += [F.when(column.isNotNull(), F.lit(names[name])), column]
+    return [F.xxhash64(F.lit(seed), *parts).cast("decimal(20,0)") for seed in (1, 2)]
+
+
+def summed(numbers, separator):
+    """Aggregate: the sums of some numbers as one text.
+
+    An aggregate over columns that hold the numbers is cheaper than one that has to make them.
+    """
+    return F.concat_ws(separator, *[F.coalesce(F.sum(n), F.lit(0)).cast("string") for n in numbers])
+
+
 def content_checksum(hash_text):
     """Aggregate: order-free checksum of a set of rows from their hex hashes.
 
     The digits of a hash are four numbers of 64 bits, which are summed apart and joined as text, so
     that every digit counts by itself. 10**18 rows fit. Copies of a row count, their order does not.
     """
-    sums = []
-    for at in range(1, 65, 16):
-        number = F.conv(F.substring(hash_text, at, 16), 16, 10).cast("decimal(20,0)")
-        sums.append(F.coalesce(F.sum(number), F.lit(0)).cast("string"))
-    return F.concat_ws("-", *sums)
+    return summed(checksum_numbers(hash_text), "-")
 
 
 def content_proof(df, names):
@@ -91,14 +112,7 @@ def content_proof(df, names):
     hash alike before and after a column comes. Two sums of 64-bit row hashes with different seeds:
     equal sets always agree, and a changed, missing or additional row shows but for 1 in 2**128.
     """
-    parts = []
-    for name in sorted(names, key=names.get):
-        column = F.col(quoted(name))
-        if _unhashable(df.schema[name].dataType):
-            column = F.to_json(column)
-        parts += [F.when(column.isNotNull(), F.lit(names[name])), column]
-    sums = [F.sum(F.xxhash64(F.lit(seed), *parts).cast("decimal(20,0)")) for seed in (1, 2)]
-    return F.concat_ws(":", *[F.coalesce(s, F.lit(0)).cast("string") for s in sums])
+    return summed(proof_numbers(df, names), ":")
 
 
 def _unhashable(kind):
