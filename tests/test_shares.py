@@ -28,3 +28,20 @@ def test_figures_of_a_write_are_taken_in_all_tasks_of_the_input(spark, folder):
     assert dataset.verify().first()["is_intact"]
     assert dataset.verify().first()["checksum"] == written.checksum
     assert dataset.read().columns == ["id", "part"]
+
+
+# --- order within files ---------------------------------------------------------------
+
+
+def test_rows_of_a_file_meet_in_runs(spark, monkeypatch):
+    from tidemark_queries import versions
+
+    monkeypatch.setattr(versions, "RUN_ROWS", 3)
+    rows = [(f, p, 100 * p if (f, p) != ("a", 6) else 1) for f in "ab" for p in range(10)] + [("c", 0, None)]
+    placed = spark.createDataFrame(rows, "file string, place long, v long").repartition(4)
+    found = versions._with_row_before(placed, "v")
+    assert "_run" in plan(found)
+    before = {(r["place"], r["v"], r["before"]) for r in found.collect()}
+    wanted = {(p, 100 * p, 100 * (p - 1) if p else None) for p in range(10)}
+    wanted |= {(6, 1, 500), (7, 700, 1), (0, None, None)}
+    assert before == wanted and found.count() == len(rows)
