@@ -45,3 +45,19 @@ def test_rows_of_a_file_meet_in_runs(spark, monkeypatch):
     wanted = {(p, 100 * p, 100 * (p - 1) if p else None) for p in range(10)}
     wanted |= {(6, 1, 500), (7, 700, 1), (0, None, None)}
     assert before == wanted and found.count() == len(rows)
+
+
+# --- parts by size --------------------------------------------------------------------
+
+
+def test_rows_are_dealt_by_size(spark, folder):
+    from tidemark_queries.sources import content_checksum
+
+    spark.range(50).select((F.col("id") % 9).alias("l_orderkey"), F.lit(None).cast("string").alias("x")).write.parquet(
+        f"{folder}/lineitem.parquet"
+    )
+    found = content_checksum(spark, folder)
+    # A number of parts given in the code lets a part grow with the table.
+    text = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "RebalancePartitions" in text and "Repartition 5" not in text
+    assert found.first()["row_count"] == 50

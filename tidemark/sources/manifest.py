@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.hashing import content_checksum, row_hash
+from tidemark.functions.hashing import checksum_numbers, row_hash, summed
 from tidemark.operators.profile import schema_rows
 
 __all__ = ["checksum", "manifest", "schema_rows", "source_bytes"]
@@ -10,8 +10,11 @@ __all__ = ["checksum", "manifest", "schema_rows", "source_bytes"]
 
 def checksum(df, columns=None):
     """One row ``row_count, checksum``: order-free checksum of the content of a frame."""
-    return df.select(row_hash(df, columns).alias("h")).agg(
-        F.count(F.lit(1)).alias("row_count"), content_checksum(F.col("h")).alias("checksum")
+    hashed = df.select(row_hash(df, columns).alias("h"))
+    numbers = [number.alias(f"n{i}") for i, number in enumerate(checksum_numbers(F.col("h")))]
+    found = hashed.select(*numbers)
+    return found.agg(
+        F.count(F.lit(1)).alias("row_count"), summed(found.columns, "-").alias("checksum")
     )
 
 
