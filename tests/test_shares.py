@@ -61,3 +61,17 @@ def test_rows_are_dealt_by_size(spark, folder):
     text = found._jdf.queryExecution().optimizedPlan().toString()
     assert "RebalancePartitions" in text and "Repartition 5" not in text
     assert found.first()["row_count"] == 50
+
+
+def test_files_of_texts_grow_in_number(spark, folder, monkeypatch):
+    from tidemark_queries import sources
+
+    rows = [(i, f'line "{i}"\nnext, of {i}' * 20, "en", 9) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long")
+    docs.repartition(6).write.parquet(f"{folder}/documents.parquet")
+    monkeypatch.setattr(sources, "TEXT_FILE_BYTES", 1000, raising=False)
+    monkeypatch.setattr(sources, "fresh_dir", lambda spark, name: f"{folder}/{name}")
+    found = sources.csv_with_line_breaks(spark, folder)
+    assert {(r["doc_id"], r["text"]) for r in found.collect()} == {(i, text) for i, text, _, _ in rows}
+    files = spark.read.text(f"{folder}/texts.csv").select("_metadata.file_path").distinct().count()
+    assert files > 2

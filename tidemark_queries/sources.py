@@ -4,6 +4,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from tidemark.functions.files import path_bytes
 from tidemark.functions.typenames import schema_from_pairs
 from tidemark.operators import codecs
 from tidemark.operators.profile import profile
@@ -148,6 +149,10 @@ def many_files(spark, sf_dir):
     return readers.read_many(spark, sorted(paths))
 
 
+# Fixed value: bytes of documents that go into one file of text, so that one task writes no more.
+TEXT_FILE_BYTES = 128 * 1024 * 1024
+
+
 @query(
     "s2_csv_with_line_breaks",
     """select doc_id, case when text not in ('', '#N/A', '#N/A N/A', '#NA', '-1.#IND', '-1.#QNAN',
@@ -158,7 +163,9 @@ def csv_with_line_breaks(spark, sf_dir):
     """Texts with line breaks, quotes and separators through delimited files that many tasks read."""
     path = fresh_dir(spark, "texts") + ".csv"
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars")
-    docs.coalesce(2).write.options(header=True, quoteAll=True, escape='"').csv(path)
+    # Two files or more, each larger than what one task reads of it.
+    files = max(2, path_bytes(spark, f"{sf_dir}/documents.parquet") // TEXT_FILE_BYTES)
+    docs.coalesce(files).write.options(header=True, quoteAll=True, escape='"').csv(path)
     return readers.read_source(spark, path)
 
 
