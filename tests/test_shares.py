@@ -75,3 +75,35 @@ def test_files_of_texts_grow_in_number(spark, folder, monkeypatch):
     assert {(r["doc_id"], r["text"]) for r in found.collect()} == {(i, text) for i, text, _, _ in rows}
     files = spark.read.text(f"{folder}/texts.csv").select("_metadata.file_path").distinct().count()
     assert files > 2
+
+
+# --- rows that are known --------------------------------------------------------------
+
+
+def test_hashes_move_as_digests(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = dedup.with_row_hash(spark.range(20).select("id", F.col("id").cast("string").alias("s")))
+        odd = spark.createDataFrame([(50, "x", "ABCD"), (51, "y", None), (52, "z", "no hex"), (53, "w", "abcd")], rows.schema)
+        rows = rows.unionByName(odd)
+        known = rows.where("id < 5 or id = 53")
+        for large in (False, True):
+            left = dedup.drop_known(rows, known, large_ledger=large)
+            # Digests meet, however their text is written; what stays has its own text.
+            wanted = {r for r in map(tuple, rows.collect()) if r[0] >= 5 and r[0] not in (50, 53)}
+            assert set(map(tuple, left.collect())) == wanted and left.columns == rows.columns
+        text = plan(dedup.drop_known(rows, known))
+        assert text.index("lower(hex(_digest") < text.index("LeftAnti")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_ledger_makes_hashes_once_for_each_row_that_reads_it(spark, folder):
+    rows = spark.range(20).select((F.col("id") % 7).cast("string").alias("s"))
+    ledger = dedup.HashLedger(spark, f"{folder}/ledger")
+    ledger.add(dedup.with_row_hash(rows.where("s = '3'"), framed=True), "a")
+    left = ledger.drop_known(dedup.deduplicate(rows, framed=True))
+    assert {r["s"] for r in left.collect()} == set("012456")
+    # No filter on the hash below the aggregate, where every row would be hashed for it.
+    text = left._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in text.splitlines() if "Filter" in line and "sha2(" in line]

@@ -186,16 +186,29 @@ def drop_known(df, known, large_ledger=False):
     batch. The batch is read twice for it, or once where it comes out of a shuffle that Spark
     uses again. ``HashLedger.drop_known`` also leaves out the folders that the batch cannot hold.
     """
-    rows = df.withColumn(_DIGEST, F.unhex(ROW_HASH))
     known = known.select(F.unhex(ROW_HASH).alias(_DIGEST))
     if large_ledger:
-        known = known.join(key_set(rows, _DIGEST), _DIGEST, "left_semi")
-    return _without(rows, known).select(*[F.col(quoted(name)) for name in df.columns])
+        digests = df.select(_digest_or_empty().alias(_DIGEST))
+        known = known.join(key_set(digests, _DIGEST), _DIGEST, "left_semi")
+    return _without(df, known)
 
 
-def _without(rows, known):
-    """Rows whose digest is not among the known ones; rows without a hash are not known."""
-    return rows.join(key_set(known, _DIGEST), _DIGEST, "left_anti")
+def _digest_or_empty():
+    return F.coalesce(F.unhex(ROW_HASH), F.lit(bytearray()))
+
+
+def _without(df, known):
+    """Rows whose digest is not among the known ones; rows without a hash are not known.
+
+    The hex text of a hash is twice its digest and is written anew after the join; only a text that
+    is not that of its digest travels with the row.
+    """
+    digest = F.unhex(ROW_HASH)
+    other = F.when(~F.col(ROW_HASH).eqNullSafe(F.lower(F.hex(digest))), F.col(ROW_HASH))
+    rows = df.withColumns({_DIGEST: digest, ROW_HASH: other})
+    left = rows.join(key_set(known, _DIGEST), _DIGEST, "left_anti")
+    text = F.coalesce(F.col(ROW_HASH), F.lower(F.hex(_DIGEST)))
+    return left.withColumn(ROW_HASH, text).select(*[F.col(quoted(name)) for name in df.columns])
 
 
 def drop_duplicates_native(df, subset=None):
@@ -280,18 +293,19 @@ class HashLedger:
         the ledger first: where they can be broadcast, Spark prunes the folders by them while the
         query runs; a batch beyond that is joined by shuffles. What goes on is no larger than ``df``.
         """
-        rows = df.withColumn(_DIGEST, F.unhex(ROW_HASH))
-        wanted = rows.select(
-            F.lower(F.substring(ROW_HASH, 1, 2)).alias("prefix"), F.col(_DIGEST).alias("digest")
-        ).distinct()
+        # Filters on the hash, also those for null that a join brings, would go down to the rows as they
+        # are read, and all that makes the hash would be done there once more for every row. So neither
+        # column is null; rows without a hash look up an empty one and are not known all the same.
+        prefix = F.coalesce(F.lower(F.substring(ROW_HASH, 1, 2)), F.lit(""))
+        wanted = df.groupBy(prefix.alias("prefix"), _digest_or_empty().alias("digest"))
         # Spark prunes partitions only by a side that it expects to be selective, so one with a filter.
-        wanted = wanted.where(F.col("prefix") >= "")
+        wanted = wanted.agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 0").drop("_rows")
         met = [
             frame.join(wanted, ["prefix", "digest"], "left_semi").select(F.col("digest").alias(_DIGEST))
             for frame in known or [self.digests()]
         ]
         met = reduce(lambda a, b: a.unionAll(b), met)
-        return _without(rows, met).select(*[F.col(quoted(name)) for name in df.columns])
+        return _without(df, met)
 
     def count(self):
         return self.digests().select("digest").distinct().count()
