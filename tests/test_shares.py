@@ -107,3 +107,17 @@ def test_a_ledger_makes_hashes_once_for_each_row_that_reads_it(spark, folder):
     # No filter on the hash below the aggregate, where every row would be hashed for it.
     text = left._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in text.splitlines() if "Filter" in line and "sha2(" in line]
+
+
+# --- values in Python -----------------------------------------------------------------
+
+
+def test_normal_forms_hold_few_values_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(T, "VALUES_AT_ONCE", 7, raising=False)
+    held = "é" * 3
+    rows = [(i, None if i % 5 == 0 else f"{held}{i}" if i % 2 else f"plain {i}") for i in range(100)]
+    df = spark.createDataFrame(rows, "i int, s string").coalesce(1)
+    found = {r["i"]: r["n"] for r in df.select("i", T.normalized_text([F.col("s")])[0].alias("n")).collect()}
+    assert found == {i: s if s is None else unicodedata.normalize("NFC", s) for i, s in rows}
+    # One Arrow batch is made in runs of few values, not as objects all at once.
+    assert not hasattr(T, "pd") and "VALUES_AT_ONCE" in vars(T)

@@ -1,9 +1,8 @@
 """Text helpers: strip, number recognition, Unicode normal forms."""
 
 import unicodedata
-from functools import partial
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,11 +48,24 @@ def to_whole_number(column):
     return F.when(column.rlike(INTEGRAL), column.try_cast("bigint"))
 
 
+# Fixed value: values that are Python objects at a time.
+VALUES_AT_ONCE = 500
+
+
 def _normal_form_udf(form):
     # Nested so that the function travels by value and workers need no package install.
-    @F.pandas_udf(T.StringType())
-    def normalize(values: pd.Series) -> pd.Series:
-        return values.map(partial(unicodedata.normalize, form), na_action="ignore")
+    at_once = VALUES_AT_ONCE
+
+    @F.arrow_udf(T.StringType())
+    def normalize(values: pa.Array) -> pa.Array:
+        parts = [
+            pa.array(
+                [v if v is None else unicodedata.normalize(form, v) for v in values.slice(lo, at_once).to_pylist()],
+                values.type,
+            )
+            for lo in range(0, len(values), at_once)
+        ]
+        return pa.concat_arrays(parts) if parts else values
 
     return normalize
 
