@@ -20,7 +20,6 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tidemark.llm.quality_crf import sample_ids, sampled_texts
-from tidemark.llm.shared import in_arrow
 from tidemark.llm.words import slices
 
 #: N-grams numbered in a table up to this many possible ones, and else found by bisection.
@@ -187,17 +186,19 @@ def predict(docs, model, text_column="text"):
     )
     kind = rows.schema["row"].dataType.simpleString()
 
-    def run(batch):
-        langs, scores = [], []
-        for part in slices(batch):
-            texts = part.column("text").to_pylist()
-            for lo in range(0, len(texts), ROWS_AT_ONCE):
-                found, score = model.predict(texts[lo : lo + ROWS_AT_ONCE])
-                langs.extend(found)
-                scores.append(score)
-        return {
-            "row": batch.column("row"), "text": batch.column("text"),
-            "lang_pred": pa.array(langs, pa.string()), "score": pa.array(np.concatenate(scores), pa.float64()),
-        }
-
-    return rows.mapInArrow(in_arrow(run), f"row {kind}, text string, lang_pred string, score double")
+    def run(batches):
+        for batch in batches:
+            # Passed on slice by slice, so that Spark holds no second copy of a batch's texts.
+            for part in slices(batch):
+                texts = part.column("text").to_pylist()
+                langs, scores = [], []
+                for lo in range(0, len(texts), ROWS_AT_ONCE):
+                    found, score = model.predict(texts[lo : lo + ROWS_AT_ONCE])
+                    langs.extend(found)
+                    scores.append(score)
+                yield pa.RecordBatch.from_pydict({
+                    "row": part.column("row"), "text": part.column("text"),
+                    "lang_pred": pa.array(langs, pa.string()), "score": pa.array(np.concatenate(scores), pa.float64()),
+                })
+
+    return rows.mapInArrow(run, f"row {kind}, text string, lang_pred string, score double")

@@ -1,10 +1,10 @@
 """Token ids of whole texts, and files that hold ids in the fewest bits of the vocabulary.
 
 Encoding. A tokenizer's text is cut into pieces at places where its own pattern always cuts: before
-white space that follows a solid character, and between a letter or digit and punctuation. Every
-different piece is encoded once per worker by the tokenizers library and remembered, up to a
-bounded number. Rows that hold a special token's text are encoded whole. The ids are those of the
-whole text.
+white space that follows a solid character, and between a letter or digit and punctuation. The
+tokenizers library encodes each different piece of a slice; a worker remembers those that it met
+in an earlier slice too, up to a bounded number, as most pieces come once. Rows that hold a special
+token's text are encoded whole. The ids are those of the whole text.
 
 Files. Each file has blocks of ``BLOCK_IDS`` ids packed at a fixed width, then a footer with the
 rows (id, first token) and the byte offset of every block, then a trailer of fixed size. A reader
@@ -29,7 +29,12 @@ from tidemark.llm.words import column_bytes, slices
 BLOCK_IDS = 1 << 14
 MAGIC = b"IDBITS01"
 TRAILER = struct.Struct("<8sQQ")
-MEMO_PIECES = 1_500_000
+MEMO_PIECES = 600_000
+#: Pieces of one call of the tokenizers library, whose results take about 1 KB each.
+PIECES_AT_ONCE = 4_000
+ENCODED_BYTES = 1 << 20
+#: Marks of pieces met before, by hash; two pieces with one mark are remembered a slice sooner.
+MARKS = 1 << 22
 
 _ASCII_SPACE = np.zeros(256, bool)
 _ASCII_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -91,7 +96,7 @@ class Encoder:
         self._forget()
 
     def _forget(self):
-        self.known, self.n = {}, 0
+        self.known, self.n, self.met = {}, 0, bytearray(MARKS)
         self.begin, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.pool, self.used = np.zeros(1 << 18, np.uint32), 0
 
@@ -101,8 +106,8 @@ class Encoder:
         return np.concatenate([array, np.zeros(max(n - len(array), len(array)), array.dtype)])
 
     def _learn(self, pieces):
-        for lo in range(0, len(pieces), 20_000):
-            texts = [piece.decode() for piece in pieces[lo : lo + 20_000]]
+        for lo in range(0, len(pieces), PIECES_AT_ONCE):
+            texts = [piece.decode() for piece in pieces[lo : lo + PIECES_AT_ONCE]]
             found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
             sizes = np.fromiter(map(len, found), np.int64, len(found))
             flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum()))
@@ -112,10 +117,16 @@ class Encoder:
             self.begin[self.n : n] = self.used + np.cumsum(sizes) - sizes
             self.size[self.n : n] = sizes
             self.pool[self.used : used] = flat
-            for number, piece in enumerate(pieces[lo : lo + 20_000], self.n):
+            for number, piece in enumerate(pieces[lo : lo + PIECES_AT_ONCE], self.n):
                 self.known[piece] = number
             self.n, self.used = n, used
 
+    def _met(self, piece):
+        """Whether the piece came in an earlier slice; marks it."""
+        at = hash(piece) % MARKS
+        met, self.met[at] = self.met[at], 1
+        return met
+
     def encode(self, column):
         """Ids of all rows in one array, and the number of ids of each row; null is empty."""
         data, offsets = column_bytes(column)
@@ -142,7 +153,13 @@ class Encoder:
         distinct = coded.dictionary.to_pylist()
         if self.n + len(distinct) > MEMO_PIECES:
             self._forget()
-        self._learn([piece for piece in distinct if piece not in self.known])
+        again, once = [], []
+        for piece in distinct:
+            if piece not in self.known:
+                (again if self._met(piece) else once).append(piece)
+        self._learn(again)
+        kept = self.n, self.used
+        self._learn(once)
         number = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
         number = number[coded.indices.to_numpy()]
         sizes = self.size[number]
@@ -151,6 +168,9 @@ class Encoder:
             np.repeat(self.begin[number] - ends + sizes, sizes)
             + np.arange(ends[-1] if len(ends) else 0)
         ]
+        for piece in once:
+            del self.known[piece]
+        self.n, self.used = kept
         counts = np.bincount(row[wanted], weights=sizes, minlength=rows).astype(np.int64)
         return (ids, counts) if not whole.any() else self._with_whole(column, whole, ids, counts)
 
@@ -176,7 +196,7 @@ def encoder(path):
 def encoded_rows(batch, path, end_id):
     """For each slice of a batch: the slice, all ids with ``end_id`` after each row, row sizes."""
     coder = encoder(path)
-    for part in slices(batch, limit=1 << 23):
+    for part in slices(batch, limit=ENCODED_BYTES):
         ids, counts = coder.encode(part.column("text"))
         ends = np.cumsum(counts + 1)
         out = np.full(int(ends[-1]), end_id, np.uint32)
