@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import in_arrow, stored
+from tidemark.llm.shared import stored
 from tidemark.llm.words import Words, mix, signed, slices
 
 _HUGE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -62,9 +62,13 @@ def _first_level(size, window):
                 at, hashes = chosen(words, size, window)
                 row = np.repeat(np.arange(len(keys)), words.counts)[at]
                 at, row = at[fresh[row]], row[fresh[row]]
-                yield pa.RecordBatch.from_arrays(
-                    [signed(hashes[at]), keys[row]], schema=schema
-                )
+                # A window that a text repeats is one row: only sets of hashes are asked for.
+                found = signed(hashes[at])
+                order = np.lexsort((found, row))
+                found, row = found[order], row[order]
+                first = np.ones(len(found), bool)
+                first[1:] = (found[1:] != found[:-1]) | (row[1:] != row[:-1])
+                yield pa.RecordBatch.from_arrays([found[first], keys[row[first]]], schema=schema)
 
     return run
 
@@ -73,32 +77,31 @@ def _next_level(size, window):
     """Hashes of the full windows around marked short ones, with the document they stand in."""
     schema = pa.schema([("hash", pa.int64()), ("more", pa.int32()), ("doc", pa.int64())])
 
-    def run(batch):
-        own = pc.equal(batch.column("doc"), batch.column("first")).fill_null(False)
-        batch = batch.filter(pc.and_(own, pc.is_valid(batch.column("marks"))))
-        parts = []
-        for part in slices(batch):
-            words = Words(part.column("text"))
-            marks, row = _listed(part.column("marks"))
-            short, at = words.windows(size)
-            hit = np.zeros(len(words.starts) + 1, np.int64)
-            hit[at + 1] = np.isin(_in_row(short, words.row_of(at)), _in_row(marks, row))
-            held = np.cumsum(hit)
-            n = len(words.starts)
-            room = np.repeat(words.first[1:], words.counts) - np.arange(n)
-            begin = np.flatnonzero(room >= window)
-            begin = begin[held[begin + window - size + 1] > held[begin]]
-            full, more = words.hash_at(begin, window, 0), words.hash_at(begin, window, 1)
-            docs = part.column("first").to_numpy()[words.row_of(begin)]
-            found = np.unique(
-                np.rec.fromarrays([signed(full), more.astype(np.uint32).view(np.int32), docs])
-            )
-            parts.append([found["f0"], found["f1"], found["f2"]])
-        if parts:
-            return dict(zip(schema.names, map(np.concatenate, zip(*parts, strict=True)), strict=True))
-        return None
+    def run(batches):
+        for batch in batches:
+            own = pc.equal(batch.column("doc"), batch.column("first")).fill_null(False)
+            batch = batch.filter(pc.and_(own, pc.is_valid(batch.column("marks"))))
+            for part in slices(batch):
+                words = Words(part.column("text"))
+                marks, row = _listed(part.column("marks"))
+                short, at = words.windows(size)
+                hit = np.zeros(len(words.starts) + 1, np.int64)
+                hit[at + 1] = np.isin(_in_row(short, words.row_of(at)), _in_row(marks, row))
+                held = np.cumsum(hit)
+                n = len(words.starts)
+                room = np.repeat(words.first[1:], words.counts) - np.arange(n)
+                begin = np.flatnonzero(room >= window)
+                begin = begin[held[begin + window - size + 1] > held[begin]]
+                full, more = words.hash_at(begin, window, 0), words.hash_at(begin, window, 1)
+                docs = part.column("first").to_numpy()[words.row_of(begin)]
+                found = np.unique(
+                    np.rec.fromarrays([signed(full), more.astype(np.uint32).view(np.int32), docs])
+                )
+                # Passed on slice by slice: the windows of a whole batch can be many times its text.
+                columns = [np.ascontiguousarray(found[name]) for name in found.dtype.names]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return in_arrow(run, schema)
+    return run
 
 
 def _listed(column):
@@ -187,12 +190,15 @@ def remove_repeated(docs, window=13, id_column="doc_id", text_column="text", wit
     marks = anchors.join(shared, "hash").groupBy("key").agg(F.collect_set("hash").alias("marks"))
     texts = stored(texts.join(marks, "key", "left"), "texts")
 
+    # No id of a text is below its first one. Copies need no hashes, which would come once a copy.
+    first_row = F.col("doc") <= F.col("first")
     repeats = None
     while rest:
         longer = rest.pop(0)
-        windows = base.join(texts, ["key", "again"], "left").mapInArrow(
-            _next_level(size, longer), "hash long, more int, doc long"
-        )
+        joined = base.join(texts, ["key", "again"], "left")
+        joined = joined.withColumn("text", F.when(first_row, F.col("text")))
+        joined = joined.withColumn("marks", F.when(first_row, F.col("marks")))
+        windows = joined.mapInArrow(_next_level(size, longer), "hash long, more int, doc long")
         size = longer
         spread = windows.groupBy("hash", "more").agg(
             F.min("doc").alias("low"), F.max("doc").alias("high")
@@ -211,7 +217,7 @@ def remove_repeated(docs, window=13, id_column="doc_id", text_column="text", wit
         texts.select("key", "again", "first").join(repeats, "first", "left"),
         ["key", "again"],
         "left",
-    )
+    ).withColumn("repeats", F.when(first_row, F.col("repeats")))
     row = base.schema["row"].dataType.simpleString()
     result = f"row {row}, n_words long, n_removed long, kept_sha256 string"
     result += ", kept_text string" if with_text else ""
