@@ -1,10 +1,14 @@
 """What Python workers keep and pass on is bounded by slices of text, not by whole batches."""
 
+import tracemalloc
+
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pytest
 
-from tidemark.llm import language, tokens
+from tidemark.llm import language, near, packing, tokens
+from tidemark.llm.shared import TEXT_ROWS, text_batches
 from tidemark.llm.words import SLICE_BYTES
 
 
@@ -48,3 +52,69 @@ def test_languages_are_passed_on_by_slices(spark, monkeypatch):
     langs = [v for part in parts for v in part.column("lang_pred").to_pylist()]
     assert langs == ["en"] * 400 + ["und"] * 3
     assert [v["id"] for part in parts for v in part.column("row").to_pylist()] == list(range(len(texts)))
+
+
+def test_ngrams_are_numbered_by_bounded_runs_of_code_points(monkeypatch):
+    langs = [f"l{i}" for i in range(4)]
+    model = language.fit([f"{lang} the dog and the cat {lang} " * 3 for lang in langs * 3], langs * 3)
+    texts = [f"l{i % 4} dog x{i} cat " * 250 for i in range(256)] + ["", None, "a"]
+    points, row = language.code_points(texts)
+    model.presence(points, row, len(texts))
+    tracemalloc.start()
+    held = model.presence(points, row, len(texts))
+    peak = tracemalloc.get_traced_memory()[1] - held.base.nbytes
+    tracemalloc.stop()
+    assert len(points) > 800_000 and peak < 20 << 20
+    monkeypatch.setattr(language, "POINTS_AT_ONCE", len(points))
+    assert (held == model.presence(points, row, len(texts))).all()
+    # N-grams that lie across the runs are held too.
+    for size in (1, 2, 3, 7):
+        monkeypatch.setattr(language, "POINTS_AT_ONCE", size)
+        few = language.code_points(texts[-5:])
+        assert (model.presence(*few, 5) == held[-5:]).all()
+
+
+def test_near_copies_get_texts_by_small_batches(spark, monkeypatch):
+    inner = near._profiles
+
+    def bounded(batch):
+        assert batch.num_rows <= 1000
+        return inner(batch)
+
+    assert TEXT_ROWS <= 1000
+    monkeypatch.setattr(near, "_profiles", bounded)
+    docs = [(i, f"these are the words of text number {i // 2}") for i in range(2600)]
+    docs = spark.createDataFrame(pa.table({"doc_id": [d[0] for d in docs], "text": [d[1] for d in docs]}))
+    found = {r["doc_id"]: r["component_id"] for r in near.classes(docs.coalesce(1)).collect()}
+    assert found == {i: i // 2 * 2 for i in range(2600)}
+
+
+def test_the_batch_size_is_put_back(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = spark.conf.get(name, None)
+    try:
+        spark.conf.unset(name)
+        with pytest.raises(ZeroDivisionError), text_batches(spark):
+            assert spark.conf.get(name) == str(TEXT_ROWS)
+            1 / 0
+        assert spark.conf.get(name, None) is None
+        for given, within in (("7000", str(TEXT_ROWS)), ("7", "7"), ("0", str(TEXT_ROWS))):
+            spark.conf.set(name, given)
+            with text_batches(spark):
+                assert spark.conf.get(name) == within
+            assert spark.conf.get(name) == given
+    finally:
+        spark.conf.unset(name) if own is None else spark.conf.set(name, own)
+
+
+def test_the_plan_of_packing_starts_no_python_workers(spark, monkeypatch):
+    docs = spark.createDataFrame(pa.table({"doc_id": [1, 2, None], "text": ["a b c", None, "d " * 5000]}))
+    made = []
+    kind, plain = type(spark), type(spark).createDataFrame
+    monkeypatch.setattr(kind, "createDataFrame", lambda self, data, *a, **k: made.append(data) or plain(self, data, *a, **k))
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = packing.pack_documents(docs, path).collect()
+    assert sorted(r["length"] for r in rows if r["id"] is not None)[0] == 1 and len(rows) > 3
+    assert packing.pack_documents(docs.where("false"), path).collect() == []
+    # Spark passes lists through workers of their own kind, with a daemon that stays.
+    assert len(made) == 2 and all(isinstance(data, pa.Table) for data in made)

@@ -26,6 +26,8 @@ from tidemark.llm.words import slices
 TABLE_GRAMS = 1 << 22
 ORDERS = ((1, 0.3), (2, 0.7), (3, 1.0))
 ROWS_AT_ONCE = 256
+#: Code points whose n-grams are numbered at once; each takes some 100 bytes meanwhile.
+POINTS_AT_ONCE = 1 << 16
 
 _letter = []
 
@@ -101,9 +103,13 @@ class Classifier:
         return {k: v for k, v in self.__dict__.items() if k[0] != "_"}
 
     def presence(self, points, row, rows):
-        number, at = self._ready().grams(points, row)
+        alphabet = self._ready()
         held = np.zeros((rows, len(self.grams) + 1), np.float32)
-        held[at, self._columns(number)] = 1
+        for lo in range(0, len(points), POINTS_AT_ONCE):
+            # Up to the end of the longest n-gram that begins here; one met twice is held all the same.
+            here = slice(lo, lo + POINTS_AT_ONCE + len(ORDERS) - 1)
+            number, at = alphabet.grams(points[here], row[here])
+            held[at, self._columns(number)] = 1
         return held[:, :-1]
 
     def scores(self, texts):

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
 from tidemark.llm.linestats import in_row
-from tidemark.llm.shared import Steps, in_arrow, stored
+from tidemark.llm.shared import Steps, in_arrow, stored, text_batches
 from tidemark.llm.words import Words, mix, signed, slices
 
 SIZE = 5
@@ -554,18 +554,8 @@ def _searched(steps, known, met, sized, texts, best):
     return _links(steps, pairs_, texts)
 
 
-def classes(docs, id_column="doc_id", text_column="text"):
-    """``doc_id``, ``n_shingles`` and ``component_id``, the least id that links reach, of every row.
-
-    Texts are compared with A-Z lower-cased. With fewer words than a shingle the whole sequence is
-    the only one; null texts and texts without words have no shingles and no links. Rows without an
-    id have no component. Rows that share an id are one document in the components.
-    """
-    rows = docs.select(
-        F.col(id_column).cast("long").alias("doc"),
-        F.col(text_column).alias("text"),
-        F.xxhash64(text_column).alias("hash"),
-    )
+def _members(rows):
+    """Set and class of every row, and the least id of each class's component."""
     profile = stored(
         rows.mapInArrow(in_arrow(_profiles), "doc long, hash long, key long, again long, n long, low long"),
         "profiles",
@@ -584,6 +574,24 @@ def classes(docs, id_column="doc_id", text_column="text"):
     )
     least = roots.groupBy("root").agg(F.min("doc").alias("component_id"))
     component = stored(roots.join(least, "root").select("key", "component_id"), "components")
+    return profile, component
+
+
+def classes(docs, id_column="doc_id", text_column="text"):
+    """``doc_id``, ``n_shingles`` and ``component_id``, the least id that links reach, of every row.
+
+    Texts are compared with A-Z lower-cased. With fewer words than a shingle the whole sequence is
+    the only one; null texts and texts without words have no shingles and no links. Rows without an
+    id have no component. Rows that share an id are one document in the components.
+    """
+    rows = docs.select(
+        F.col(id_column).cast("long").alias("doc"),
+        F.col(text_column).alias("text"),
+        F.xxhash64(text_column).alias("hash"),
+    )
+    # All that passes texts through Python is stored here; the frame returned only joins.
+    with text_batches(docs.sparkSession):
+        profile, component = _members(rows)
     joined = profile.drop("low").join(component, "key", "left")
     own = F.when((F.col("n") > 0) & F.col("doc").isNotNull(), F.col("component_id"))
     return joined.select(

@@ -173,10 +173,11 @@ def pack_documents(
     counts = stored(counts, "piece_counts")
     # At most one row per possible length.
     totals = counts.groupBy("length").agg(F.sum("rows")).collect()
-    placed = docs.sparkSession.createDataFrame(
-        plan({length: n for length, n in totals}, capacity),
-        "length long, rank_from long, rank_to long, first long, each long, begin long",
-    )
+    rows = plan({length: n for length, n in totals}, capacity)
+    names = ("length", "rank_from", "rank_to", "first", "each", "begin")
+    # As an Arrow table, which Spark reads without further Python workers.
+    table = np.array(rows, np.int64).reshape(-1, len(names)).T
+    placed = docs.sparkSession.createDataFrame(pa.table({k: pa.array(v) for k, v in zip(names, table)}))
     ranked = pieces.join(counts.drop("rows"), ["length", "part"])
     ranked = ranked.withColumn("rank", F.col("place") + F.col("before"))
     # The plan's size depends on the capacity, not on the number of pieces.

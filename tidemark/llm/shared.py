@@ -2,6 +2,7 @@
 
 import itertools
 import uuid
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Window
@@ -9,6 +10,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.files import delete_path, shared_dir
 
+#: Rows of one Arrow batch that holds whole texts, for which Spark and a worker have a copy each.
+TEXT_ROWS = 1000
+_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 _numbers = itertools.count()
 
 
@@ -47,6 +52,23 @@ class Steps:
         self.drop(*[frame for frame, _ in list(self._paths.values())])
 
 
+@contextmanager
+def text_batches(spark, rows=TEXT_ROWS):
+    """What is stored meanwhile goes to Python by batches of at most ``rows`` rows; then as before."""
+    before = spark.conf.get(_ARROW_ROWS, None)
+    if before is not None and 0 < int(before) <= rows:
+        yield
+        return
+    spark.conf.set(_ARROW_ROWS, str(rows))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_ARROW_ROWS)
+        else:
+            spark.conf.set(_ARROW_ROWS, before)
+
+
 def in_arrow(function, schema=None):
     """A mapInArrow function from one that maps one record batch to a dict of columns, or None."""
 
