@@ -118,3 +118,44 @@ def test_the_plan_of_packing_starts_no_python_workers(spark, monkeypatch):
     assert packing.pack_documents(docs.where("false"), path).collect() == []
     # Spark passes lists through workers of their own kind, with a daemon that stays.
     assert len(made) == 2 and all(isinstance(data, pa.Table) for data in made)
+
+
+def test_remembered_pieces_are_no_python_objects():
+    coder = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    column = pa.array([" ".join(f"{i}é{j}" for j in range(500)) for i in range(60)])
+    held = [coder.encode(column)[0].tolist() for _ in range(3)]
+    assert held[0] == held[1] == held[2] and coder.n >= 30_000
+    state = vars(coder).values()
+    assert all(len(value) < 100 for value in state if isinstance(value, (dict, list, set, bytearray)))
+    assert sum(value.nbytes for value in state if isinstance(value, np.ndarray)) < 10 << 20
+    whole = coder.tokenizer.encode_batch(column.to_pylist(), add_special_tokens=False)
+    assert held[0] == [i for e in whole for i in e.ids]
+
+
+def test_pieces_with_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(tokens, "ranges_hash", lambda values, starts, ends, which: starts.astype(np.uint64) % 7)
+    texts = [f"some words {i % 5} and {'more ' * (i % 3)}text" for i in range(40)]
+    coder = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    found = [coder.encode(pa.array([text]))[0].tolist() for text in texts]
+    assert found == [coder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert 0 < coder.n == len(coder.known)
+
+
+@pytest.mark.parametrize("write", ["tokens", "packing"])
+def test_token_operators_get_texts_by_small_batches(spark, monkeypatch, write):
+    module, inner = (tokens, tokens.encoded_rows) if write == "tokens" else (packing, packing.encoded_rows)
+
+    def bounded(batch, path, end_id):
+        assert batch.num_rows <= 1000
+        return inner(batch, path, end_id)
+
+    monkeypatch.setattr(module, "encoded_rows", bounded)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = pa.table({"doc_id": list(range(2600)), "text": [f"text number {i}" for i in range(2600)]})
+    docs = spark.createDataFrame(docs).coalesce(1)
+    if write == "tokens":
+        uri = tokens.token_folder(spark)
+        made = tokens.read_tokens(tokens.write_tokens(docs, path, uri), uri)
+    else:
+        made = packing.pack_documents(docs, path)
+    assert made.select("id").distinct().count() == 2600

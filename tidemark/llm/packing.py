@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import stored
+from tidemark.llm.shared import stored, text_batches
 from tidemark.llm.tokens import encoded_rows
 
 
@@ -166,7 +166,8 @@ def pack_documents(
         _pieces(tokenizer, end_id, capacity.tokens),
         "id long, piece int, start long, length long, ids_crc32 long, part int, place long",
     )
-    pieces = stored(pieces, "pieces")
+    with text_batches(docs.sparkSession):
+        pieces = stored(pieces, "pieces")
     counts = pieces.groupBy("length", "part").agg(F.count("*").alias("rows"))
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("before", F.coalesce(F.sum("rows").over(earlier), F.lit(0)))

@@ -3,14 +3,16 @@
 Encoding. A tokenizer's text is cut into pieces at places where its own pattern always cuts: before
 white space that follows a solid character, and between a letter or digit and punctuation. The
 tokenizers library encodes each different piece of a slice; a worker remembers those that it met
-in an earlier slice too, up to a bounded number, as most pieces come once. Rows that hold a special
-token's text are encoded whole. The ids are those of the whole text.
+in an earlier slice too, up to a bounded number, as most pieces come once. They are found by hash
+and compared by bytes, all of a slice at once. Rows that hold a special token's text are encoded
+whole. The ids are those of the whole text.
 
 Files. Each file has blocks of ``BLOCK_IDS`` ids packed at a fixed width, then a footer with the
 rows (id, first token) and the byte offset of every block, then a trailer of fixed size. A reader
 finds any row's ids from the footer and unpacks only the blocks that hold them.
 """
 
+import itertools
 import json
 import os
 import struct
@@ -18,13 +20,14 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import fresh_path
-from tidemark.llm.words import column_bytes, slices
+from tidemark.llm.shared import fresh_path, text_batches
+from tidemark.llm.words import BYTE_KEYS, column_bytes, ranges_hash, slices
 
 BLOCK_IDS = 1 << 14
 MAGIC = b"IDBITS01"
@@ -96,35 +99,76 @@ class Encoder:
         self._forget()
 
     def _forget(self):
-        self.known, self.n, self.met = {}, 0, bytearray(MARKS)
+        self.n, self.used, self.met = 0, 0, np.zeros(MARKS, bool)
+        # Of each remembered piece, by number: where its ids begin and how many, where its bytes end.
         self.begin, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.pool, self.used = np.zeros(1 << 18, np.uint32), 0
+        self.ends, self.bytes = np.zeros((1 << 16) + 1, np.int64), np.zeros(1 << 19, np.uint8)
+        self.pool = np.zeros(1 << 18, np.uint32)
+        # The hashes in ascending order, and the number of the piece that has each.
+        self.hashes, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
     def _grown(self, array, n):
         if n <= len(array):
             return array
-        return np.concatenate([array, np.zeros(max(n - len(array), len(array)), array.dtype)])
-
-    def _learn(self, pieces):
+        return np.concatenate([array, np.zeros(max(n - len(array), len(array) // 2), array.dtype)])
+
+    def _pieces(self):
+        """The bytes of all remembered pieces, by number."""
+        buffers = [None, pa.py_buffer(self.ends), pa.py_buffer(self.bytes)]
+        return pa.Array.from_buffers(pa.large_binary(), self.n, buffers)
+
+    @property
+    def known(self):
+        """The remembered pieces with their numbers."""
+        return {piece: number for number, piece in enumerate(self._pieces().to_pylist())}
+
+    def _find(self, pieces, hashes):
+        """The number of the remembered piece with each hash, -1 if there is none; whether it is
+        the piece itself."""
+        if not self.n:
+            return np.full(len(hashes), -1), np.zeros(len(hashes), bool)
+        place = np.minimum(np.searchsorted(self.hashes, hashes), self.n - 1)
+        number = np.where(self.hashes[place] == hashes, self.numbers[place], -1)
+        same = number >= 0
+        at = np.flatnonzero(same)
+        equal = pc.equal(self._pieces().take(pa.array(number[at])), pieces.take(pa.array(at)))
+        same[at] = equal.to_numpy(zero_copy_only=False)
+        return number, same
+
+    def _encode(self, pieces):
+        """Put the ids of pieces into the pool after those in use; the number of ids of each."""
+        sizes, used = [np.zeros(0, np.int64)], self.used
         for lo in range(0, len(pieces), PIECES_AT_ONCE):
-            texts = [piece.decode() for piece in pieces[lo : lo + PIECES_AT_ONCE]]
+            texts = pieces.slice(lo, PIECES_AT_ONCE).cast(pa.large_string()).to_pylist()
             found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum()))
-            n, used = self.n + len(found), self.used + len(flat)
-            self.begin, self.size = self._grown(self.begin, n), self._grown(self.size, n)
-            self.pool = self._grown(self.pool, used)
-            self.begin[self.n : n] = self.used + np.cumsum(sizes) - sizes
-            self.size[self.n : n] = sizes
-            self.pool[self.used : used] = flat
-            for number, piece in enumerate(pieces[lo : lo + PIECES_AT_ONCE], self.n):
-                self.known[piece] = number
-            self.n, self.used = n, used
-
-    def _met(self, piece):
-        """Whether the piece came in an earlier slice; marks it."""
-        at = hash(piece) % MARKS
-        met, self.met[at] = self.met[at], 1
+            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+            n = int(sizes[-1].sum())
+            self.pool = self._grown(self.pool, used + n)
+            self.pool[used : used + n] = np.fromiter(itertools.chain.from_iterable(found), np.uint32, n)
+            used += n
+        return np.concatenate(sizes)
+
+    def _remember(self, pieces, hashes, sizes):
+        """Remember pieces whose ids come first in the pool after those in use."""
+        data, offsets = column_bytes(pieces)
+        n, at = self.n + len(sizes), self.ends[self.n]
+        self.begin, self.size = self._grown(self.begin, n), self._grown(self.size, n)
+        self.begin[self.n : n] = self.used + np.cumsum(sizes) - sizes
+        self.size[self.n : n] = sizes
+        self.ends, self.bytes = self._grown(self.ends, n + 1), self._grown(self.bytes, at + len(data))
+        self.ends[self.n + 1 : n + 1] = at + offsets[1:]
+        self.bytes[at : at + len(data)] = data
+        order = np.argsort(hashes)
+        place = np.searchsorted(self.hashes, hashes[order])
+        self.hashes = np.insert(self.hashes, place, hashes[order])
+        self.numbers = np.insert(self.numbers, place, self.n + order)
+        self.n, self.used = n, self.used + int(sizes.sum())
+
+    def _met(self, hashes):
+        """Whether pieces came in an earlier slice; marks them."""
+        at = (hashes % np.uint64(MARKS)).astype(np.int64)
+        met = self.met[at]
+        self.met[at] = True
         return met
 
     def encode(self, column):
@@ -150,27 +194,29 @@ class Encoder:
             pa.large_binary(), len(begin), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(raw)]
         ).filter(pa.array(wanted))
         coded = pieces.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
+        distinct = coded.dictionary
         if self.n + len(distinct) > MEMO_PIECES:
             self._forget()
-        again, once = [], []
-        for piece in distinct:
-            if piece not in self.known:
-                (again if self._met(piece) else once).append(piece)
-        self._learn(again)
-        kept = self.n, self.used
-        self._learn(once)
-        number = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
-        number = number[coded.indices.to_numpy()]
-        sizes = self.size[number]
+        data, ends = column_bytes(distinct)
+        hashes = ranges_hash(BYTE_KEYS[0][data], ends[:-1], ends[1:], 0)
+        number, known = self._find(distinct, hashes)
+        new = np.flatnonzero(~known)
+        # A piece whose hash another one has is not remembered, but encoded anew.
+        again = self._met(hashes[new]) & (number[new] < 0)
+        new = np.concatenate([new[again], new[~again]])
+        fresh = self._encode(distinct.take(pa.array(new)))
+        first, size = np.empty(len(distinct), np.int64), np.empty(len(distinct), np.int64)
+        first[known], size[known] = self.begin[number[known]], self.size[number[known]]
+        first[new], size[new] = self.used + np.cumsum(fresh) - fresh, fresh
+        n = np.count_nonzero(again)
+        if n:
+            self._remember(distinct.take(pa.array(new[:n])), hashes[new[:n]], fresh[:n])
+        code = coded.indices.to_numpy()
+        sizes = size[code]
         ends = np.cumsum(sizes)
         ids = self.pool[
-            np.repeat(self.begin[number] - ends + sizes, sizes)
-            + np.arange(ends[-1] if len(ends) else 0)
+            np.repeat(first[code] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
         ]
-        for piece in once:
-            del self.known[piece]
-        self.n, self.used = kept
         counts = np.bincount(row[wanted], weights=sizes, minlength=rows).astype(np.int64)
         return (ids, counts) if not whole.any() else self._with_whole(column, whole, ids, counts)
 
@@ -360,7 +406,8 @@ def write_tokens(docs, tokenizer, uri, end_id=0, id_column="doc_id", text_column
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     files = dealt.mapInArrow(run, "file string, n_rows long, n_ids long")
     index = f"{uri}/index.parquet"
-    files.write.parquet(index)
+    with text_batches(docs.sparkSession):
+        files.write.parquet(index)
     return docs.sparkSession.read.parquet(index)
 
 
