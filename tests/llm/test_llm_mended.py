@@ -165,6 +165,31 @@ def test_a_group_of_near_copies_of_near_copies(spark, monkeypatch):
     assert sorted(tuple(r) for r in near.classes(frame).collect()) == want
 
 
+def test_frequent_passages_make_no_large_cells(spark, monkeypatch):
+    """Texts that all share a passage, and most of their words with one other, meet only that one."""
+    def words(seed, n):
+        pick = random.Random(seed)
+        return [f"w{pick.randrange(10**9)}" for _ in range(n)]
+
+    rows = [
+        (i, " ".join([*words(1, 12), *words(1000 + i // 2, 200), *words(5000 + i, 80)])) for i in range(120)
+    ]
+    rows += [(200 + i, f"{rows[i][1]} tail") for i in range(0, 40, 4)]
+    largest, dealt = [], near._dealt
+
+    def watched(steps, cells):
+        found = dealt(steps, cells)
+        sizes = found.groupBy("pivot", "level", "i", "j").count().agg(F.max("count")).first()[0]
+        largest.append(sizes or 0)
+        return found
+
+    monkeypatch.setattr(near, "_dealt", watched)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted((r.doc_id, r.component_id) for r in near.classes(frame).collect())
+    assert found == [(i, i - 200 if i >= 200 else i) for i, _ in rows]
+    assert largest and max(largest) <= 6
+
+
 # --- 7 -------------------------------------------------------------------------------
 
 

@@ -10,14 +10,18 @@ are compared. Links are found in three steps; each is exact.
    together is the smaller side of no link, and most sets are.
 2. In every group, each class is compared with the group's least class. This ties together large
    groups of near copies with a number of comparisons that is linear in their size.
-3. Groups with the same least class are one cell: near copies share many shingles, and their groups
-   differ a little, but nearly all have the same least class, so a pair meets in few cells. Cells
-   that still hold several components, and a possible smaller side, are searched by a signature
-   tree: leaves are classes with a bitmap of their shingles, nodes hold the OR of the bitmaps below
-   and the range of sizes. Both sides of a pair of nodes are opened only if the largest possible
-   overlap suffices; pairs of nodes that lie in one component are closed. Large cells are cut by
-   size and dealt in parts. The search runs twice: first a class is compared only with the one that
-   may have the most in common with it, then with all that are still in other components.
+3. Of the shingles that a possible smaller side shares with other components, it must have so many
+   in common with a link that it may leave out all but a few: it asks only in the smallest groups
+   of them. As frequent shingles grow with the table, their groups are hardly ever asked.
+   Groups that are asked and have the same least class are one cell: near copies share many
+   shingles, and their groups differ a little, but nearly all have the same least class, so a pair
+   meets in few cells. Cells that hold several components are searched by a signature tree: leaves
+   are classes with a bitmap of their shingles, nodes hold the OR of the bitmaps below and the range
+   of sizes. Both sides of a pair of nodes are opened only if one of them asks and the largest
+   possible overlap suffices; pairs of nodes that lie in one component are closed. Cells are cut by
+   size, and large ones dealt in parts. The search runs twice: first a class is compared only with
+   the one that may have the most in common with it, then with all that are still in other
+   components.
 
 Candidates of steps 2 and 3 pass the bitmap bound and then the exact test on whole texts. As pairs
 within a component are closed, the links that are found are not all links, but join all classes
@@ -28,7 +32,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
@@ -116,9 +120,9 @@ class Leaf:
 
     items = None
 
-    def __init__(self, places, sizes, bits, components, sides, shared, needed, own):
+    def __init__(self, places, sizes, bits, components, sides, shared, needed, asks):
         self.places, self.sizes, self.components, self.sides = places, sizes, components, sides
-        self.shared, self.needed, self.own = shared, needed, own
+        self.shared, self.needed, self.asking, self.asks = shared, needed, asks, bool(asks.any())
         words = min(len(x) for x in bits)
         self.matrix = np.stack([fold(x, words) for x in bits])
         self.bits = np.bitwise_or.reduce(self.matrix, axis=0)
@@ -133,7 +137,7 @@ class Leaf:
 
 
 class Node:
-    """OR of the bitmaps below, range of sizes, least number of set bits, component if only one."""
+    """OR of the bitmaps below, range of sizes, least number of set bits, component if only one, whether any asks."""
 
     def __init__(self, items):
         words = min(len(x.bits) for x in items)
@@ -144,17 +148,21 @@ class Node:
         self.fewest = min(x.fewest for x in items) if same else 0
         found = {x.component for x in items}
         self.component = found.pop() if len(found) == 1 else None
+        self.asks = any(x.asks for x in items)
         self.items = items
 
 
-def tree(sizes, bits, components, sides, shared, needed, own):
-    """Nodes over leaves of classes in the order of their sizes; the largest component comes first."""
+def tree(sizes, bits, components, sides, shared, needed, asks):
+    """Nodes over leaves of classes in the order of their sizes.
+
+    Classes that ask come first, and among them and the others the largest component.
+    """
     common, held = np.unique(components, return_counts=True)
-    order = np.lexsort((sizes, components != common[held.argmax()]))
+    order = np.lexsort((sizes, components != common[held.argmax()], ~asks))
     level = []
     for lo in range(0, len(order), LEAF_ROWS):
         at = order[lo : lo + LEAF_ROWS]
-        columns = (x[at] for x in (components, sides, shared, needed, own))
+        columns = (x[at] for x in (components, sides, shared, needed, asks))
         level.append(Leaf(at, sizes[at], [bits[i] for i in at], *columns))
     while len(level) > 1:
         level = [Node(level[i : i + FANOUT]) for i in range(0, len(level), FANOUT)]
@@ -162,7 +170,9 @@ def tree(sizes, bits, components, sides, shared, needed, own):
 
 
 def _possible(a, b):
-    """Whether some pair below two nodes can be similar enough."""
+    """Whether some pair below two nodes can be similar enough, with a smaller side that asks."""
+    if not (a.asks or b.asks):
+        return False
     if a.component is not None and a.component == b.component:
         return False
     low, high = (a, b) if a.low <= b.low else (b, a)
@@ -192,8 +202,8 @@ def _compared(a, b):
     good &= np.minimum(a.shared[:, None], b.shared[None, :]) >= needed
     good &= a.components[:, None] != b.components[None, :]
     good &= (a.sides[:, None] != b.sides[None, :]) | (a.sides[:, None] < 0)
-    # Two rows of the next size class meet in its own cell.
-    good &= a.own[:, None] | b.own[None, :]
+    p, q = a.asking[:, None], b.asking[None, :]
+    good &= np.where(n < m, p, np.where(m < n, q, p | q))
     if a is b:
         good = np.triu(good, 1)
     i, j = np.nonzero(good)
@@ -219,7 +229,7 @@ def pairs(root):
                 (x, y)
                 for i, x in enumerate(a.items)
                 for y in a.items[i:]
-                if (x is y and x.component is None) or (x is not y and _possible(x, y))
+                if (x is y and x.component is None and x.asks) or (x is not y and _possible(x, y))
             )
         elif b.items is None or (a.items is not None and a.high >= b.high):
             stack.extend((x, b) for x in a.items if _possible(x, b))
@@ -330,7 +340,7 @@ def _bounded(batch):
     return {"a": kept.column("a"), "b": kept.column("b")}
 
 
-_MEMBERS = ("key", "n", "bits", "component", "side", "shared", "needed", "own")
+_MEMBERS = ("key", "n", "bits", "component", "side", "shared", "needed", "asks")
 
 
 def _cells(best):
@@ -415,53 +425,110 @@ def _level(n):
     return F.floor(F.log(n.cast("double")) / F.log(F.lit(100 / PERCENT + 1e-9))).cast("int")
 
 
-def _held(steps, rows):
-    """Rows in cells of a least class and a size class: those of the size class and of the next one.
+def _met(rows):
+    """Rows in cells of a least class and a size class: those of the size class and of the next one."""
+    own = rows.withColumn("asks", F.col("shared") >= F.col("needed"))
+    above = rows.withColumn("level", F.col("level") - 1).withColumn("asks", F.lit(False))
+    return own.union(above)
 
-    Only cells with several components and a possible smaller side of the class count, one of
-    those with the same rows, and in them only rows that share as much as the least demanding needs.
+
+def _held(steps, cells):
+    """Rows of cells with several components and a possible smaller side that asks.
+
+    Of those with the same rows one stays, and in it only rows that share as much as the least
+    demanding needs.
     """
-    own = rows.select("*", F.lit(True).alias("own"))
-    above = rows.withColumn("level", F.col("level") - 1).select("*", F.lit(False).alias("own"))
-    cells = own.union(above)
-    smaller = F.col("own") & (F.col("shared") >= F.col("needed"))
     sizes = cells.groupBy("pivot", "level").agg(
-        F.count("*").alias("rows"),
-        F.min(F.when(smaller, F.col("needed"))).alias("least"),
+        F.count("*").alias("rows"), F.count_if("asks").alias("asking"),
+        F.min(F.when(F.col("asks"), F.col("needed"))).alias("least"),
         F.min("component").alias("one"), F.max("component").alias("other"),
-        *[F.bit_xor(F.xxhash64("key", "own", F.lit(i))).alias(f"set{i}") for i in (0, 1)],
+        *[F.bit_xor(F.xxhash64("key", "asks", F.lit(i))).alias(f"set{i}") for i in (0, 1)],
     )
     sizes = sizes.where("least IS NOT NULL AND one < other")
     # Of cells with the same members one finds all pairs.
-    sizes = sizes.groupBy("level", "rows", "least", "set0", "set1").agg(
+    sizes = sizes.groupBy("level", "rows", "asking", "least", "set0", "set1").agg(
         F.min("pivot").alias("pivot")
     ).drop("set0", "set1")
     return cells.join(steps.store(sizes, "cells"), ["pivot", "level"]).where("shared >= least")
 
 
-def _dealt(steps, rows):
+def _asked(rows):
+    """The groups in which each possible smaller side asks: ``shingle``, ``level``, ``key``, ``pivot``.
+
+    Of the shingles that a set shares with other components, all but ``needed - 1`` are enough to meet
+    each link, so it asks in that many of the smallest groups. A set that may share no low shingle
+    with a link asks in all groups.
+    """
+    groups = rows.groupBy("shingle", "level").agg(
+        F.count("*").alias("rows"), F.max("possible").alias("possible"),
+        F.min("component").alias("one"), F.max("component").alias("other"),
+    )
+    # A set meets those of its size class and of the next one.
+    at = F.array(
+        F.struct("level", "possible"),
+        F.struct((F.col("level") - 1).alias("level"), F.lit(False).alias("possible")),
+    )
+    groups = groups.select("shingle", "rows", "one", "other", F.explode(at).alias("at"))
+    groups = groups.groupBy("shingle", F.col("at.level").alias("level")).agg(
+        F.sum("rows").alias("rows"), F.max("at.possible").alias("possible"),
+        F.min("one").alias("one"), F.max("other").alias("other"),
+    )
+    groups = groups.where("possible AND one < other").select("shingle", "level", "rows")
+    found = rows.where("possible AND (low OR needed <= 0)").join(groups, ["shingle", "level"])
+    of_set = Window.partitionBy("key")
+    found = found.withColumns({
+        "held": F.sum(F.col("low").cast("long")).over(of_set),
+        "place": F.row_number().over(of_set.orderBy("rows", "shingle")),
+    })
+    found = found.where("held >= needed AND (needed <= 0 OR place <= held - needed + 1)")
+    return found.select("shingle", "level", "key", "pivot")
+
+
+def _cell_rows(steps, shared, sized):
+    """Rows of the cells of groups that are asked, and which of them ask."""
+    own = sized.select("key", "level", "needed", "component", (F.col("shared") >= F.col("needed")).alias("possible"))
+    rows = steps.store(shared.join(own, "key"), "sized")
+    asked = steps.store(_asked(rows), "asked")
+    groups = asked.select("shingle", "level").distinct()
+    levels = F.explode(F.array("level", F.col("level") - 1)).alias("level")
+    met = rows.join(groups.select("shingle").distinct(), "shingle", "left_semi")
+    met = met.select("shingle", "pivot", "key", levels).join(groups, ["shingle", "level"], "left_semi")
+    cells = met.select("pivot", "level", "key", F.lit(False).alias("asks"))
+    cells = cells.union(asked.select("pivot", "level", "key", F.lit(True)))
+    cells = cells.groupBy("pivot", "level", "key").agg(F.max("asks").alias("asks"))
+    found = steps.store(
+        cells.join(sized.select("key", "n", "component", "shared", "needed"), "key"), "members"
+    )
+    steps.drop(rows, asked)
+    return found
+
+
+def _dealt(steps, cells):
     """The rows of all cells that may hold a link.
 
-    A cell of more than ``CELL_ROWS`` rows is dealt into parts by key, and every pair of parts has
-    a cell of its own, so that any two rows meet.
+    A cell of more than ``CELL_ROWS`` rows is dealt into parts by key, those that ask by themselves,
+    and every part of these has a cell with every part of all rows.
     """
-    cells = _held(steps, rows)
-    parts = F.ceil(F.col("rows") / CELL_ROWS).cast("int")
-    cells = cells.withColumn("parts", parts)
-    cells = cells.withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
-    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cells = _held(steps, cells)
+    parts = [F.ceil(F.col(c) / CELL_ROWS).cast("int") for c in ("asking", "rows")]
+    part = [F.pmod(F.xxhash64("key"), p).cast("int") for p in parts]
+
+    def place(i, j, side, asks):
+        return F.struct(
+            i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).alias("side"), asks.alias("asks")
+        )
+
+    whole = F.array(place(F.lit(0), F.lit(0), -1, F.col("asks")))
+    member = F.transform(F.sequence(F.lit(0), parts[0] - 1), lambda i: place(i, part[1], 1, F.lit(False)))
+    asking = F.transform(F.sequence(F.lit(0), parts[1] - 1), lambda j: place(part[0], j, 0, F.lit(True)))
+    places = F.when(F.col("rows") <= CELL_ROWS, whole).when(F.col("asks"), F.concat(member, asking)).otherwise(member)
     return cells.select(
-        "pivot", "level", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"),
-        "key", "n", "component", "shared", "needed", "own",
-        F.when(F.col("part") == F.col("other"), -1).otherwise(F.col("part")).alias("side"),
-    )
+        "pivot", "level", "key", "n", "component", "shared", "needed", F.inline(places)
+    )
 
 
 def _shared(steps, rows, clashes):
-    """Sent shingles that several classes have: ``shingle``, ``key``, ``low`` and the least key.
-
-    With the stored frame that they are read from.
-    """
+    """Sent shingles that several classes have: ``shingle``, ``key``, ``low`` and the least key."""
     frequent = _frequent(rows)
     prefix = rows.mapInArrow(_prefixes(frequent, clashes), "deal long, shingle long, key long, hot boolean, low boolean")
     # One dealing serves the count and the join, so both read all columns of it. Very frequent shingles are known to be shared:
@@ -475,12 +542,12 @@ def _shared(steps, rows, clashes):
     found = dealt.join(least, "deal").select("shingle", "key", "pivot", "hot", "low").distinct()
     found = steps.store(found, "shared")
     if not len(frequent):
-        return found.drop("hot"), found
+        return found.drop("hot")
     hot = found.where("hot").select("shingle", "key", "low")
     # At most FREQUENT_SHINGLES rows.
     pivots = F.broadcast(hot.groupBy("shingle").agg(F.min("key").alias("pivot")))
     cold = found.where("NOT hot").select("shingle", "key", "low", "pivot")
-    return cold.union(hot.join(pivots, "shingle").select("shingle", "key", "low", "pivot")), found
+    return cold.union(hot.join(pivots, "shingle").select("shingle", "key", "low", "pivot"))
 
 
 def _joined_bits(pairs, texts):
@@ -493,7 +560,7 @@ def _joined_bits(pairs, texts):
 def links(rows, sets, clashes=()):
     """Links ``a``, ``b`` between classes that join all classes that any links join."""
     steps = Steps()
-    shared, sent = _shared(steps, rows, np.array(clashes, np.int64).view(np.uint64))
+    shared = _shared(steps, rows, np.array(clashes, np.int64).view(np.uint64))
     counts = shared.groupBy("key").agg(F.count_if("low").alias("shared"))
     needed = least_shared(F.col("low"), F.col("n"))
     facts = steps.store(
@@ -504,12 +571,11 @@ def links(rows, sets, clashes=()):
     )
     # A class meets the others of its groups' least classes, its own included.
     met = steps.store(shared.select("pivot", "key").distinct(), "met")
-    steps.drop(sent)
 
     sized = facts.withColumn("level", _level(F.col("n")))
     alone = met.select("pivot", "key", F.col("key").alias("component")).join(sized, "key")
     # Only texts of sets that may have a link with another set of their cells, one of each class.
-    wanted = _held(steps, alone).select("key").distinct().join(sets.select("key", "n", "first"), "key")
+    wanted = _held(steps, _met(alone)).select("key").distinct().join(sets.select("key", "n", "first"), "key")
     wanted = wanted.select("key", "n", F.col("first.doc").alias("doc"), F.col("first.hash").alias("hash"))
     texts = rows.join(wanted, ["doc", "hash"]).groupBy("key", "n").agg(F.first("text").alias("text"))
     texts = texts.mapInArrow(in_arrow(_bitmaps), "key long, n long, text string, bits binary")
@@ -536,21 +602,23 @@ def links(rows, sets, clashes=()):
     # have a link; then all pairs that are left.
     found = [first]
     for best in (True, False):
-        found.append(_searched(steps, reduce(DataFrame.union, found), met, sized, texts, best))
+        found.append(_searched(steps, reduce(DataFrame.union, found), shared, sized, texts, best))
     found = stored(reduce(DataFrame.union, found), "links")
     steps.close()
     return found
 
 
-def _searched(steps, known, met, sized, texts, best):
+def _searched(steps, known, shared, sized, texts, best):
     """Links between the components of the known links, by signature trees over the cells."""
     tied = components(known).withColumnRenamed("node", "key")
-    open_ = met.join(tied, "key", "left").select("pivot", "key", F.coalesce("root", "key").alias("component"))
+    open_ = sized.join(tied, "key", "left").withColumn("component", F.coalesce("root", "key")).drop("root")
     open_ = steps.store(open_, "open")
-    cells = _dealt(steps, open_.join(sized, "key")).join(texts.select("key", "bits"), "key")
+    members = _cell_rows(steps, shared, open_)
+    cells = _dealt(steps, members).join(texts.select("key", "bits"), "key")
     cell = ["pivot", "level", "i", "j"]
     cells = cells.repartition(*cell).sortWithinPartitions(*cell)
     pairs_ = steps.store(cells.mapInArrow(_cells(best), "a long, b long").distinct(), "candidates")
+    steps.drop(open_, members)
     return _links(steps, pairs_, texts)
 
 
